@@ -12,8 +12,10 @@ from casewatch.operators.batch import (
     severe_side_effects_by_drug,
     top_side_effects_by_drug,
 )
+from casewatch.operators.counts import hot_cases
+from casewatch.plans.lineage import cut_lineage
 from casewatch.plans.ranking import best_first, top_k_per_key
-from casewatch.plans.skew import Side, product_join
+from casewatch.plans.skew import HotKeys, Side, product_join
 
 # Kinds of request, one per report.
 TOP, PAIR, SEGMENT, SEVERE = "top", "pair", "segment", "severe"
@@ -41,7 +43,7 @@ def with_system_turn(conversations: DataFrame, text: str) -> DataFrame:
     return messages.unionByName(first)
 
 
-def _request_keys(requests: DataFrame) -> DataFrame:
+def request_keys(requests: DataFrame) -> DataFrame:
     """Requests with the keys of the answer table."""
     return requests.select(
         "request_id",
@@ -76,12 +78,19 @@ def _answer(df: DataFrame, kind: str, **columns: Column) -> DataFrame:
     return df.select(*[(columns.get(name, default)).alias(name) for name, default in defaults.items()])
 
 
-def segment_answers(drug: DataFrame, reac: DataFrame, demographics: DataFrame, k: int, drugs: DataFrame | None) -> DataFrame:
+def segment_answers(
+    drug: DataFrame,
+    reac: DataFrame,
+    demographics: DataFrame,
+    k: int,
+    drugs: DataFrame | None = None,
+    hot: HotKeys | None = None,
+) -> DataFrame:
     """Top reactions per drug within every age group and sex, every age group, every sex, and overall.
 
     The wider segments add up the counts of the narrow ones, so the join runs once.
     """
-    counted = segment_effect_counts(drug, reac, demographics, drugs)
+    counted = segment_effect_counts(drug, reac, demographics, drugs, hot=hot)
     age, sex = F.col("age_grp"), F.col("sex")
     levels = [["drug", "age_grp", "sex", "side_effect"], ["drug", "age_grp", "side_effect"], ["drug", "sex", "side_effect"], ["drug", "side_effect"]]
     grouped = counted.groupingSets(
@@ -99,12 +108,14 @@ def answer_table(
     drug: DataFrame, reac: DataFrame, outcome: DataFrame, demographics: DataFrame, requests: DataFrame, k: int = 10
 ) -> DataFrame:
     """The answers to all different requests of a table, keyed as `ANSWER_COLUMNS`, from one job per kind."""
-    keys = _request_keys(requests)
-    top = top_side_effects_by_drug(drug, reac, k, _of_kind(keys, TOP).select("drug"))
-    severe = severe_side_effects_by_drug(drug, reac, outcome, k, _of_kind(keys, SEVERE).select("drug"))
-    segment = segment_answers(drug, reac, demographics, k, _of_kind(keys, SEGMENT).select("drug"))
+    # Each different question once; written, as every kind reads it and counts it first.
+    keys = cut_lineage(request_keys(requests).drop("request_id").distinct())
+    hot = hot_cases(drug, reac, outcome, demographics)
+    top = top_side_effects_by_drug(drug, reac, k, _of_kind(keys, TOP).select("drug"), hot=hot)
+    severe = severe_side_effects_by_drug(drug, reac, outcome, k, _of_kind(keys, SEVERE).select("drug"), hot=hot)
+    segment = segment_answers(drug, reac, demographics, k, _of_kind(keys, SEGMENT).select("drug"), hot)
     asked_pairs = _of_kind(keys, PAIR).select(F.col("drug").alias("drug1"), F.col("drug2").alias("drug2"))
-    pair = pair_interactions_for(drug, reac, asked_pairs, k)
+    pair = pair_interactions_for(drug, reac, asked_pairs, k, hot)
     return (
         _answer(top, TOP)
         .unionByName(_answer(severe, SEVERE, outcome_code=F.col("outcome_code")))
@@ -154,7 +165,7 @@ def lookup_answers(requests: DataFrame, answers: DataFrame) -> DataFrame:
 
     A question asked very often is split; its few answer rows are copied to the parts.
     """
-    asked = _request_keys(requests).filter("drug is not null").select("request_id", request_key().alias("question"))
+    asked = request_keys(requests).filter("drug is not null").select("request_id", request_key().alias("question"))
     given = answers.select(request_key().alias("question"), "kind", "rank", "side_effect", "outcome_code", "report_count")
     found = product_join([Side(asked, ("request_id",)), Side(given)], "question")
     return found.select("request_id", "kind", "rank", "side_effect", "outcome_code", "report_count")

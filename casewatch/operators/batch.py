@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,27 +12,41 @@ from casewatch.operators.counts import (
     all_drugs,
     drug_side,
     effect_counts,
+    outcome_side,
     reaction_side,
-    segments,
-    severe_outcomes,
+    segment_side,
     suspect_drugs,
 )
 from casewatch.plans.lineage import cut_lineage
 from casewatch.plans.ranking import best_first, top_k_per_key
-from casewatch.plans.sizing import BROADCAST_ROWS, is_small, keep_matching
-from casewatch.plans.skew import Side, product_join
+from casewatch.plans.sizing import is_small
+from casewatch.plans.skew import HotKeys, Side, product_join
 from casewatch.schemas import CASE
 
 # A part of a hot case pairs with every other part, then with every reaction: keep parts short.
 PAIR_PART_ROWS = 512
 
 
-def only_drugs(drug: DataFrame, drugs: DataFrame | None) -> DataFrame:
-    """Drug rows whose key occurs in the `drug` column of a request table, if there is one."""
+@dataclass(frozen=True)
+class Requested:
+    """Drug rows for a request table: cut before the join when it is small, else the result is cut."""
+
+    rows: DataFrame
+    later: DataFrame | None = None
+
+    def cut(self, result: DataFrame) -> DataFrame:
+        return result if self.later is None else result.join(self.later, "drug", "left_semi")
+
+
+def only_drugs(drug: DataFrame, drugs: DataFrame | None) -> Requested:
+    """Keep the drugs in the `drug` column of a request table, if there is one."""
     if drugs is None:
-        return drug
+        return Requested(drug)
+    keys = drugs.select("drug").filter("drug is not null").distinct()
+    if not is_small(keys):
+        return Requested(drug, keys)
     keyed = drug.withColumn("drug", drug_key(drug))
-    return keep_matching(keyed, drugs, ["drug"]).select(*drug.columns)
+    return Requested(keyed.join(F.broadcast(keys), "drug", "left_semi").select(*drug.columns))
 
 
 def _ranked(counted: DataFrame, keys: list[str], k: int | None, ties: list[str], count: str) -> DataFrame:
@@ -44,11 +60,13 @@ def top_side_effects_by_drug(
     k: int | None = 10,
     drugs: DataFrame | None = None,
     distinct_cases: bool = False,
+    hot: HotKeys | None = None,
 ) -> DataFrame:
     """(drug, rank, side_effect, report_count) for every drug, or those of `drugs`."""
-    sides = [drug_side(suspect_drugs(only_drugs(drug, drugs))), reaction_side(reac)]
-    counted = effect_counts(sides, ["drug", "side_effect"], distinct_cases)
-    return _ranked(counted, ["drug"], k, ["side_effect"], "report_count")
+    asked = only_drugs(drug, drugs)
+    sides = [drug_side(suspect_drugs(asked.rows)), reaction_side(reac)]
+    counted = effect_counts(sides, ["drug", "side_effect"], distinct_cases, hot)
+    return _ranked(asked.cut(counted), ["drug"], k, ["side_effect"], "report_count")
 
 
 def segment_effect_counts(
@@ -57,14 +75,12 @@ def segment_effect_counts(
     demographics: DataFrame,
     drugs: DataFrame | None = None,
     distinct_cases: bool = False,
+    hot: HotKeys | None = None,
 ) -> DataFrame:
     """Uncut report_count per (drug, age_grp, sex, side_effect)."""
-    sides = [
-        drug_side(suspect_drugs(only_drugs(drug, drugs))),
-        reaction_side(reac),
-        Side(segments(demographics), ("age_grp", "sex")),
-    ]
-    return effect_counts(sides, ["drug", "age_grp", "sex", "side_effect"], distinct_cases)
+    asked = only_drugs(drug, drugs)
+    sides = [drug_side(suspect_drugs(asked.rows)), reaction_side(reac), segment_side(demographics)]
+    return asked.cut(effect_counts(sides, ["drug", "age_grp", "sex", "side_effect"], distinct_cases, hot))
 
 
 def side_effects_by_segment(
@@ -74,9 +90,10 @@ def side_effects_by_segment(
     k: int | None = 10,
     drugs: DataFrame | None = None,
     distinct_cases: bool = False,
+    hot: HotKeys | None = None,
 ) -> DataFrame:
     """(drug, age_grp, sex, rank, side_effect, report_count) for every segment."""
-    counted = segment_effect_counts(drug, reac, demographics, drugs, distinct_cases)
+    counted = segment_effect_counts(drug, reac, demographics, drugs, distinct_cases, hot)
     return _ranked(counted, ["drug", "age_grp", "sex"], k, ["side_effect"], "report_count")
 
 
@@ -87,28 +104,28 @@ def severe_side_effects_by_drug(
     k: int | None = 10,
     drugs: DataFrame | None = None,
     distinct_cases: bool = False,
+    hot: HotKeys | None = None,
 ) -> DataFrame:
     """(drug, rank, side_effect, outcome_code, report_count) for every drug."""
-    sides = [
-        drug_side(suspect_drugs(only_drugs(drug, drugs))),
-        reaction_side(reac),
-        Side(severe_outcomes(outcome), ("outcome_code",)),
-    ]
-    counted = effect_counts(sides, ["drug", "side_effect", "outcome_code"], distinct_cases)
-    return _ranked(counted, ["drug"], k, ["side_effect", "outcome_code"], "report_count")
+    asked = only_drugs(drug, drugs)
+    sides = [drug_side(suspect_drugs(asked.rows)), reaction_side(reac), outcome_side(outcome)]
+    counted = effect_counts(sides, ["drug", "side_effect", "outcome_code"], distinct_cases, hot)
+    return _ranked(asked.cut(counted), ["drug"], k, ["side_effect", "outcome_code"], "report_count")
 
 
 def pair_interactions_all(drug: DataFrame, reac: DataFrame, k: int | None = 10, min_cases: int = 1) -> DataFrame:
     """(drug1, drug2, rank, shared_side_effect, shared_report_count) for every pair drug1 < drug2.
 
     Only pairs with at least `min_cases` distinct cases are kept. A drug with fewer cases is in no such
-    pair and leaves before the join. A case with very many drugs is cut into a grid of parts, so no task
+    pair; when the other drugs are few enough to broadcast, it leaves before the join. A case with very many drugs is cut into a grid of parts, so no task
     makes all pairs of a hot case.
     """
     in_case = all_drugs(drug)
     if min_cases > 1:
         frequent = in_case.groupBy("drug").agg(F.count_distinct(CASE).alias("n")).filter(F.col("n") >= min_cases)
-        in_case = keep_matching(in_case, frequent, ["drug"])
+        frequent = cut_lineage(frequent.select("drug"))
+        if is_small(frequent):
+            in_case = in_case.join(F.broadcast(frequent), "drug", "left_semi")
     sides = [
         Side(in_case.withColumnRenamed("drug", "drug1"), ("drug1",), rows_per_part=PAIR_PART_ROWS),
         Side(in_case.withColumnRenamed("drug", "drug2"), ("drug2",), rows_per_part=PAIR_PART_ROWS, twin=0),
@@ -126,7 +143,9 @@ def pair_interactions_all(drug: DataFrame, reac: DataFrame, k: int | None = 10,
     return ranked
 
 
-def pair_interactions_for(drug: DataFrame, reac: DataFrame, pairs: DataFrame, k: int | None = 10) -> DataFrame:
+def pair_interactions_for(
+    drug: DataFrame, reac: DataFrame, pairs: DataFrame, k: int | None = 10, hot: HotKeys | None = None
+) -> DataFrame:
     """The pair report for each (drug1, drug2) of a request table, without a self-join.
 
     Every drug row is matched with the requests naming it; a case belongs to a request when both
@@ -138,7 +157,7 @@ def pair_interactions_for(drug: DataFrame, reac: DataFrame, pairs: DataFrame, k:
         F.struct(F.col("drug2").alias("drug"), F.lit(2).alias("place")),
     )
     named = wanted.select("drug1", "drug2", F.inline(places))
-    if is_small(named, BROADCAST_ROWS):
+    if is_small(named):
         hits = all_drugs(drug).join(F.broadcast(named), "drug")
     else:
         hits = product_join([Side(all_drugs(drug), (CASE,)), Side(named)], "drug")
@@ -148,10 +167,11 @@ def pair_interactions_for(drug: DataFrame, reac: DataFrame, pairs: DataFrame, k:
         .filter("has1 and has2")
         .select(CASE, "drug1", "drug2")
     )
-    # Written once, then counted and joined.
-    sides = [Side(cut_lineage(cases), ("drug1", "drug2")), reaction_side(reac)]
+    if hot is None:
+        cases = cut_lineage(cases)  # written once, then counted and joined
+    sides = [Side(cases, ("drug1", "drug2")), reaction_side(reac)]
     counted = (
-        product_join(sides, CASE, distinct=True)
+        product_join(sides, CASE, True, hot)
         .groupBy("drug1", "drug2", F.col("side_effect").alias("shared_side_effect"))
         .agg(F.sum("n").alias("shared_report_count"))
     )

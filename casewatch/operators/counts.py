@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casewatch.functions.columns import drug_key, is_severe, is_suspect
-from casewatch.plans.skew import Side, product_join
+from casewatch.plans.skew import HotKeys, Side, hot_keys, product_join
 from casewatch.schemas import CASE
 
 
@@ -42,8 +42,29 @@ def reaction_side(reac: DataFrame) -> Side:
     return Side(reactions(reac), ("side_effect",))
 
 
+def segment_side(demographics: DataFrame) -> Side:
+    return Side(segments(demographics), ("age_grp", "sex"))
+
+
+def outcome_side(outcome: DataFrame) -> Side:
+    return Side(severe_outcomes(outcome), ("outcome_code",))
+
+
+def hot_cases(
+    drug: DataFrame, reac: DataFrame, outcome: DataFrame | None = None, demographics: DataFrame | None = None
+) -> HotKeys:
+    """One check of the case tables, to be passed to several reports over them."""
+    sides = [drug_side(all_drugs(drug)), reaction_side(reac)]
+    if outcome is not None:
+        sides.append(outcome_side(outcome))
+    if demographics is not None:
+        sides.append(segment_side(demographics))
+    return hot_keys(sides, CASE)
+
+
 def effect_counts(
-    sides: list[Side], by: list[str], distinct_cases: bool = False, name: str = "report_count"
+    sides: list[Side], by: list[str], distinct_cases: bool = False, hot: HotKeys | None = None
 ) -> DataFrame:
-    """Join the sides on the case and count per `by`: joined rows, or distinct cases."""
-    return product_join(sides, CASE, distinct_cases).groupBy(*by).agg(F.sum("n").alias(name))
+    """Join the sides on the case; report_count per `by`: joined rows, or distinct cases."""
+    joined = product_join(sides, CASE, distinct_cases, hot)
+    return joined.groupBy(*by).agg(F.sum("n").alias("report_count"))

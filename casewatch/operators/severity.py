@@ -42,7 +42,8 @@ def severity_summary(
     per_case = outcome.groupBy(CASE).agg(
         _flag(is_death()).alias("death"), _flag(is_severe()).alias("serious"), weight.alias("weight")
     )
-    sides = [drug_side(suspect_drugs(only_drugs(drug, drugs))), Side(per_case, optional=True)]
+    asked = only_drugs(drug, drugs)
+    sides = [drug_side(suspect_drugs(asked.rows)), Side(per_case, optional=True)]
     summary = (
         product_join(sides, CASE, distinct=True)
         .groupBy("drug")
@@ -53,7 +54,7 @@ def severity_summary(
             F.coalesce(F.sum("weight"), F.lit(0.0)).alias("severity_score"),
         )
     )
-    return rank_by(summary, "serious_cases", "severity_rank")
+    return rank_by(asked.cut(summary), "serious_cases", "severity_rank")
 
 
 def frequency_severity_matrix(
@@ -67,11 +68,8 @@ def frequency_severity_matrix(
     codes = {f"n_{code.lower()}": F.col("outc_cod") == code for code in SEVERE_OUTCOMES}
     codes["n_other"] = ~is_severe()
     per_case = outcome.groupBy(CASE).agg(*[F.count_if(test).alias(name) for name, test in codes.items()])
-    sides = [
-        drug_side(suspect_drugs(only_drugs(drug, drugs))),
-        reaction_side(reac),
-        Side(per_case, optional=True),
-    ]
+    asked = only_drugs(drug, drugs)
+    sides = [drug_side(suspect_drugs(asked.rows)), reaction_side(reac), Side(per_case, optional=True)]
     matrix = (
         product_join(sides, CASE)
         .groupBy("drug", "side_effect")
@@ -81,6 +79,7 @@ def frequency_severity_matrix(
         )
         .withColumn("severe_count", reduce(Column.__add__, [F.col(f"n_{code.lower()}") for code in SEVERE_OUTCOMES]))
     )
+    matrix = asked.cut(matrix)
     if k is None:
         return matrix
     return top_k_per_key(matrix, ["drug"], k, best_first("report_count", "side_effect"))
@@ -133,8 +132,9 @@ def effect_profile(
     One row per drug and reaction reported for it. Rank and total come from one aggregation over the
     drug's counts, not from a sort of them.
     """
-    sides = [drug_side(suspect_drugs(only_drugs(drug, drugs))), reaction_side(reac)]
-    counted = cut_lineage(effect_counts(sides, ["drug", "side_effect"]))  # read twice below
+    asked = only_drugs(drug, drugs)
+    sides = [drug_side(suspect_drugs(asked.rows)), reaction_side(reac)]
+    counted = cut_lineage(asked.cut(effect_counts(sides, ["drug", "side_effect"])))  # read twice below
     wanted = counted.filter(F.col("side_effect").isin(*effects)).select(
         "drug", F.col("side_effect").alias("wanted"), F.col("report_count").alias("wanted_count")
     )

@@ -189,7 +189,7 @@ ORACLE: dict[str, str] = {
     "b2": _sql(_pairs("a.drug < b.drug", 10), "drug", "reac", extra=_PAIR_CTES),
     "b2_min_cases": _sql(
         f"""SELECT * FROM ({_pairs('a.drug < b.drug', 3)}) JOIN (SELECT a.drug AS drug1, b.drug AS drug2 FROM cd a
-        JOIN cd b ON a.primaryid = b.primaryid AND a.drug < b.drug GROUP BY 1, 2 HAVING COUNT(*) >= 20)
+        JOIN cd b ON a.primaryid = b.primaryid AND a.drug < b.drug GROUP BY 1, 2 HAVING COUNT(*) >= 64)
         USING (drug1, drug2)""",
         "drug",
         "reac",

@@ -9,20 +9,11 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 500_000
 
 
-def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
+def is_small(df: DataFrame, max_rows: int | None = None) -> bool:
     """Count `df` (one narrow job, one number back) and compare with the bound."""
-    return df.count() <= max_rows
+    return df.count() <= (BROADCAST_ROWS if max_rows is None else max_rows)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+def broadcast_if_small(df: DataFrame, max_rows: int | None = None) -> DataFrame:
     """`df` with a broadcast hint when its counted size allows it, else unchanged (shuffle join)."""
     return F.broadcast(df) if is_small(df, max_rows) else df
-
-
-def keep_matching(df: DataFrame, keys: DataFrame, on: list[str], max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Rows of `df` whose `on` values occur in `keys`.
-
-    Beyond the bound both inputs shuffle straight into the join, which lets adaptive execution
-    split a hot key.
-    """
-    return df.join(broadcast_if_small(keys.select(*on), max_rows), on, "left_semi")

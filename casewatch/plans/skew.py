@@ -61,18 +61,30 @@ def key_sizes(sides: list[Side], key: str) -> DataFrame:
 
 
 def _product(sides: list[Side]) -> Column:
-    counts = [F.col(f"_n{i}").cast("double") for i, side in enumerate(sides) if side.by]
+    counts = [F.greatest(F.col(f"_n{i}").cast("double"), F.lit(1.0)) for i, side in enumerate(sides) if side.by]
     return reduce(Column.__mul__, counts)
 
 
+@dataclass(frozen=True)
+class HotKeys:
+    """The outcome of a check: keys to treat apart (at most MAX_HOT_KEYS), or None when there are none."""
+
+    keys: DataFrame | None
+
+
 def hot_keys(
-    sides: list[Side], key: str, max_product: int = MAX_KEY_PRODUCT, max_keys: int = MAX_HOT_KEYS
-) -> DataFrame | None:
-    """The keys that make more than `max_product` joined rows, hottest first, at most `max_keys`; None if there are none."""
+    sides: list[Side], key: str, max_product: int | None = None, max_keys: int = MAX_HOT_KEYS
+) -> HotKeys:
+    """Find the keys that make more than `max_product` joined rows, hottest first.
+
+    A key missing on a side counts as one row there, so a check over many sides also covers joins of
+    some of them.
+    """
+    max_product = MAX_KEY_PRODUCT if max_product is None else max_product
     sizes = key_sizes(sides, key)
     hot = sizes.filter(_product(sides) > max_product).orderBy(_product(sides).desc(), F.asc(key)).limit(max_keys)
     rows = hot.select(key).collect()  # at most max_keys
-    return sizes.sparkSession.createDataFrame(rows, hot.select(key).schema) if rows else None
+    return HotKeys(sizes.sparkSession.createDataFrame(rows, hot.select(key).schema) if rows else None)
 
 
 def heavy_parts(sides: list[Side], key: str, max_keys: int = MAX_HOT_KEYS) -> DataFrame:
@@ -145,15 +157,16 @@ def product_join(
     sides: list[Side],
     key: str,
     distinct: bool = False,
-    max_product: int = MAX_KEY_PRODUCT,
+    hot: HotKeys | None = None,
     max_keys: int = MAX_HOT_KEYS,
 ) -> DataFrame:
     """Equi-join of all sides on `key`, with `n`, the number of joined rows a result row stands for.
 
     With `distinct` every side counts as a set of rows and n is 1. Value columns of different sides
-    need different names.
+    need different names. `hot` is an earlier check of the same tables, else they are checked now; which
+    keys are treated apart changes the work, never the result.
     """
-    hot = hot_keys(sides, key, max_product, max_keys)
+    hot = (hot or hot_keys(sides, key, max_keys=max_keys)).keys
     cool = [_cool_rows(side, key, hot, distinct) for side in sides]
     plain = _weighed(_join_all(cool, sides, [key]), [None if distinct else side.weight for side in sides])
     if hot is None:

@@ -125,7 +125,7 @@ def b2(t):
 
 @over_cases
 def b2_min_cases(t):
-    return batch.pair_interactions_all(t.drug, t.reac, k=3, min_cases=20)
+    return batch.pair_interactions_all(t.drug, t.reac, k=3, min_cases=64)
 
 
 @query

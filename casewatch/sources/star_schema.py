@@ -32,8 +32,7 @@ def _code(column: str, codes: dict, other: str | None = None):
     return value
 
 
-def drug(spark: SparkSession, folder: str) -> DataFrame:
-    lines, parts = read(spark, folder, "lineitem"), read(spark, folder, "part")
+def drug(lines: DataFrame, parts: DataFrame) -> DataFrame:
     return lines.join(parts, lines.l_partkey == parts.p_partkey).select(
         F.col("l_orderkey").alias(CASE),
         F.col("l_linenumber").alias("drug_seq"),
@@ -43,21 +42,17 @@ def drug(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def reac(spark: SparkSession, folder: str) -> DataFrame:
-    lines, suppliers = read(spark, folder, "lineitem"), read(spark, folder, "supplier")
+def reac(lines: DataFrame, suppliers: DataFrame) -> DataFrame:
     return lines.join(suppliers, lines.l_suppkey == suppliers.s_suppkey).select(
         F.col("l_orderkey").alias(CASE), F.col("s_name").alias("pt")
     )
 
 
-def outcome(spark: SparkSession, folder: str) -> DataFrame:
-    return read(spark, folder, "lineitem").select(
-        F.col("l_orderkey").alias(CASE), _code("l_linenumber", OUTCOME_OF_LINE, "OT").alias("outc_cod")
-    )
+def outcome(lines: DataFrame) -> DataFrame:
+    return lines.select(F.col("l_orderkey").alias(CASE), _code("l_linenumber", OUTCOME_OF_LINE, "OT").alias("outc_cod"))
 
 
-def demographics(spark: SparkSession, folder: str) -> DataFrame:
-    orders, customers, nations = (read(spark, folder, t) for t in ("orders", "customer", "nation"))
+def demographics(orders: DataFrame, customers: DataFrame, nations: DataFrame) -> DataFrame:
     return (
         orders.join(customers, orders.o_custkey == customers.c_custkey)
         .join(nations, customers.c_nationkey == nations.n_nationkey)
@@ -75,4 +70,8 @@ def demographics(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def case_tables(spark: SparkSession, folder: str) -> CaseTables:
-    return CaseTables(drug(spark, folder), reac(spark, folder), outcome(spark, folder), demographics(spark, folder))
+    names = ("lineitem", "part", "supplier", "orders", "customer", "nation")
+    lines, parts, suppliers, orders, customers, nations = (read(spark, folder, name) for name in names)
+    return CaseTables(
+        drug(lines, parts), reac(lines, suppliers), outcome(lines), demographics(orders, customers, nations)
+    )

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from casewatch.operators.answers import _request_keys, request_key
+from casewatch.operators.answers import request_key, request_keys
+from casewatch.plans.sizing import is_small
 
 REQUEST_SCHEMA = "request_id string, kind string, drug string, drug2 string, age_group string, sex string"
 
@@ -16,17 +17,27 @@ def read_request_stream(spark: SparkSession, folder: str, files_per_batch: int =
     return spark.readStream.schema(REQUEST_SCHEMA).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
 
 
+# Parts a much-asked question is divided into when the answers are too many to broadcast.
+PARTS = 16
+
+
 def answer_requests_stream(requests: DataFrame, answers: DataFrame) -> DataFrame:
     """Join streamed requests with a written answer table; stateless, rows as `lookup_answers` gives.
 
-    `answers` should be read from files (see `answer_table`): every micro-batch scans it again. Whether
-    it is broadcast is left to its known size.
+    `answers` should be read from files (see `answer_table`): every micro-batch uses them again. A
+    counted small table is broadcast. A larger one is copied to `PARTS` parts of every question, so a
+    question that fills a micro-batch is answered by several tasks.
     """
-    asked = _request_keys(requests).filter("drug is not null").select("request_id", request_key().alias("question"))
+    asked = request_keys(requests).filter("drug is not null").select("request_id", request_key().alias("question"))
     given = answers.select(
         request_key().alias("question"), "kind", "rank", "side_effect", "outcome_code", "report_count"
     )
-    joined = asked.join(given, "question")
+    if is_small(given):
+        joined = asked.join(F.broadcast(given), "question")
+    else:
+        asked = asked.withColumn("part", F.pmod(F.xxhash64("request_id"), F.lit(PARTS)))
+        given = given.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(PARTS - 1).cast("bigint"))))
+        joined = asked.join(given, ["question", "part"])
     return joined.select("request_id", "kind", "rank", "side_effect", "outcome_code", "report_count")
 
 
