@@ -360,10 +360,11 @@ def s1(spark, folder):
 def s2(spark, folder):
     base = new_dir(spark, "files")
     pattern = _as_text(case_tables(spark, folder).outcome, "outcome", spark, base)
-    headers = case_files.check_headers(spark, pattern, SCHEMAS["outcome"]).select("header", "matches").distinct()
+    headers = case_files.check_headers(spark, pattern, SCHEMAS["outcome"])
     rows = case_files.read_family(spark, base, "outcome", strict=True)
-    counted = rows.groupBy("outc_cod").agg(F.count(F.lit(1)).alias("row_count")).withColumn("matches", F.lit(True))
-    return counted.join(headers, "matches")
+    per_file = rows.groupBy(F.col("_metadata.file_path").alias("file_path"), "outc_cod").count()
+    joined = per_file.join(headers, "file_path").groupBy("outc_cod", "header", "matches")
+    return joined.agg(F.sum("count").alias("row_count"))
 
 
 @query

@@ -16,9 +16,12 @@ def spark(tmp_path_factory):
     base = tmp_path_factory.mktemp("spark")
     session = local_session(
         4,
-        shuffle_partitions=4,
+        shuffle_partitions=2,
         memory="4g",
         **{
+            # Tiny tables: compiling plans would take most of the time.
+            "spark.sql.codegen.wholeStage": "false",
+            "spark.sql.codegen.factoryMode": "NO_CODEGEN",
             "spark.checkpoint.dir": str(base / "shared"),
             "spark.sql.warehouse.dir": str(base / "warehouse"),
         },
