@@ -1,7 +1,8 @@
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
-from casewatch.operators import batch
+from casewatch.functions.columns import with_name_keys
+from casewatch.operators import batch, reports
 from casewatch.plans import sizing, skew
 from tests.conftest import rows
 from tools.check_oracle import compare_one, open_engine
@@ -51,12 +52,11 @@ def test_one_hot_keys_list_is_bounded(spark):
     assert skew.hot_keys(sides, "k", max_product=1, max_keys=7).keys.count() == 7
 
 
-def test_scans_read_needed_columns_and_push_filters(spark, tmp_path):
-    from casewatch.functions.columns import with_name_keys
-    from casewatch.operators import reports
-
-    wide = "id AS primaryid, 'PS' AS role_cod, concat('Drug ', id) AS drugname, 'x' AS route, 'y' AS lot_num"
-    with_name_keys(spark.range(100).selectExpr(*wide.split(", "))).write.parquet(f"{tmp_path}/drug")
+def test_scans_read_needed_columns_and_push_filters(spark, tmp_path, request):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "1000")
+    request.addfinalizer(lambda: spark.conf.unset("spark.sql.maxMetadataStringLength"))
+    wide = ["id AS primaryid", "'PS' AS role_cod", "concat('Drug ', id) AS drugname", "'x' AS route", "'y' AS lot_num"]
+    with_name_keys(spark.range(100).selectExpr(*wide)).write.parquet(f"{tmp_path}/drug")
     spark.range(100).selectExpr("id AS primaryid", "'p' AS pt", "'z' AS drug_rec_act").write.parquet(f"{tmp_path}/reac")
     drug, reac = spark.read.parquet(f"{tmp_path}/drug"), spark.read.parquet(f"{tmp_path}/reac")
     text = plan(reports.top_side_effects(drug, reac, "Drug 7"))
