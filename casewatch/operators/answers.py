@@ -187,14 +187,17 @@ def expected_fact_recall(
     `expected_facts` per question, `synonyms` optional (fact, synonym) rows. Texts compare lower-cased.
     A question without answers has recall 0.
     """
-    facts = expectations.select(key, F.explode(F.array_distinct(F.transform("expected_facts", lambda f: F.lower(f)))).alias("fact"))
+    lowered = F.array_distinct(F.transform("expected_facts", lambda fact: F.lower(fact)))
+    facts = cut_lineage(expectations.select(key, F.explode(lowered).alias("fact")))  # read twice below
     spellings = facts.withColumn("spelling", F.col("fact"))
     if synonyms is not None:
         others = synonyms.select(F.lower("fact").alias("fact"), F.lower("synonym").alias("spelling"))
         spellings = spellings.unionByName(facts.join(others, "fact").select(key, "fact", "spelling")).distinct()
     texts = answers.select(key, F.lower("answer").alias("answer")).distinct()
+    # A question has few facts. Both sides shuffle straight into the join, so adaptive execution can
+    # split a question with very many answers.
     found = (
-        product_join([Side(texts, ("answer",)), Side(spellings)], key)
+        texts.join(spellings, key)
         .filter(F.contains("answer", "spelling"))
         .select(key, "fact")
         .distinct()

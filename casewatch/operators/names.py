@@ -52,7 +52,7 @@ def extract_mentions(
     lengths = sorted(row["length"] for row in names.select("length").distinct().collect())
     names = names.drop("length")
     tokenised = texts.select(id_column, words(F.col(text_column), gap).alias("tokens"))
-    runs = F.flatten(F.array(*[phrases("tokens", n) for n in lengths])) if lengths else F.array().cast("array<string>")
+    runs = F.flatten(F.array(*[phrases("tokens", n) for n in lengths]).cast("array<array<string>>"))
     found_runs = tokenised.select(id_column, F.explode(runs).alias("phrase"))
     if is_small(names):
         found = found_runs.join(F.broadcast(names), "phrase")
@@ -62,21 +62,32 @@ def extract_mentions(
 
 
 def deletion_variants(name: str, max_distance: int) -> Column:
-    """Hashes of the name with up to `max_distance` characters taken out."""
+    """Hashes of the name with up to `max_distance` characters taken out.
+
+    The last and largest level is hashed as it is made, so a long name costs eight bytes per variant.
+    """
     level = F.array(F.col(name))
-    variants = level
-    for _ in range(max_distance):
-        level = F.array_distinct(F.flatten(F.transform(level, _one_shorter)))
-        variants = F.concat(variants, level)
-    return F.array_distinct(F.transform(variants, lambda text: F.xxhash64(text)))
+    hashes = F.transform(level, lambda text: F.xxhash64(text))
+    for step in range(1, max_distance + 1):
+        if step == max_distance:
+            last = F.flatten(F.transform(level, lambda text: _one_shorter(text, hashed=True)))
+            hashes = F.concat(hashes, last)
+        else:
+            level = F.array_distinct(F.flatten(F.transform(level, lambda text: _one_shorter(text))))
+            hashes = F.concat(hashes, F.transform(level, lambda text: F.xxhash64(text)))
+    return F.array_distinct(hashes)
+
 
+def _one_shorter(text: Column, hashed: bool = False) -> Column:
+    """The text without its first, second, ... character."""
 
-def _one_shorter(text: Column) -> Column:
     def without(place: Column) -> Column:
-        return F.concat(text.substr(F.lit(1), place - 1), text.substr(place + 1, F.length(text)))
+        shorter = F.concat(text.substr(F.lit(1), place - 1), text.substr(place + 1, F.length(text)))
+        return F.xxhash64(shorter) if hashed else shorter
 
+    kind = "array<bigint>" if hashed else "array<string>"
     shorter = F.transform(F.sequence(F.lit(1), F.length(text)), without)
-    return F.when(F.length(text) > 0, shorter).otherwise(F.array().cast("array<string>"))
+    return F.when(F.length(text) > 0, shorter).otherwise(F.array().cast(kind))
 
 
 def normalize_names_fuzzy(

@@ -310,6 +310,11 @@ ORACLE: dict[str, str] = {
     "s8": _sql(
         " UNION ALL ".join(f"SELECT '{v}' AS table_name, COUNT(*) AS row_count FROM {v}" for v in _ALL), *_ALL
     ),
+    "typed": _sql(
+        """SELECT strftime(event_dt, '%Y-%m') AS month, 'known' AS age_status, COUNT(*) AS row_count,
+        SUM(CAST(age AS DOUBLE)) AS years FROM demographics GROUP BY 1""",
+        "demographics",
+    ),
     "s9": _sql(
         """SELECT primaryid, drug_seq, role_cod, drugname, prod_ai FROM drug
         ORDER BY primaryid, drug_seq, drugname, role_cod, prod_ai LIMIT 20""",

@@ -429,6 +429,13 @@ def s9(t):
     return tables.preview(t.drug, 20, ["primaryid", "drug_seq", "drugname", "role_cod", "prod_ai"])
 
 
+@over_cases
+def typed(t):
+    text = t.demographics.withColumn("event_dt", F.date_format("event_dt", "yyyyMMdd"))
+    months = tables.typed_demographics(text).groupBy(F.date_format("event_date", "yyyy-MM").alias("month"), "age_status")
+    return months.agg(F.count(F.lit(1)).alias("row_count"), F.sum("age_years").alias("years"))
+
+
 # SQL table functions
 
 

@@ -64,7 +64,6 @@ def check_headers(spark: SparkSession, path: str, schema: StructType, separator:
         F.col("_metadata.file_path").alias("file_path"),
         F.col("_metadata.file_block_start").alias("block"),
         F.col("value").alias("header"),
-        F.spark_partition_id().alias("task"),
         F.monotonically_increasing_id().alias("line"),
     )
     first = lines.filter("block = 0").groupBy("file_path").agg(F.min_by("header", "line").alias("header"))

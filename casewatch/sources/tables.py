@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from casewatch.functions.columns import AGE_UNITS, age_status, age_years, date_of
 from casewatch.schemas import SCHEMAS, TABLE_COMMENTS
 
 
@@ -80,6 +83,19 @@ def create_table_as(spark: SparkSession, name: str, query: str | DataFrame) -> N
     df.write.mode("overwrite").format("parquet").saveAsTable(name)
 
 
+def typed_demographics(
+    demographics: DataFrame, date_format: str = "yyyyMMdd", units: Mapping[str, float] = AGE_UNITS
+) -> DataFrame:
+    """The raw table with age_years, age_status and event_date; text that does not fit gives NULL, never an error."""
+    return demographics.withColumns(
+        {
+            "age_years": age_years(units),
+            "age_status": age_status(units),
+            "event_date": date_of("event_dt", date_format),
+        }
+    )
+
+
 def read_table(spark: SparkSession, name: str, alias: str | None = None) -> DataFrame:
     df = spark.table(name)
     return df.alias(alias) if alias else df

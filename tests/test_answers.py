@@ -95,8 +95,7 @@ def test_last_turn_and_system_turn(spark):
     assert sorted(rows(with_system.filter("turn < 0"))) == [(1, -1, "system", "be brief"), (2, -1, "system", "be brief")]
 
 
-def test_fact_recall(spark, monkeypatch):
-    monkeypatch.setattr(skew, "MAX_KEY_PRODUCT", 2)
+def test_fact_recall(spark):
     wanted = spark.createDataFrame(
         [("q1", ["Dyspnoea", "Pain", "pain"]), ("q2", ["Rash"]), ("q3", ["Diarrhea", "Nausea"])],
         "question_id string, expected_facts array<string>",

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from casewatch.functions import table_functions
 from casewatch.operators import batch, reports
@@ -59,6 +60,20 @@ def test_written_files_come_back(spark, tmp_path):
     assert sorted(rows(case_files.read_family(spark, str(tmp_path), "outcome"))) == sorted(rows(df))
 
 
+def test_typed_columns_never_fail(spark):
+    raw = spark.createDataFrame(
+        [("1", "30", "MON", "20240131"), ("2", "x", "YR", "2024"), ("3", "5", "?", "20240231"), ("4", None, None, None)],
+        "primaryid string, age string, age_cod string, event_dt string",
+    )
+    typed = tables.typed_demographics(raw).select("age_years", "age_status", F.col("event_date").cast("string"))
+    assert rows(typed) == [
+        (2.5, "known", "2024-01-31"),
+        (None, "not_a_number", None),
+        (None, "unknown_unit", None),
+        (None, "missing", None),
+    ]
+
+
 @pytest.fixture
 def database(spark, tmp_path):
     name = "t_" + "".join(c for c in tmp_path.name if c.isalnum())
