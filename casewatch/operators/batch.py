@@ -19,11 +19,12 @@ from casewatch.operators.counts import (
 )
 from casewatch.plans.lineage import cut_lineage
 from casewatch.plans.ranking import best_first, top_k_per_key
-from casewatch.plans.sizing import is_small
-from casewatch.plans.skew import HotKeys, Side, product_join
+from casewatch.plans.sizing import broadcast_if_small, is_small
+from casewatch.plans.skew import HotKeys, Side, cool_join, hot_join, hot_keys, product_join
 from casewatch.schemas import CASE
 
-# A part of a hot case pairs with every other part, then with every reaction: keep parts short.
+PAIR = ["drug1", "drug2"]
+# A part of a hot case pairs with every other part: keep parts short.
 PAIR_PART_ROWS = 512
 
 
@@ -117,8 +118,9 @@ def pair_interactions_all(drug: DataFrame, reac: DataFrame, k: int | None = 10,
     """(drug1, drug2, rank, shared_side_effect, shared_report_count) for every pair drug1 < drug2.
 
     Only pairs with at least `min_cases` distinct cases are kept. A drug with fewer cases is in no such
-    pair; when the other drugs are few enough to broadcast, it leaves before the join. A case with very many drugs is cut into a grid of parts, so no task
-    makes all pairs of a hot case.
+    pair; when the other drugs are few enough to broadcast, it leaves before the join. A case with very
+    many drugs is cut into a grid of parts, and its pairs do not meet its reactions one by one (see
+    `_with_hot_cases`).
     """
     in_case = all_drugs(drug)
     if min_cases > 1:
@@ -126,23 +128,60 @@ def pair_interactions_all(drug: DataFrame, reac: DataFrame, k: int | None = 10,
         frequent = cut_lineage(frequent.select("drug"))
         if is_small(frequent):
             in_case = in_case.join(F.broadcast(frequent), "drug", "left_semi")
-    sides = [
+    pair = [
         Side(in_case.withColumnRenamed("drug", "drug1"), ("drug1",), rows_per_part=PAIR_PART_ROWS),
         Side(in_case.withColumnRenamed("drug", "drug2"), ("drug2",), rows_per_part=PAIR_PART_ROWS, twin=0),
     ]
-    keys = ["drug1", "drug2"]
-    triples = product_join([*sides, reaction_side(reac)], CASE, distinct=True).filter("drug1 < drug2")
-    counted = triples.groupBy(*keys, F.col("side_effect").alias("shared_side_effect")).agg(
-        F.sum("n").alias("shared_report_count")
+    sides = [*pair, reaction_side(reac)]
+    hot = hot_keys(sides, CASE)
+    join = cool_join if k is not None else product_join
+    triples = join(sides, CASE, hot=hot, distinct=True).filter("drug1 < drug2")
+    counted = triples.groupBy(*PAIR, "side_effect").agg(F.sum("n").alias("n"))
+    if hot.keys is not None and k is not None:
+        counted = _with_hot_cases(counted, pair, sides[2], hot, k)
+    counted = counted.select(
+        *PAIR, F.col("side_effect").alias("shared_side_effect"), F.col("n").alias("shared_report_count")
     )
-    ranked = _ranked(counted, keys, k, ["shared_side_effect"], "shared_report_count")
+    ranked = _ranked(counted, PAIR, k, ["shared_side_effect"], "shared_report_count")
     if min_cases > 1:
-        pairs = product_join(sides, CASE, distinct=True).filter("drug1 < drug2")
-        together = pairs.groupBy(*keys).agg(F.sum("n").alias("cases")).filter(F.col("cases") >= min_cases)
-        ranked = ranked.join(together, keys, "left_semi")
+        pairs = product_join(pair, CASE, True, hot).filter("drug1 < drug2")
+        together = pairs.groupBy(*PAIR).agg(F.sum("n").alias("cases")).filter(F.col("cases") >= min_cases)
+        ranked = ranked.join(together, PAIR, "left_semi")
     return ranked
 
 
+def _with_hot_cases(counted: DataFrame, pair: list[Side], reactions: Side, hot: HotKeys, k: int) -> DataFrame:
+    """Counts per pair and reaction including hot cases, complete for the best `k` reactions of every pair.
+
+    `counted` has the counts of the other cases. Pairs that occur in the same hot cases get the same
+    addition, so it is made once per such set of cases, not once per pair. Reactions counted elsewhere
+    get theirs added. Of the reactions a pair has from hot cases only, the best k of its set are enough:
+    each of those has at least the count of any other.
+    """
+    pairs = hot_join(pair, CASE, hot, distinct=True).filter("drug1 < drug2")
+    pairs = cut_lineage(pairs.groupBy(*PAIR).agg(F.sort_array(F.collect_list(CASE)).alias("cases")))
+    found = cut_lineage(reactions.df.join(F.broadcast(hot.keys), CASE, "left_semi").distinct())
+
+    sets = pairs.select("cases").distinct().withColumn(CASE, F.explode("cases"))
+    added = hot_join([Side(sets, ("cases",)), Side(found, ("side_effect",))], CASE, hot, distinct=True)
+    added = added.groupBy("cases", "side_effect").agg(F.sum("n").alias("n"))
+    order = best_first("n", "side_effect")
+    best = cut_lineage(top_k_per_key(added, ["cases"], k, order).select("cases", "side_effect", F.col("n").alias("more")))
+    only_hot = product_join([Side(pairs, tuple(PAIR)), Side(best)], "cases")
+    only_hot = only_hot.select(*PAIR, "side_effect", F.col("more").alias("n"))
+
+    hits = counted.join(pairs, PAIR, "left").withColumn(CASE, F.explode_outer("cases"))
+    marks = found.select(F.col(CASE).alias("hot_case"), F.col("side_effect").alias("hot_effect"), F.lit(1).alias("hit"))
+    same = (F.col(CASE) == F.col("hot_case")) & F.col("side_effect").eqNullSafe(F.col("hot_effect"))
+    both = (
+        hits.join(broadcast_if_small(marks), same, "left")
+        .groupBy(*PAIR, "side_effect", "n")
+        .agg(F.count("hit").alias("more"))
+    )
+    both = both.select(*PAIR, "side_effect", (F.col("n") + F.col("more")).alias("n"))
+    return both.unionByName(only_hot).groupBy(*PAIR, "side_effect").agg(F.max("n").alias("n"))
+
+
 def pair_interactions_for(
     drug: DataFrame, reac: DataFrame, pairs: DataFrame, k: int | None = 10, hot: HotKeys | None = None
 ) -> DataFrame:

@@ -166,14 +166,24 @@ def product_join(
     need different names. `hot` is an earlier check of the same tables, else they are checked now; which
     keys are treated apart changes the work, never the result.
     """
-    hot = (hot or hot_keys(sides, key, max_keys=max_keys)).keys
-    cool = [_cool_rows(side, key, hot, distinct) for side in sides]
-    plain = _weighed(_join_all(cool, sides, [key]), [None if distinct else side.weight for side in sides])
-    if hot is None:
-        return plain
-    reduced = [_hot_values(side, i, key, hot, distinct) for i, side in enumerate(sides)]
+    hot = hot or hot_keys(sides, key, max_keys=max_keys)
+    plain = cool_join(sides, key, hot, distinct)
+    return plain if hot.keys is None else plain.unionByName(hot_join(sides, key, hot, distinct, max_keys))
+
+
+def cool_join(sides: list[Side], key: str, hot: HotKeys, distinct: bool = False) -> DataFrame:
+    """The part of `product_join` for the keys that are not hot: a plain join."""
+    tables = [_cool_rows(side, key, hot.keys, distinct) for side in sides]
+    return _weighed(_join_all(tables, sides, [key]), [None if distinct else side.weight for side in sides])
+
+
+def hot_join(
+    sides: list[Side], key: str, hot: HotKeys, distinct: bool = False, max_keys: int = MAX_HOT_KEYS
+) -> DataFrame:
+    """The part of `product_join` for the hot keys: distinct values on a grid."""
+    reduced = [_hot_values(side, i, key, hot.keys, distinct) for i, side in enumerate(sides)]
     split = _join_all(spread(reduced, key, max_keys), sides, [key, CELL]).drop(CELL)
-    return plain.unionByName(_weighed(split, [f"_w{i}" for i in range(len(sides))]))
+    return _weighed(split, [f"_w{i}" for i in range(len(sides))])
 
 
 def _cool_rows(side: Side, key: str, hot: DataFrame | None, distinct: bool) -> DataFrame:

@@ -78,7 +78,7 @@ def skewed(seed: int = 3, cases: int = 60, rows: int = 400):
         return f"{letter}0" if rng.random() < 1 / 3 else f"{letter}{rng.randrange(1, many)}"
 
     drug = [(case(), rng.choice(["PS", "PS", "SS"]), pick("d", 25)) for _ in range(rows)]
-    reac = [(case(), pick("r", 40)) for _ in range(rows)]
+    reac = [(case(), pick("r", 40) if rng.random() < 0.9 else None) for _ in range(rows)]
     outcome = [(case(), rng.choice([*SEVERE, "OT"])) for _ in range(rows // 4)]
     demographics = [(case(), rng.choice("AB"), rng.choice("FM"), "70", "YR") for _ in range(cases * 2)]
     return drug, reac, outcome, demographics
