@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
@@ -14,6 +16,9 @@ from casewatch.plans.lineage import cut_lineage
 from casewatch.plans.ranking import top_k_per_key
 from casewatch.plans.skew import CELL, Side, spread
 
+# Executors need not have this package: what runs in tasks travels with them.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Similarities are rounded before ranking, so that equal vectors tie and the smaller id wins.
 DIGITS = 6
 # Numbers in the query matrix every task may hold (32 MB as doubles).

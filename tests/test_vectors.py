@@ -61,3 +61,15 @@ def test_approximate_recall_and_share(points):
 
 def test_no_queries(spark, points):
     assert rows(vectors.nearest_names_exact(spark.createDataFrame([], SCHEMA), points, 5)) == []
+
+
+def test_task_code_needs_no_package_on_executors(tmp_path):
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    (tmp_path / "code").write_bytes(cloudpickle.dumps(vectors._Best))
+    text = "import pickle; best = pickle.load(open('code', 'rb')); import numpy as np; print(best(np.arange(1), np.ones((1, 1)), 1, False).k)"
+    done = subprocess.run([sys.executable, "-c", text], cwd=tmp_path, capture_output=True, text=True, timeout=60)
+    assert done.stdout.strip() == "1", done.stderr
