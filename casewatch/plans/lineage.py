@@ -29,7 +29,27 @@ def new_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise `df` in the shared folder, so that later uses read the same rows again."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut_lineage(df: DataFrame, name: str = "cut") -> DataFrame:
+    """Write `df` as Parquet in the shared folder and read it back, so that later uses read the same rows again.
+
+    The columns stay prunable and lost executors cost nothing that was written. The files stay until
+    `delete_written` or until the folder is cleaned.
+    """
+    session = df.sparkSession
+    folder = new_dir(session, name)
+    df.write.parquet(folder)
+    return session.read.schema(df.schema).parquet(folder)
+
+
+def delete_written(df: DataFrame) -> None:
+    """Delete the folders below the shared one that `df` reads; only for results that are no longer needed."""
+    session = df.sparkSession
+    base = shared_dir(session).rstrip("/")
+    hadoop = session.sparkContext._jvm.org.apache.hadoop.fs.Path
+    home = hadoop(base)
+    files = home.getFileSystem(session.sparkContext._jsc.hadoopConfiguration())
+    top = files.makeQualified(home).toString() + "/"
+    for folder in {hadoop(f).getParent().toString() for f in df.inputFiles()}:
+        path = files.makeQualified(hadoop(folder))
+        if path.toString().startswith(top):
+            files.delete(path, True)
