@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casewatch.llm import simhash
+from casewatch.llm import decontaminate, simhash
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -19,8 +19,64 @@ def op2_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumn("fingerprint", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")))
 
 
+def op6_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    marked = decontaminate.mark_contamination(docs, table(spark, folder, "benchmark"))
+    hit = F.aggregate("hit_spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return marked.select(
+        "doc_id",
+        "n_words",
+        hit.alias("n_hit"),
+        F.size("hit_items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", F.array_sort("hit_items")), 256).alias("items_sha256"),
+        (hit > 0).alias("contaminated"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
+    "op6_decontaminate": op6_decontaminate,
 }
 
-ORACLE: dict[str, str] = {}
+# Windows of ten consecutive words (or the whole of a shorter item), met by equality.
+_OP6 = r"""
+WITH words AS (
+    SELECT 'd' AS kind, rowid_ AS id, doc_id AS name, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM (SELECT row_number() OVER () AS rowid_, * FROM documents)
+), items AS (
+    SELECT DISTINCT item_id, array_to_string(w[i : i + least(10, len(w)) - 1], ' ') AS phrase, least(10, len(w)) AS n
+    FROM (
+        SELECT item_id, w, unnest(range(1, greatest(len(w) - 10, 0) + 2)) AS i
+        FROM (
+            SELECT item_id, regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+            FROM benchmark
+        )
+        WHERE len(w) > 0
+    )
+), windows AS (
+    SELECT id, i, n, array_to_string(w[i : i + n - 1], ' ') AS phrase
+    FROM (
+        SELECT id, w, n, unnest(range(1, len(w) - n + 2)) AS i
+        FROM words, (SELECT DISTINCT n FROM items)
+        WHERE len(w) >= n
+    )
+), hits AS (
+    SELECT id, i, windows.n, item_id FROM windows JOIN items ON windows.phrase = items.phrase AND windows.n = items.n
+), covered AS (
+    SELECT id, count(DISTINCT p) AS n_hit FROM (SELECT id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY id
+), found AS (
+    SELECT id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS items_sha256
+    FROM (SELECT DISTINCT id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY id
+)
+SELECT name AS doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM words LEFT JOIN covered USING (id) LEFT JOIN found USING (id)
+"""
+
+ORACLE: dict[str, str] = {
+    "op6_decontaminate": _OP6,
+}
