@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casewatch.llm import decontaminate, simhash
+from casewatch.llm import decontaminate, pii, simhash
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -33,9 +33,29 @@ def op6_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op9_pii(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = pii.find_personal_data(docs)
+
+    def number(kind: str):
+        return F.size(F.filter("pii_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    def joined(spans):
+        return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])))
+
+    base = F.filter("pii_spans", lambda s: s["kind"] != pii.SECRET)
+    return found.select(
+        "doc_id",
+        *[number(k) for k in pii.KINDS],
+        F.sha2(joined(base), 256).alias("base_sha256"),
+        joined(F.col("pii_spans")).alias("spans"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op6_decontaminate": op6_decontaminate,
+    "op9_pii": op9_pii,
 }
 
 # Windows of ten consecutive words (or the whole of a shorter item), met by equality.
