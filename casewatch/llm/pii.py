@@ -151,22 +151,31 @@ def features(text: str, span: Span) -> tuple[int, ...]:
 FEATURES = (5, 5, 4, 2, 2, 2, 2)
 
 
+# Every labeler is taken to have been right in eight of ten votes of either kind before any is seen.
+PRIOR = np.array([[8.0, 2.0], [2.0, 8.0]])
+
+
 def reliabilities(patterns: dict[tuple[int, ...], int], rounds: int = 50) -> tuple[float, np.ndarray]:
-    """Expectation maximisation: the share of personal spans, and for each labeler how often it says 1, 0 or nothing
-    (last axis: 1, 0, -1) about a span that is (row 1) or is not (row 0) personal. It starts from the majority."""
+    """Expectation maximisation: the share of personal spans, and for each labeler how often, when it votes at all,
+    it says 0 or 1 (last axis) about a span that is not (row 0) or is (row 1) personal. It starts from the majority;
+    a labeler without an opinion says nothing about the span."""
     rows = np.array(sorted(patterns), np.int64).reshape(-1, LABELERS)
     count = np.array([patterns[tuple(r)] for r in rows.tolist()], np.float64)
-    said = np.stack([rows == 1, rows == 0, rows == -1], axis=-1).astype(np.float64)
+    said = _said(rows)
     score = (rows == 1).sum(axis=1) - (rows == 0).sum(axis=1)
     belief = np.where(score > 0, 0.9, np.where(score < 0, 0.1, 0.5))
     for _ in range(rounds):
-        share = (count @ belief + 1) / (count.sum() + 2)
-        told = np.stack([np.einsum("n,nlv->lv", count * b, said) + 1 for b in (1 - belief, belief)], axis=1)
+        share = (count @ belief + count.sum()) / (3 * count.sum())  # kept from the ends, where few are of one class
+        told = np.stack([np.einsum("n,nlv->lv", count * b, said) for b in (1 - belief, belief)], axis=1) + PRIOR
         told /= told.sum(axis=2, keepdims=True)
         belief = _belief(said, share, told)
     return float(share), told
 
 
+def _said(rows: np.ndarray) -> np.ndarray:
+    return np.stack([rows == 0, rows == 1], axis=-1).astype(np.float64)
+
+
 def _belief(said: np.ndarray, share: float, told: np.ndarray) -> np.ndarray:
     logs = np.einsum("nlv,lcv->nc", said, np.log(told)) + np.log([1 - share, share])
     return 1 / (1 + np.exp(np.clip(logs[:, 0] - logs[:, 1], -50, 50)))
@@ -200,9 +209,7 @@ def train(counts: dict[tuple[tuple[int, ...], tuple[int, ...]], int], rounds: in
     share, told = reliabilities(patterns)
     keys = sorted(counts)
     n = np.array([counts[k] for k in keys], np.float64)
-    rows = np.array([v for v, _ in keys], np.int64)
-    said = np.stack([rows == 1, rows == 0, rows == -1], axis=-1).astype(np.float64)
-    belief = _belief(said, share, told)
+    belief = _belief(_said(np.array([v for v, _ in keys], np.int64)), share, told)
     x = _design(np.array([f for _, f in keys], np.int64))
     n /= n.sum()
     w = np.zeros(x.shape[1])
