@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casewatch.llm import decontaminate, packing, pii, simhash
+from casewatch.llm import decontaminate, packing, pii, quality, simhash, url_filter
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -20,6 +20,19 @@ def op2_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumn("fingerprint", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")))
 
 
+URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
+
+
+def op3_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "rule string, action string")
+    return url_filter.judge_urls(table(spark, folder, "pages").select("page_id", "url"), rules).drop("url")
+
+
+def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return quality.weigh(docs, table(spark, folder, "labels")).drop("text")
+
+
 def tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
@@ -63,7 +76,9 @@ def op9_pii(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
+    "op3_url_filter": op3_url_filter,
     "op4_packing": op4_packing,
+    "op5_quality": op5_quality,
     "op6_decontaminate": op6_decontaminate,
     "op9_pii": op9_pii,
 }
@@ -107,6 +122,30 @@ SELECT name AS doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(
 FROM words LEFT JOIN covered USING (id) LEFT JOIN found USING (id)
 """
 
+_OP3 = """
+WITH cut AS (
+    SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), split AS (
+    SELECT page_id,
+           translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+           coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path
+    FROM cut
+), ruled AS (
+    SELECT page_id, coalesce(host, '') AS host, path, CASE
+        WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+        WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/es/') THEN 'example.org/es/'
+        WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/fr/') THEN 'com/fr/'
+        WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/de/') THEN 'com/de/'
+        WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/') THEN 'org/'
+        END AS rule
+    FROM split
+)
+SELECT page_id, host, path, rule,
+       CASE WHEN rule IN ('example.org/en/1', 'example.org/es/', 'com/de/') THEN 'block' ELSE 'allow' END AS verdict
+FROM ruled
+"""
+
 ORACLE: dict[str, str] = {
+    "op3_url_filter": _OP3,
     "op6_decontaminate": _OP6,
 }
