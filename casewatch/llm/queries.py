@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casewatch.llm import decontaminate, packing, pii, quality, simhash, url_filter
+from casewatch.llm import decontaminate, packing, pii, quality, simhash, topk, url_filter
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -74,6 +74,10 @@ def op9_pii(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op10_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    return topk.exact_top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op3_url_filter": op3_url_filter,
@@ -81,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality": op5_quality,
     "op6_decontaminate": op6_decontaminate,
     "op9_pii": op9_pii,
+    "op10_top_k": op10_top_k,
 }
 
 # Windows of ten consecutive words (or the whole of a shorter item), met by equality.
@@ -145,7 +150,22 @@ SELECT page_id, host, path, rule,
 FROM ruled
 """
 
+_OP10 = """
+WITH whole AS (
+    SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+    FROM embeddings WHERE len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id,
+           CAST(list_sum(list_transform(list_zip(q.v, c.v), p -> p[1] * p[2])) AS BIGINT) AS score
+    FROM whole q JOIN whole c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+WHERE rank <= 5
+"""
+
 ORACLE: dict[str, str] = {
     "op3_url_filter": _OP3,
     "op6_decontaminate": _OP6,
+    "op10_top_k": _OP10,
 }
