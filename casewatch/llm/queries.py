@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casewatch.llm import decontaminate, lm_score, packing, pii, quality, simhash, suffix_dedup, topk, url_filter
+from casewatch.llm import decontaminate, lm_score, packing, pii, quality, simhash, suffix_dedup, token_files, topk, url_filter
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -63,6 +63,10 @@ def op7_lm_score(spark: SparkSession, folder: str) -> DataFrame:
     return lm_score.score(table(spark, folder, "documents").select("doc_id", "text")).drop("text")
 
 
+def op8_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    return token_files.token_file_digest(table(spark, folder, "documents"), tokenizer())
+
+
 def op9_pii(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     found = pii.find_personal_data(docs)
@@ -94,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality": op5_quality,
     "op6_decontaminate": op6_decontaminate,
     "op7_lm_score": op7_lm_score,
+    "op8_token_files": op8_token_files,
     "op9_pii": op9_pii,
     "op10_top_k": op10_top_k,
 }
