@@ -22,7 +22,7 @@ by_value(__name__)
 BLOCK = 4_096
 LANES = 1_024
 MAGIC = b"CWR1"
-_HEAD = "<III"  # ids, bytes of code, checksum of the ids
+_HEAD = "<III"  # ids, bytes of code, checksum of both
 
 BITS = 14  # of a chance
 TOTAL = 1 << BITS
@@ -223,6 +223,10 @@ def _decode_lanes(codes: list[bytes], sizes: np.ndarray) -> list[np.ndarray]:
     return [ids[:n, i].astype("<u4") for i, n in enumerate(sizes.tolist())]
 
 
+def _checksum(block: np.ndarray, code: bytes) -> int:
+    return zlib.crc32(code, zlib.crc32(block.astype("<u4").tobytes()))
+
+
 def encode(ids: np.ndarray) -> bytes:
     """A stream of blocks; ids are below 65,536."""
     if len(ids) and int(ids.max()) >= 1 << 16:
@@ -232,7 +236,7 @@ def encode(ids: np.ndarray) -> bytes:
     for start in range(0, len(blocks), LANES):
         part = blocks[start : start + LANES]
         for block, code in zip(part, _encode_lanes(part)):
-            out += [struct.pack(_HEAD, len(block), len(code), zlib.crc32(block.astype("<u4").tobytes())), code]
+            out += [struct.pack(_HEAD, len(block), len(code), _checksum(block, code)), code]
     return b"".join(out)
 
 
@@ -250,8 +254,8 @@ def decode(stream: bytes) -> np.ndarray:
     for start in range(0, len(codes), LANES):
         part = heads[start : start + LANES]
         found = _decode_lanes(codes[start : start + LANES], np.array([h[0] for h in part]))
-        for block, head in zip(found, part):
-            if zlib.crc32(block.tobytes()) != head[2]:
+        for block, code, head in zip(found, codes[start : start + LANES], part):
+            if _checksum(block, code) != head[2]:
                 raise ValueError("a block of coded ids is damaged")
         out += found
     return np.concatenate(out) if out else np.empty(0, "<u4")
