@@ -23,9 +23,13 @@ by_value(__name__)
 # Vectors of one shard, and numbers of the queries that every task holds.
 SHARD = 8_192
 QUERY_VALUES = 1 << 20
-# A list is read in so many stretches; reading ends when so many rows are left.
-STRETCHES = 8
+# Shares of the lists after which the bounds are compared; reading ends when so many rows are left.
+DEPTHS = (1 / 4, 1 / 2, 3 / 4, 7 / 8, 15 / 16, 1)
 FEW = 64
+# Queries whose bounds are in memory at a time.
+GROUP = 64
+# Bounds are sums of floating-point products; this share of the largest possible sum covers their rounding.
+ROUNDING = 2.0**-44
 
 
 def quantized(vector: Column) -> Column:
@@ -35,44 +39,48 @@ def quantized(vector: Column) -> Column:
 
 
 class Lists:
-    """The rows of a shard in the order of each component."""
+    """The rows of a shard and, for each component, its values in order."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         self.ids, self.vectors = ids, vectors
         self.exact = vectors.astype(np.float64)
-        self.order = np.argsort(vectors, axis=0, kind="stable").T  # (component, place): row
-        self.low, self.high = (vectors.min(axis=0), vectors.max(axis=0)) if len(ids) else (None, None)
-
-    def top(self, own: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of at least the k best rows but the query's own, from the bounds."""
+        self.sorted = np.sort(self.exact, axis=0)
+
+    def bounds(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """What each component of each row adds at least and at most, once `depth` rows of its list have been read from
+        the high end (left half, for positive weights) and from the low end (right half, for negative ones)."""
+        x, rows = self.exact, len(self.ids)
+        high, low = self.sorted[rows - depth], self.sorted[depth - 1]
+        least = np.concatenate([np.where(x >= high, x, self.sorted[0]), np.where(x <= low, x, self.sorted[-1])], axis=1)
+        most = np.concatenate([np.maximum(x, high), np.minimum(x, low)], axis=1)
+        return least, most
+
+    def top(self, own: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Number of a query, ids and scores of rows that hold its k best but the query's own id."""
         rows = len(self.ids)
-        others = self.ids != own
-        used = np.flatnonzero(query)
-        best = min(k, int(others.sum()))
-        if best == 0:
-            return self.ids[:0], self.ids[:0]
-        left = np.flatnonzero(others)
-        if len(used) and len(left) > FEW:
-            weight = query[used].astype(np.float64)
-            order = np.where((weight > 0)[:, None], self.order[used, ::-1], self.order[used])
-            least = np.where(weight > 0, self.low[used], self.high[used]) * weight
-            read = np.zeros(rows)
-            unread = np.ones((rows, len(used)), np.float64)
-            step = -(-rows // STRETCHES)
-            for start in range(0, rows, step):
-                part = order[:, start : start + step]
-                component = np.repeat(np.arange(len(used)), part.shape[1])
-                row = part.ravel()
-                read += np.bincount(row, self.exact[row, used[component]] * weight[component], rows)
-                unread[row, component] = 0
-                front = self.exact[part[:, -1], used] * weight
-                lower = read + unread @ least
-                upper = read + unread @ front
-                floor = np.partition(lower[others], len(lower[others]) - best)[len(lower[others]) - best]
-                left = np.flatnonzero(others & (upper >= floor))
-                if len(left) <= FEW:
-                    break
-        return self.ids[left], self.vectors[left] @ query
+        weights = np.concatenate([np.maximum(queries, 0), np.minimum(queries, 0)], axis=1).astype(np.float64).T
+        reach = np.abs(self.sorted[[0, -1]]).max(axis=0) if rows else np.zeros(queries.shape[1])
+        slack = ROUNDING * (np.abs(queries) @ reach + 1)
+        pending = np.arange(len(queries))
+        for share in DEPTHS:
+            if not len(pending) or not rows:
+                return
+            least, most = self.bounds(max(1, int(rows * share)))
+            later = []
+            for start in range(0, len(pending), GROUP):
+                asked = pending[start : start + GROUP]
+                mine = self.ids[:, None] == own[asked]
+                lower, upper = least @ weights[:, asked], most @ weights[:, asked]
+                lower[mine], upper[mine] = -np.inf, -np.inf
+                best = min(k, rows)
+                floor = np.partition(lower, rows - best, axis=0)[rows - best] - 2 * slack[asked]
+                left = (upper >= floor) & ~mine
+                settled = (left.sum(axis=0) <= FEW) | (share == 1)
+                later.append(asked[~settled])
+                for i in np.flatnonzero(settled).tolist():
+                    chosen = np.flatnonzero(left[:, i])
+                    yield int(asked[i]), self.ids[chosen], self.vectors[chosen] @ queries[asked[i]]
+            pending = np.concatenate(later)
 
 
 def _searching(queries: list[tuple[int, int, list[int]]], k: int):
@@ -85,12 +93,15 @@ def _searching(queries: list[tuple[int, int, list[int]]], k: int):
         def flush(width: int) -> Iterator[pa.RecordBatch]:
             parts = held.pop(width)
             lists = Lists(np.concatenate([i for i, _ in parts]), np.concatenate([v for _, v in parts]))
-            for number, own, vector in asked.get(width, []):
-                ids, scores = lists.top(own, vector, k)
+            mine = asked.get(width)
+            if not mine:
+                return
+            numbers, owners = np.array([n for n, _, _ in mine]), np.array([o for _, o, _ in mine])
+            for i, ids, scores in lists.top(owners, np.stack([v for _, _, v in mine]), k):
                 first = np.lexsort((ids, -scores))[:k]
                 n = len(first)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, number)), pa.array(np.full(n, own)), pa.array(ids[first]), pa.array(scores[first])],
+                    [pa.array(np.full(n, numbers[i])), pa.array(np.full(n, owners[i])), pa.array(ids[first]), pa.array(scores[first])],
                     names=["number", "query_id", "vec_id", "score"],
                 )
 
