@@ -68,16 +68,21 @@ def lookup(column: str, values: Mapping[str, float]) -> Column:
     return found
 
 
+def age_number() -> Column:
+    """The number an age text spells in plain digits; NULL for a sign, an exponent, a unit, NaN or Infinity."""
+    return F.when(F.col("age").rlike(r"^\s*[0-9]+(\.[0-9]+)?\s*$"), F.regexp_replace("age", r"\s", "").try_cast("double"))
+
+
 def age_years(units: Mapping[str, float] = AGE_UNITS) -> Column:
     """Age in years; NULL when the text is no number or the unit is unknown."""
-    return F.col("age").try_cast("double") * lookup("age_cod", units)
+    return age_number() * lookup("age_cod", units)
 
 
 def age_status(units: Mapping[str, float] = AGE_UNITS) -> Column:
     """Why an age can or cannot be used: known, missing, not_a_number or unknown_unit."""
     return (
         F.when(F.col("age").isNull(), "missing")
-        .when(F.col("age").try_cast("double").isNull(), "not_a_number")
+        .when(age_number().isNull(), "not_a_number")
         .when(lookup("age_cod", units).isNull(), "unknown_unit")
         .otherwise("known")
     )

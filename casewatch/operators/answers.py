@@ -185,10 +185,11 @@ def expected_fact_recall(
 
     `answers` has (key, answer) with one or more texts per question, `expectations` one array
     `expected_facts` per question, `synonyms` optional (fact, synonym) rows. Texts compare lower-cased.
-    A question without answers has recall 0.
+    A question without answers has recall 0, one without facts a fact count of 0 and recall NULL. NULL facts do not
+    count, and a fact named on several rows of a question counts once.
     """
-    lowered = F.array_distinct(F.transform("expected_facts", lambda fact: F.lower(fact)))
-    facts = cut_lineage(expectations.select(key, F.explode(lowered).alias("fact")))  # read twice below
+    listed = expectations.select(key, F.explode_outer("expected_facts").alias("fact"))
+    facts = cut_lineage(listed.select(key, F.lower("fact").alias("fact")).distinct())  # read twice below
     spellings = facts.withColumn("spelling", F.col("fact"))
     if synonyms is not None:
         others = synonyms.select(F.lower("fact").alias("fact"), F.lower("synonym").alias("spelling"))
@@ -206,8 +207,8 @@ def expected_fact_recall(
     return (
         facts.join(found, [key, "fact"], "left")
         .groupBy(key)
-        .agg(F.count(F.lit(1)).alias("fact_count"), F.count("found").alias("found_count"))
-        .withColumn("recall", F.col("found_count") / F.col("fact_count"))
+        .agg(F.count("fact").alias("fact_count"), F.count("found").alias("found_count"))
+        .withColumn("recall", F.try_divide("found_count", "fact_count"))
     )
 
 

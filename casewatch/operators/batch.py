@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casewatch.functions.columns import drug_key
+from casewatch.functions.columns import drug_key, name_key
 from casewatch.operators.counts import (
     all_drugs,
     drug_side,
@@ -40,10 +40,10 @@ class Requested:
 
 
 def only_drugs(drug: DataFrame, drugs: DataFrame | None) -> Requested:
-    """Keep the drugs in the `drug` column of a request table, if there is one."""
+    """Keep the drugs in the `drug` column of a request table, if there is one; case and outer spaces do not count."""
     if drugs is None:
         return Requested(drug)
-    keys = drugs.select("drug").filter("drug is not null").distinct()
+    keys = drugs.select(name_key("drug").alias("drug")).filter("drug is not null").distinct()
     if not is_small(keys):
         return Requested(drug, keys)
     keyed = drug.withColumn("drug", drug_key(drug))
@@ -188,9 +188,9 @@ def pair_interactions_for(
     """The pair report for each (drug1, drug2) of a request table, without a self-join.
 
     Every drug row is matched with the requests naming it; a case belongs to a request when both
-    places are filled. A drug paired with itself gives its own reactions.
+    places are filled. A drug paired with itself gives its own reactions. Names are asked and given as `name_key`.
     """
-    wanted = pairs.select("drug1", "drug2").distinct()
+    wanted = pairs.select(name_key("drug1").alias("drug1"), name_key("drug2").alias("drug2")).distinct()
     places = F.array(
         F.struct(F.col("drug1").alias("drug"), F.lit(1).alias("place")),
         F.struct(F.col("drug2").alias("drug"), F.lit(2).alias("place")),

@@ -6,12 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casewatch.functions.columns import name_key
+from casewatch.plans.lineage import cut_lineage
 from casewatch.plans.ranking import top_k_per_key
 from casewatch.plans.sizing import is_small
 from casewatch.plans.skew import Side, product_join
 
 # Everything but letters and digits separates words.
 WORD_GAP = r"[^\p{L}\p{N}]+"
+# Edits within which closest names are looked for by shared deletions before the others are compared in blocks.
+NEAR = 2
+# Names on each side of a block.
+BLOCK = 2_048
 
 
 def words(text: str | Column, gap: str = WORD_GAP) -> Column:
@@ -94,27 +99,56 @@ def normalize_names_fuzzy(
     names: DataFrame,
     dictionary: DataFrame,
     k: int | None = 10,
-    max_distance: int = 2,
+    max_distance: int | None = None,
     name_column: str = "name",
     dictionary_column: str = "drug_name",
 ) -> DataFrame:
-    """(name, rank, drug_name, distance): the `k` dictionary names within `max_distance` edits.
+    """(name, rank, drug_name, distance): the `k` closest dictionary names, or those within `max_distance` edits.
 
     Two texts within d edits share a text left over from at most d deletions on each side, so an
-    equi-join on those leftovers finds every partner. Texts sharing one are within 2d edits of each
-    other, so a join key has few rows even in a large dictionary.
+    equi-join on those leftovers finds every partner. Without a `max_distance` a name that has `k` partners within
+    `NEAR` edits is finished; the others are compared with the dictionary in blocks, and every task keeps its best `k`.
     """
     wanted = names.select(name_key(name_column).alias("name")).filter("name is not null").distinct()
     known = dictionary.select(name_key(dictionary_column).alias("drug_name")).filter("drug_name <> ''").distinct()
+    if max_distance is not None:
+        return _best(_within(wanted, known, max_distance), k)
+    if k is None:
+        raise ValueError("give k or max_distance")
+    wanted, known = cut_lineage(wanted), cut_lineage(known)
+    near = cut_lineage(_best(_within(wanted, known, NEAR), k))
+    finished = near.groupBy("name").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == k).select("name")
+    rest = cut_lineage(wanted.join(finished, "name", "left_anti"))
+    return near.join(finished, "name", "left_semi").unionByName(_best(_in_blocks(rest, known), k))
+
+
+def _best(pairs: DataFrame, k: int | None) -> DataFrame:
+    ranked = top_k_per_key(pairs, ["name"], k, [F.asc("distance"), F.asc("drug_name")])
+    return ranked.select("name", "rank", "drug_name", "distance")
+
+
+def _within(wanted: DataFrame, known: DataFrame, max_distance: int) -> DataFrame:
     left = wanted.select("name", F.explode(deletion_variants("name", max_distance)).alias("variant"))
     right = known.select("drug_name", F.explode(deletion_variants("drug_name", max_distance)).alias("variant"))
     distance = F.levenshtein("name", "drug_name", max_distance)
-    pairs = (
+    return (
         left.join(right, "variant")
         .select("name", "drug_name")
         .distinct()
         .withColumn("distance", distance.cast("bigint"))
         .filter("distance >= 0")
     )
-    ranked = top_k_per_key(pairs, ["name"], k, [F.asc("distance"), F.asc("drug_name")])
-    return ranked.select("name", "rank", "drug_name", "distance")
+
+
+def _in_blocks(wanted: DataFrame, known: DataFrame) -> DataFrame:
+    """Distances of the names left over to the whole dictionary, a block of each at a time."""
+    rows, columns = (max(1, -(-df.count() // BLOCK)) for df in (wanted, known))
+
+    def dealt(df: DataFrame, name: str, own: int, other: int, order: tuple[str, str]) -> DataFrame:
+        mine, copies = F.pmod(F.xxhash64(name), F.lit(own)), F.explode(F.sequence(F.lit(0), F.lit(other - 1)))
+        return df.select(name, mine.cast("int").alias(order[0]), copies.alias(order[1]))
+
+    left = dealt(wanted, "name", rows, columns, ("row", "column"))
+    right = dealt(known, "drug_name", columns, rows, ("column", "row"))
+    pairs = left.join(right, ["row", "column"])
+    return pairs.select("name", "drug_name", F.levenshtein("name", "drug_name").cast("bigint").alias("distance"))

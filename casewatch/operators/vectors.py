@@ -28,8 +28,6 @@ QUERY_BLOCK = 2_048
 VECTOR_BLOCK = 65_536
 # Rows compared with all queries of a block at a time.
 SLICE = 4_096
-# Rows read to place the cell centres; every vector is still assigned to a cell.
-TRAINING_ROWS = 1_000_000
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -194,15 +192,12 @@ def nearest_names_in_cells(
 
 
 def cell_centres(vectors: DataFrame, cells: int, vector_column: str = "embedding", seed: int = 1) -> np.ndarray:
-    """Centres of `cells` groups of vectors, placed by k-means on unit vectors."""
+    """Centres of `cells` groups of vectors, placed by k-means on all unit vectors."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import Normalizer
     from pyspark.ml.functions import array_to_vector
 
     rows = vectors.filter(F.size(vector_column) > 0)
-    total = rows.count()
-    if total > TRAINING_ROWS:
-        rows = rows.sample(TRAINING_ROWS / total, seed)
     features = rows.select(array_to_vector(F.col(vector_column).cast("array<double>")).alias("raw"))
     unit = Normalizer(inputCol="raw", outputCol="features").transform(features)
     model = KMeans(k=cells, seed=seed, maxIter=10).fit(unit)

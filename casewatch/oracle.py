@@ -107,8 +107,9 @@ _MATRIX = f"""SELECT drug, side_effect, CAST(SUM(n) AS BIGINT) AS report_count,
 
 _WORDS = """SELECT {id}, unnest(words) AS word, generate_subscripts(words, 1) AS place FROM
     (SELECT {id}, list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda w: w <> '') AS words FROM {table})"""
-_LONG_WORDS = "SELECT DISTINCT word AS drug_name FROM bw WHERE length(word) >= 9"
-_RUNS = """SELECT {id}, word || ' ' || lead(word, 1) OVER w || ' ' || lead(word, 2) OVER w AS phrase
+_NAMES = "SELECT DISTINCT word AS drug_name FROM bw"
+_RUNS = """SELECT {id}, unnest([word, word || ' ' || lead(word, 1) OVER w,
+    word || ' ' || lead(word, 1) OVER w || ' ' || lead(word, 2) OVER w]) AS phrase
     FROM {source} WINDOW w AS (PARTITION BY {id} ORDER BY place)"""
 _TEXT_CTES = {
     "bw": _WORDS.format(id="item_id", table="benchmark"),
@@ -203,6 +204,14 @@ ORACLE: dict[str, str] = {
     "b6": _sql(_MATRIX, "drug", "reac", "outcome"),
     "b7": _sql(_severe_top("JOIN demographics USING (primaryid)", _OLD), *_ALL),
     "b7_one_sex": _sql(_severe_top("JOIN demographics USING (primaryid)", f"{_OLD} AND sex = '{SEX}'"), *_ALL),
+    "b7_bad_ages": _sql(
+        _severe_top("JOIN demographics USING (primaryid)", _OLD),
+        *_ALL,
+        extra={
+            "demographics": f"""SELECT * REPLACE (CASE WHEN age IN ('1', '2', '3', '4', '5') THEN NULL WHEN age = '6'
+            THEN '90.5' ELSE age END AS age) FROM ({_VIEWS["demographics"]})"""
+        },
+    ),
     "b7_ages": _sql(
         """SELECT CASE WHEN age = '1' THEN 'unknown_unit' ELSE 'known' END AS age_status, COUNT(*) AS row_count
         FROM demographics GROUP BY 1""",
@@ -229,16 +238,15 @@ ORACLE: dict[str, str] = {
     "n1": _sql(
         """SELECT doc_id, drug_name, COUNT(*) AS mention_count FROM dw JOIN names ON word = drug_name
         GROUP BY doc_id, drug_name""",
-        extra={**_TEXT_CTES, "names": _LONG_WORDS},
+        extra={**_TEXT_CTES, "names": _NAMES},
     ),
     "n1_phrases": _sql(
-        """SELECT doc_id, drug_name, COUNT(*) AS mention_count FROM (SELECT doc_id, word AS phrase FROM dw
-        UNION ALL SELECT doc_id, phrase FROM runs WHERE phrase IS NOT NULL) JOIN names ON phrase = drug_name
+        """SELECT doc_id, drug_name, COUNT(*) AS mention_count FROM runs JOIN names ON phrase = drug_name
         GROUP BY doc_id, drug_name""",
         extra={
             **_TEXT_CTES,
             "runs": _RUNS.format(id="doc_id", source="dw"),
-            "names": f"""{_LONG_WORDS} UNION SELECT DISTINCT phrase FROM
+            "names": f"""SELECT DISTINCT phrase AS drug_name FROM
             ({_RUNS.format(id="item_id", source="bw")}) WHERE phrase IS NOT NULL""",
         },
     ),
@@ -246,8 +254,8 @@ ORACLE: dict[str, str] = {
         SELECT name, rank, drug_name, distance FROM (SELECT *, row_number() OVER
         (PARTITION BY name ORDER BY distance, drug_name) AS rank FROM (SELECT q.name, k.drug_name,
         CAST(levenshtein(q.name, k.drug_name) AS BIGINT) AS distance FROM
-        (SELECT DISTINCT substr(drug_name, 1, 2) || substr(drug_name, 4) AS name FROM known) q, known k)
-        WHERE distance <= 3) WHERE rank <= 3""",
+        (SELECT DISTINCT substr(drug_name, 1, 2) || substr(drug_name, 4) AS name FROM known) q, known k))
+        WHERE rank <= 3""",
     "n3": _NEAREST.format(more=""),
     "n4_given_cells": _NEAREST.format(more="AND q.label = v.label"),
     "n4_candidates": """SELECT CAST(SUM(n * n) AS BIGINT) AS candidates,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casewatch.functions.columns import with_name_keys
@@ -26,6 +26,8 @@ QUERIES: dict[str, Query] = {}
 DRUG, OTHER_DRUG = "red plate", "small widget"
 AGE_GROUP, SEX, AGE_OVER = "1-URGENT", "F", 65
 EFFECT = "Supplier#000000007"
+# Ages that are put in place of others; only the last is one.
+BAD_AGES = {"1": "NaN", "2": "Infinity", "3": "70d", "4": "-5", "5": "1e3", "6": " 90.5 "}
 WEIGHTS = {"DE": 10.0, "LT": 5.0, "HO": 2.0, "DS": 3.0}
 SYSTEM_TEXT = "Answer from the report counts only."
 
@@ -111,10 +113,15 @@ def b1_distinct_cases(t):
     return batch.top_side_effects_by_drug(t.drug, t.reac, distinct_cases=True)
 
 
+def _asked(name: str | Column) -> Column:
+    """A name as people type it."""
+    return F.concat(F.lit(" "), F.initcap(name), F.lit("  "))
+
+
 @query
 def b1_requested(spark, folder):
     t = case_tables(spark, folder)
-    wanted = read(spark, folder, "part").filter("p_name like 'red %'").select(F.col("p_name").alias("drug"))
+    wanted = read(spark, folder, "part").filter("p_name like 'red %'").select(_asked("p_name").alias("drug"))
     return batch.top_side_effects_by_drug(t.drug, t.reac, 3, wanted)
 
 
@@ -131,8 +138,8 @@ def b2_min_cases(t):
 @query
 def b2_requested(spark, folder):
     t = case_tables(spark, folder)
-    first = read(spark, folder, "part").select(F.col("p_name").alias("drug1")).distinct()
-    return batch.pair_interactions_for(t.drug, t.reac, first.withColumn("drug2", F.lit(OTHER_DRUG)))
+    first = read(spark, folder, "part").select(_asked("p_name").alias("drug1")).distinct()
+    return batch.pair_interactions_for(t.drug, t.reac, first.withColumn("drug2", _asked(F.lit(OTHER_DRUG))))
 
 
 @over_cases
@@ -176,6 +183,14 @@ def b7_ages(t):
     return severity.age_summary(mixed)
 
 
+@over_cases
+def b7_bad_ages(t):
+    age = F.col("age")
+    for number, text in BAD_AGES.items():
+        age = F.when(F.col("age") == number, text).otherwise(age)
+    return severity.severe_by_segment(t.drug, t.reac, t.outcome, t.demographics.withColumn("age", age), DRUG, AGE_OVER)
+
+
 @over_cases
 def b8(t):
     return severity.severe_pair_by_segment(
@@ -191,24 +206,19 @@ def b9(t):
 # Names
 
 
-def _dictionary(spark, folder, least_letters=9):
-    found = read(spark, folder, "benchmark").select(F.explode(names.words("text", "[^a-z]+")).alias("drug_name"))
-    return found.filter(F.length("drug_name") >= least_letters).distinct()
-
-
-def _phrase_dictionary(spark, folder, length=3):
+def _phrase_dictionary(spark, folder, length):
     tokens = read(spark, folder, "benchmark").select(names.words("text", "[^a-z]+").alias("tokens"))
     return tokens.select(F.explode(names.phrases("tokens", length)).alias("drug_name")).distinct()
 
 
 @query
 def n1(spark, folder):
-    return names.extract_mentions(read(spark, folder, "documents"), _dictionary(spark, folder), gap="[^a-z]+")
+    return names.extract_mentions(read(spark, folder, "documents"), _phrase_dictionary(spark, folder, 1), gap="[^a-z]+")
 
 
 @query
 def n1_phrases(spark, folder):
-    wanted = _phrase_dictionary(spark, folder).unionByName(_dictionary(spark, folder))
+    wanted = reduce(DataFrame.unionByName, [_phrase_dictionary(spark, folder, n) for n in (1, 2, 3)])
     return names.extract_mentions(read(spark, folder, "documents"), wanted, gap="[^a-z]+")
 
 
@@ -218,7 +228,7 @@ def n2(spark, folder):
     misspelled = known.select(
         F.concat(F.substring("drug_name", 1, 2), F.col("drug_name").substr(F.lit(4), F.length("drug_name"))).alias("name")
     )
-    return names.normalize_names_fuzzy(misspelled, known, k=3, max_distance=3)
+    return names.normalize_names_fuzzy(misspelled, known, k=3)
 
 
 @query
@@ -373,8 +383,8 @@ def s3(spark, folder):
     t = case_tables(spark, folder)
     parts = []
     for table, df in (("drug", t.drug), ("reac", t.reac), ("outcome", t.outcome), ("demographics", t.demographics)):
-        _as_text(df, table, spark, base)
-        files = case_files.file_manifest(case_files.read_family(spark, base, table))
+        pattern = _as_text(df, table, spark, base)
+        files = case_files.file_manifest(case_files.read_family(spark, base, table), pattern)
         parts.append(files.agg(F.sum("row_count").alias("row_count")).withColumn("family", F.lit(table)))
     return reduce(DataFrame.unionByName, parts)
 

@@ -50,8 +50,8 @@ def read_case_files(
 
 
 def read_family(spark: SparkSession, folder: str, table: str, **options) -> DataFrame:
-    """One of the four tables from its file family."""
-    return read_case_files(spark, family_path(folder, table), SCHEMAS[table], **options)
+    """One of the four tables from its file family; a header that differs from the schema fails unless `strict=False`."""
+    return read_case_files(spark, family_path(folder, table), SCHEMAS[table], **{"strict": True, **options})
 
 
 def check_headers(spark: SparkSession, path: str, schema: StructType, separator: str = SEPARATOR) -> DataFrame:
@@ -71,11 +71,20 @@ def check_headers(spark: SparkSession, path: str, schema: StructType, separator:
     return first.select("file_path", clean.alias("header"), (clean == expected).alias("matches"))
 
 
-def file_manifest(df: DataFrame) -> DataFrame:
-    """(file_path, file_name, file_size, row_count) of the files a file-based DataFrame reads; empty files give no row."""
+def file_manifest(df: DataFrame, path: str | None = None) -> DataFrame:
+    """(file_path, file_name, file_size, row_count) of the files a file-based DataFrame reads.
+
+    With the `path` the table was read from, files without rows are listed too, with a count of 0.
+    """
     columns = ["file_path", "file_name", "file_size"]
     meta = df.select(*[F.col(f"_metadata.{column}").alias(column) for column in columns])
-    return meta.groupBy(*columns).agg(F.count(F.lit(1)).alias("row_count"))
+    counted = meta.groupBy(*columns).agg(F.count(F.lit(1)).alias("row_count"))
+    if path is None:
+        return counted
+    # The content is not selected, so no file is opened for the listing.
+    listed = df.sparkSession.read.format("binaryFile").load(path)
+    listed = listed.select(*[F.col(f"_metadata.{column}").alias(column) for column in columns])
+    return listed.join(counted.select("file_path", "row_count"), "file_path", "left").na.fill(0, ["row_count"])
 
 
 def write_case_files(df: DataFrame, path: str, separator: str = SEPARATOR) -> None:

@@ -109,6 +109,20 @@ def test_fact_recall(spark):
     assert ("q3", 2, 2, 1.0) in rows(answers.expected_fact_recall(given, wanted, synonyms=spelled))
 
 
+def test_fact_recall_keeps_every_question(spark):
+    wanted = spark.createDataFrame(
+        [("q1", ["Pain", None]), ("q1", ["pain", "Rash"]), ("q2", []), ("q3", None), ("q4", [None])],
+        "question_id string, expected_facts array<string>",
+    )
+    given = spark.createDataFrame([("q1", "pain"), ("q2", "rash")], "question_id string, answer string")
+    assert sorted(rows(answers.expected_fact_recall(given, wanted))) == [
+        ("q1", 2, 1, 0.5),
+        ("q2", 0, 0, None),
+        ("q3", 0, 0, None),
+        ("q4", 0, 0, None),
+    ]
+
+
 def test_every_question_of_the_evaluation_kind_has_a_report(t):
     """Five most reported, pairs, one sex, comparison of drugs and one reaction are parameters, not code."""
     assert len(rows(reports.top_side_effects(t.drug, t.reac, "aspirin", k=5))) == 5

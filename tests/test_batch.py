@@ -110,3 +110,13 @@ def test_one_check_serves_several_reports(t, monkeypatch):
         lambda **more: batch.severe_side_effects_by_drug(t.drug, t.reac, t.outcome, **more),
     ):
         assert sorted(rows(run(hot=hot)), key=repr) == sorted(rows(run()), key=repr)
+
+
+def test_asked_names_are_compared_like_stored_ones(t):
+    drug = t.drug.select("drugname").filter("drugname is not null").distinct()
+    typed = drug.selectExpr("concat(' ', upper(drugname), '  ') as drug")
+    plain = sorted(rows(batch.top_side_effects_by_drug(t.drug, t.reac, 2)))
+    assert sorted(rows(batch.top_side_effects_by_drug(t.drug, t.reac, 2, typed))) == plain
+    pairs = drug.selectExpr("drugname as drug1", "'aspirin' as drug2")
+    asked = drug.selectExpr("concat(upper(drugname), ' ') as drug1", "' Aspirin' as drug2")
+    assert sorted(rows(batch.pair_interactions_for(t.drug, t.reac, asked))) == sorted(rows(batch.pair_interactions_for(t.drug, t.reac, pairs)))

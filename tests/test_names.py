@@ -67,3 +67,26 @@ def test_fuzzy_finds_every_name_within_the_distance(spark, limit):
         near = sorted((edits(a, k), k) for k in known if edits(a, k) <= limit)[:3]
         expected += [(a, place, k, d) for place, (d, k) in enumerate(near, 1)]
     assert sorted(found) == sorted(expected)
+
+
+@pytest.mark.parametrize("block", [2_048, 4])
+def test_fuzzy_finds_the_closest_names_however_far(spark, block, monkeypatch):
+    monkeypatch.setattr(names, "BLOCK", block)
+    rng = random.Random(7)
+    known = sorted({"".join(rng.choice("abcd") for _ in range(rng.randrange(1, 12))) for _ in range(40)} | {"y" * 300})
+    asked = ["abc", known[3], known[9] + "x", "zzzzzzzzzz", "crimson dish", "y" * 290, ""]
+    found = rows(
+        names.normalize_names_fuzzy(
+            spark.createDataFrame([(a,) for a in asked] + [(None,)], "name string"),
+            spark.createDataFrame([(k,) for k in known], "drug_name string"),
+            k=4,
+        )
+    )
+    expected = []
+    for a in asked:
+        closest = sorted((edits(a, k), k) for k in known)[:4]
+        expected += [(a, place, k, d) for place, (d, k) in enumerate(closest, 1)]
+    assert sorted(found) == sorted(expected)
+    few = spark.createDataFrame([("one",), ("two",)], "drug_name string")
+    assert len(rows(names.normalize_names_fuzzy(spark.createDataFrame([("a",)], "name string"), few, k=4))) == 2
+    assert rows(names.normalize_names_fuzzy(spark.createDataFrame([("a",)], "name string"), few.limit(0), k=4)) == []

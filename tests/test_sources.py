@@ -35,9 +35,16 @@ def test_headers_are_checked(spark, folder):
     pattern = case_files.family_path(base, "outcome")
     found = {r["file_path"].rsplit("/", 1)[1]: r["matches"] for r in case_files.check_headers(spark, pattern, SCHEMAS["outcome"]).collect()}
     assert found == {"OUTC1.txt": True, "OUTC2.txt": False}
-    assert len(rows(case_files.read_family(spark, base, "outcome"))) == 2
+    assert len(rows(case_files.read_family(spark, base, "outcome", strict=False))) == 2
     with pytest.raises(Exception, match="CSV header|header"):
-        case_files.read_family(spark, base, "outcome", strict=True).collect()
+        case_files.read_family(spark, base, "outcome").collect()
+
+
+def test_files_without_rows_are_listed(spark, folder):
+    base = folder(OUTC1=HEADER + "1$10$DE\n", OUTC2=HEADER)
+    found = case_files.read_family(spark, base, "outcome")
+    listed = case_files.file_manifest(found, case_files.family_path(base, "outcome")).collect()
+    assert {r["file_name"]: (r["row_count"], r["file_size"] > 0) for r in listed} == {"OUTC1.txt": (1, True), "OUTC2.txt": (0, True)}
 
 
 def test_short_and_long_rows_are_kept_apart(spark, folder):
@@ -62,7 +69,8 @@ def test_written_files_come_back(spark, tmp_path):
 
 def test_typed_columns_never_fail(spark):
     raw = spark.createDataFrame(
-        [("1", "30", "MON", "20240131"), ("2", "x", "YR", "2024"), ("3", "5", "?", "20240231"), ("4", None, None, None)],
+        [("1", "30", "MON", "20240131"), ("2", "x", "YR", "2024"), ("3", "5", "?", "20240231"), ("4", None, None, None),
+         *[(str(i), age, "YR", None) for i, age in enumerate(["NaN", "Infinity", "70d", "-5", "1e3", ""], 5)], ("11", " 90.5 ", "YR", None)],
         "primaryid string, age string, age_cod string, event_dt string",
     )
     typed = tables.typed_demographics(raw).select("age_years", "age_status", F.col("event_date").cast("string"))
@@ -71,6 +79,8 @@ def test_typed_columns_never_fail(spark):
         (None, "not_a_number", None),
         (None, "unknown_unit", None),
         (None, "missing", None),
+        *[(None, "not_a_number", None)] * 6,
+        (90.5, "known", None),
     ]
 
 
