@@ -257,6 +257,7 @@ ORACLE: dict[str, str] = {
         (SELECT DISTINCT substr(drug_name, 1, 2) || substr(drug_name, 4) AS name FROM known) q, known k))
         WHERE rank <= 3""",
     "n3": _NEAREST.format(more=""),
+    "n4_all_probes": _NEAREST.format(more=""),
     "n4_given_cells": _NEAREST.format(more="AND q.label = v.label"),
     "n4_candidates": """SELECT CAST(SUM(n * n) AS BIGINT) AS candidates,
         CAST(SUM(n) * SUM(n) AS BIGINT) AS possible, SUM(n * n) / CAST(SUM(n) * SUM(n) AS DOUBLE) AS share

@@ -247,6 +247,12 @@ def n4(spark, folder):
     return vectors.nearest_names_approx(points, points, cells=8, probes=4, other_id_only=True)
 
 
+@query
+def n4_all_probes(spark, folder):
+    points = read(spark, folder, "embeddings")
+    return vectors.nearest_names_approx(points, points, cells=8, probes=8, other_id_only=True)
+
+
 @query
 def n4_given_cells(spark, folder):
     points = _labelled(spark, folder)

@@ -3,7 +3,9 @@ import pytest
 from __spark_entry__ import entry, oracle_sql, queries
 from casewatch.functions.columns import with_name_keys
 from casewatch.operators import batch, reports
+from casewatch.oracle import ORACLE
 from casewatch.plans import sizing, skew
+from casewatch.registered import QUERIES
 from tests.conftest import rows
 from tools.check_oracle import compare_one, open_engine
 
@@ -19,7 +21,8 @@ def engine(data):
 
 
 def test_every_query_has_sql():
-    assert set(queries()) - set(oracle_sql()) == ROWS_ONLY
+    assert set(QUERIES) - set(ORACLE) == ROWS_ONLY
+    assert set(QUERIES) <= set(queries()) and set(ORACLE) <= set(oracle_sql())
 
 
 def test_entry(spark, data):
@@ -30,9 +33,9 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_its_sql_and_pairs_nothing_blindly(spark, data, engine, name):
-    df = queries()[name](spark, data)
+    df = QUERIES[name](spark, data)
     text = plan(df)
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
     assert "BatchEvalPython" not in text
@@ -44,7 +47,7 @@ def test_nothing_changes_when_every_case_is_hot_and_nothing_is_small(spark, data
     monkeypatch.setattr(skew, "MAX_KEY_PRODUCT", -1)
     monkeypatch.setattr(sizing, "BROADCAST_ROWS", 0)
     monkeypatch.setattr(batch, "PAIR_PART_ROWS", 2)
-    assert compare_one(engine, name, queries()[name](spark, data)) == ""
+    assert compare_one(engine, name, QUERIES[name](spark, data)) == ""
 
 
 def test_one_hot_keys_list_is_bounded(spark):
