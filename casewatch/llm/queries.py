@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casewatch.llm import decontaminate, lm_score, packing, pii, quality, simhash, suffix_dedup, token_files, topk, url_filter
+from casewatch.llm import (
+    decontaminate,
+    divergence,
+    lm_score,
+    packing,
+    pieces,
+    pii,
+    quality,
+    ranked_search,
+    simhash,
+    suffix_dedup,
+    token_files,
+    topk,
+    url_filter,
+)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -90,6 +104,26 @@ def op10_top_k(spark: SparkSession, folder: str) -> DataFrame:
     return topk.exact_top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
+def op11_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    return ranked_search.rank_documents(table(spark, folder, "documents"), table(spark, folder, "benchmark"), k=50)
+
+
+def op12_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    encoded = pieces.encode_pieces(table(spark, folder, "documents").select("doc_id", "text"), model)
+    decoded = pieces.decode_pieces(encoded.select("doc_id", "piece_ids"), model)
+    return decoded.select(
+        "doc_id",
+        F.size("piece_ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(" ", F.col("piece_ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op13_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.divergence(table(spark, folder, "documents"), min_docs=10, k=10)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_simhash": op2_simhash,
@@ -101,6 +135,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_files": op8_token_files,
     "op9_pii": op9_pii,
     "op10_top_k": op10_top_k,
+    "op11_ranked_search": op11_ranked_search,
+    "op12_pieces": op12_pieces,
+    "op13_divergence": op13_divergence,
 }
 
 # Windows of ten consecutive words (or the whole of a shorter item), met by equality.
@@ -179,8 +216,87 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 WHERE rank <= 5
 """
 
+_OP11 = r"""
+WITH docs AS (
+    SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+    FROM documents
+), sized AS (
+    SELECT r, doc_id, w, len(w) AS n FROM docs WHERE len(w) > 0
+), totals AS (
+    SELECT count(*) AS big_n, CAST(sum(n) AS BIGINT) AS big_l FROM sized
+), asked AS (
+    SELECT DISTINCT item_id, unnest(regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM benchmark
+), postings AS (
+    SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM sized) SEMI JOIN asked USING (term) GROUP BY r, term
+), weights AS (
+    SELECT term, CAST(floor(1000 * ln((2.0::DOUBLE * big_n + 2) / (2.0::DOUBLE * count(*) + 1))) AS BIGINT) AS weight
+    FROM postings, totals GROUP BY term, big_n
+), impacts AS (
+    SELECT r, term, weight * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + ((50 * n * big_n) // big_l)))) AS impact
+    FROM postings JOIN sized USING (r) JOIN weights USING (term), totals
+), scored AS (
+    SELECT item_id, r, CAST(sum(impact) AS BIGINT) AS score FROM asked JOIN impacts USING (term) GROUP BY item_id, r
+)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (
+    SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank
+    FROM scored JOIN sized USING (r) WHERE score > 0
+)
+WHERE rank <= 50
+"""
+
+_OP13 = r"""
+WITH docs AS (
+    SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+    FROM documents
+), occurring AS (
+    SELECT r, lang, source, unnest(w) AS term FROM docs
+), kept AS (
+    SELECT lang, term, CAST(count(*) AS BIGINT) AS in_lang FROM occurring GROUP BY lang, term HAVING count(DISTINCT r) >= 10
+), langs AS (
+    SELECT lang, count(*) AS v, CAST(sum(in_lang) AS BIGINT) AS total FROM kept GROUP BY lang
+), kinds AS (
+    SELECT DISTINCT lang, source FROM docs
+), counted AS (
+    SELECT lang, source, term, count(*) AS c FROM occurring SEMI JOIN kept USING (lang, term) GROUP BY lang, source, term
+), dense AS (
+    SELECT lang, source, term, coalesce(c, 0) AS c, in_lang FROM kinds JOIN kept USING (lang) LEFT JOIN counted USING (lang, source, term)
+), totals AS (
+    SELECT lang, source, CAST(sum(c) AS BIGINT) AS n FROM dense GROUP BY lang, source
+), shares AS (
+    SELECT lang, source, term, c, 1 + (1000000000 * (c + 2)) // (n + 2 * v) AS p,
+           1 + (1000000000 * (in_lang + 2)) // (total + 2 * v) AS q
+    FROM dense JOIN totals USING (lang, source) JOIN langs USING (lang)
+), apart AS (
+    SELECT a.lang, a.source, b.source AS item, CAST(sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS BIGINT) AS value
+    FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source
+    GROUP BY a.lang, a.source, b.source
+), pairs AS (
+    SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+    FROM kinds a JOIN kinds b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN apart ON apart.lang = a.lang AND apart.source = a.source AND apart.item = b.source
+), terms AS (
+    SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q)) // (p + q) AS value FROM shares WHERE c > 0 AND p > q
+)
+SELECT lang, source, part, item, value, CAST(rank AS INTEGER) AS rank
+FROM (
+    SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank
+    FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms)
+)
+WHERE part = 'pair' OR rank <= 10
+"""
+
 ORACLE: dict[str, str] = {
     "op3_url_filter": _OP3,
     "op6_decontaminate": _OP6,
     "op10_top_k": _OP10,
+    "op11_ranked_search": _OP11,
+    "op13_divergence": _OP13,
 }
