@@ -57,25 +57,18 @@ def request_keys(requests: DataFrame) -> DataFrame:
     )
 
 
-def _of_kind(keys: DataFrame, kind: str) -> DataFrame:
+def asked_drugs(keys: DataFrame, kind: str) -> DataFrame:
+    """The questions of one kind that name a drug."""
     return keys.filter(F.col("kind") == kind).filter("drug is not null")
 
 
-def _answer(df: DataFrame, kind: str, **columns: Column) -> DataFrame:
-    defaults = {
-        "kind": F.lit(kind),
-        "drug": F.col("drug"),
-        "drug2": F.lit(None).cast("string"),
-        "any_age": F.lit(True),
-        "age_group": F.lit(None).cast("string"),
-        "any_sex": F.lit(True),
-        "sex": F.lit(None).cast("string"),
-        "rank": F.col("rank"),
-        "side_effect": F.col("side_effect"),
-        "outcome_code": F.lit(None).cast("string"),
-        "report_count": F.col("report_count"),
-    }
-    return df.select(*[(columns.get(name, default)).alias(name) for name, default in defaults.items()])
+def answer_rows(df: DataFrame, kind: str, *given: str) -> DataFrame:
+    """Ranked rows of a report as `ANSWER_COLUMNS`; the columns `given` are its own, the others of a question are open."""
+    own = {"drug", "rank", "side_effect", "report_count", *given}
+    other = {"kind": F.lit(kind), "any_age": F.lit(True), "any_sex": F.lit(True)}
+    return df.select(
+        *[F.col(c) if c in own else other.get(c, F.lit(None).cast("string")).alias(c) for c in ANSWER_COLUMNS]
+    )
 
 
 def segment_answers(
@@ -111,34 +104,23 @@ def answer_table(
     # Each different question once; written, as every kind reads it and counts it first.
     keys = cut_lineage(request_keys(requests).drop("request_id").distinct())
     hot = hot_cases(drug, reac, outcome, demographics)
-    top = top_side_effects_by_drug(drug, reac, k, _of_kind(keys, TOP).select("drug"), hot=hot)
-    severe = severe_side_effects_by_drug(drug, reac, outcome, k, _of_kind(keys, SEVERE).select("drug"), hot=hot)
-    segment = segment_answers(drug, reac, demographics, k, _of_kind(keys, SEGMENT).select("drug"), hot)
-    asked_pairs = _of_kind(keys, PAIR).select(F.col("drug").alias("drug1"), F.col("drug2").alias("drug2"))
-    pair = pair_interactions_for(drug, reac, asked_pairs, k, hot)
+    top = top_side_effects_by_drug(drug, reac, k, asked_drugs(keys, TOP).select("drug"), hot=hot)
+    severe = severe_side_effects_by_drug(drug, reac, outcome, k, asked_drugs(keys, SEVERE).select("drug"), hot=hot)
+    segment = segment_answers(drug, reac, demographics, k, asked_drugs(keys, SEGMENT).select("drug"), hot)
+    asked_pairs = asked_drugs(keys, PAIR).select(F.col("drug").alias("drug1"), F.col("drug2").alias("drug2"))
+    pair = pair_interactions_for(drug, reac, asked_pairs, k, hot).select(
+        F.col("drug1").alias("drug"),
+        "drug2",
+        "rank",
+        F.col("shared_side_effect").alias("side_effect"),
+        F.col("shared_report_count").alias("report_count"),
+    )
+    segment = segment.withColumnRenamed("age_grp", "age_group")
     return (
-        _answer(top, TOP)
-        .unionByName(_answer(severe, SEVERE, outcome_code=F.col("outcome_code")))
-        .unionByName(
-            _answer(
-                segment,
-                SEGMENT,
-                any_age=F.col("any_age"),
-                age_group=F.col("age_grp"),
-                any_sex=F.col("any_sex"),
-                sex=F.col("sex"),
-            )
-        )
-        .unionByName(
-            _answer(
-                pair,
-                PAIR,
-                drug=F.col("drug1"),
-                drug2=F.col("drug2"),
-                side_effect=F.col("shared_side_effect"),
-                report_count=F.col("shared_report_count"),
-            )
-        )
+        answer_rows(top, TOP)
+        .unionByName(answer_rows(severe, SEVERE, "outcome_code"))
+        .unionByName(answer_rows(segment, SEGMENT, "any_age", "age_group", "any_sex", "sex"))
+        .unionByName(answer_rows(pair, PAIR, "drug2"))
     )
 
 

@@ -330,6 +330,13 @@ ORACLE: dict[str, str] = {
         "drug",
     ),
 }
+ORACLE["b2_bitmap"], ORACLE["b2_bitmap_min_cases"] = ORACLE["b2"], ORACLE["b2_min_cases"]
+ORACLE["b2_bitmap_requested"] = ORACLE["b2_requested"]
+ORACLE["case_counts"] = _sql(
+    f"SELECT {_KEYED}, COUNT(DISTINCT primaryid) AS case_count FROM drug WHERE drugname IS NOT NULL GROUP BY 1", "drug"
+)
+ORACLE["b1_cube"], ORACLE["b3_cube"], ORACLE["b4_cube"] = (ORACLE[q] for q in ("b1_distinct_cases", "b3", "b4"))
+ORACLE["a3_cube"] = ORACLE["a3"]
 ORACLE["q4_stored_key"] = ORACLE["q4"]
 ORACLE["s7"] = ORACLE["q5"]
 ORACLE["f1"], ORACLE["f2"], ORACLE["f3"], ORACLE["f4"] = (ORACLE[q] for q in ("q1", "q2", "q3", "q4"))

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from casewatch.functions.columns import with_name_keys
 from casewatch.functions.table_functions import register_table_functions
-from casewatch.operators import answers, batch, names, reports, severity, vectors
+from casewatch.operators import answers, batch, case_sets, cube, names, reports, severity, vectors
 from casewatch.operators.counts import all_drugs, drug_side, effect_counts, reaction_side
-from casewatch.plans.lineage import new_dir
+from casewatch.plans.lineage import cut_lineage, new_dir
 from casewatch.plans.ranking import best_first, top_k_per_key
 from casewatch.schemas import SCHEMAS
 from casewatch.sources import case_files, tables
@@ -142,11 +142,65 @@ def b2_requested(spark, folder):
     return batch.pair_interactions_for(t.drug, t.reac, first.withColumn("drug2", _asked(F.lit(OTHER_DRUG))))
 
 
+def _sets(t: CaseTables) -> list[DataFrame]:
+    return [cut_lineage(sets, "sets") for sets in case_sets.drug_and_reaction_sets(t.drug, t.reac)]
+
+
+@over_cases
+def b2_bitmap(t):
+    return case_sets.pair_interactions_from_sets(*_sets(t))
+
+
+@over_cases
+def b2_bitmap_min_cases(t):
+    return case_sets.pair_interactions_from_sets(*_sets(t), k=3, min_cases=64)
+
+
+@query
+def b2_bitmap_requested(spark, folder):
+    t = case_tables(spark, folder)
+    first = read(spark, folder, "part").select(_asked("p_name").alias("drug1")).distinct()
+    return case_sets.pair_interactions_from_sets(*_sets(t), pairs=first.withColumn("drug2", _asked(F.lit(OTHER_DRUG))))
+
+
+@over_cases
+def case_counts(t):
+    """Distinct cases of every drug, from the sets of two overlapping halves."""
+    rows = all_drugs(t.drug)
+    numbers = case_sets.case_numbers(rows)
+    halves = [case_sets.case_sets(rows.filter(F.col("primaryid") % 3 != n), "drug", numbers) for n in (0, 1)]
+    return case_sets.set_sizes(case_sets.merge_sets(*[cut_lineage(half, "sets") for half in halves]))
+
+
 @over_cases
 def b3(t):
     return batch.side_effects_by_segment(t.drug, t.reac, t.demographics)
 
 
+def _cube(spark: SparkSession, t: CaseTables, parts: int = 1) -> DataFrame:
+    """A stored cube, its cases dealt over `parts` parts; the first part is written again at the end."""
+    folder = new_dir(spark, "cube")
+    for n in [*range(parts), *([0] if parts > 1 else [])]:
+        mine = (df.filter(F.pmod("primaryid", F.lit(parts)) == n) for df in (t.drug, t.reac, t.outcome, t.demographics))
+        cube.write_cube(cube.count_cube(*(mine if parts > 1 else (t.drug, t.reac, t.outcome, t.demographics))), folder, f"q{n}")
+    return cube.read_cube(spark, folder)
+
+
+@query
+def b1_cube(spark, folder):
+    return cube.top_from_cube(_cube(spark, case_tables(spark, folder)), distinct_cases=True)
+
+
+@query
+def b3_cube(spark, folder):
+    return cube.segments_from_cube(_cube(spark, case_tables(spark, folder), 2))
+
+
+@query
+def b4_cube(spark, folder):
+    return cube.severe_from_cube(_cube(spark, case_tables(spark, folder)))
+
+
 @over_cases
 def b4(t):
     return batch.severe_side_effects_by_drug(t.drug, t.reac, t.outcome)
@@ -312,6 +366,12 @@ def a3(spark, folder):
     return answers.answer_requests(t.drug, t.reac, t.outcome, t.demographics, sample_requests(spark, folder))
 
 
+@query
+def a3_cube(spark, folder):
+    t, asked = case_tables(spark, folder), sample_requests(spark, folder)
+    return answers.lookup_answers(asked, cube.answer_table_from_cube(_cube(spark, t), *_sets(t), asked))
+
+
 @over_cases
 def a4(t):
     counted = effect_counts([drug_side(all_drugs(t.drug)), reaction_side(t.reac)], ["drug", "side_effect"])
