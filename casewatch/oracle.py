@@ -337,6 +337,7 @@ ORACLE["case_counts"] = _sql(
 )
 ORACLE["b1_cube"], ORACLE["b3_cube"], ORACLE["b4_cube"] = (ORACLE[q] for q in ("b1_distinct_cases", "b3", "b4"))
 ORACLE["a3_cube"] = ORACLE["a3"]
+ORACLE["n2_index"] = ORACLE["n2"]
 ORACLE["q4_stored_key"] = ORACLE["q4"]
 ORACLE["s7"] = ORACLE["q5"]
 ORACLE["f1"], ORACLE["f2"], ORACLE["f3"], ORACLE["f4"] = (ORACLE[q] for q in ("q1", "q2", "q3", "q4"))

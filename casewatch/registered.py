@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from casewatch.functions.columns import with_name_keys
 from casewatch.functions.table_functions import register_table_functions
-from casewatch.operators import answers, batch, case_sets, cube, names, reports, severity, vectors
+from casewatch.operators import answers, batch, case_sets, cube, name_index, names, reports, severity, vector_index, vectors
 from casewatch.operators.counts import all_drugs, drug_side, effect_counts, reaction_side
 from casewatch.plans.lineage import cut_lineage, new_dir
 from casewatch.plans.ranking import best_first, top_k_per_key
@@ -276,13 +276,24 @@ def n1_phrases(spark, folder):
     return names.extract_mentions(read(spark, folder, "documents"), wanted, gap="[^a-z]+")
 
 
+def _misspelled(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Names without their third letter, and the names as they are."""
+    known = read(spark, folder, "part").select(F.col("p_name").alias("drug_name"))
+    rest = F.col("drug_name").substr(F.lit(4), F.length("drug_name"))
+    return known.select(F.concat(F.substring("drug_name", 1, 2), rest).alias("name")), known
+
+
 @query
 def n2(spark, folder):
-    known = read(spark, folder, "part").select(F.col("p_name").alias("drug_name"))
-    misspelled = known.select(
-        F.concat(F.substring("drug_name", 1, 2), F.col("drug_name").substr(F.lit(4), F.length("drug_name"))).alias("name")
-    )
-    return names.normalize_names_fuzzy(misspelled, known, k=3)
+    return names.normalize_names_fuzzy(*_misspelled(spark, folder), k=3)
+
+
+@query
+def n2_index(spark, folder):
+    misspelled, known = _misspelled(spark, folder)
+    base = new_dir(spark, "names")
+    name_index.write_name_index(known, base)
+    return name_index.normalize_names_indexed(misspelled, name_index.read_name_index(spark, base), k=3)
 
 
 @query
@@ -298,7 +309,7 @@ def _labelled(spark, folder):
 @query
 def n4(spark, folder):
     points = read(spark, folder, "embeddings")
-    return vectors.nearest_names_approx(points, points, cells=8, probes=4, other_id_only=True)
+    return vectors.nearest_names_approx(points, points, cells=8, probes=6, other_id_only=True)
 
 
 @query
@@ -307,6 +318,24 @@ def n4_all_probes(spark, folder):
     return vectors.nearest_names_approx(points, points, cells=8, probes=8, other_id_only=True)
 
 
+def _index(spark: SparkSession, folder: str) -> vector_index.Index:
+    """An index written and read again."""
+    base = new_dir(spark, "vectors")
+    vector_index.write_index(read(spark, folder, "embeddings"), base)
+    return vector_index.read_index(spark, base)
+
+
+@query
+def n4_index(spark, folder):
+    return vector_index.search_index(_index(spark, folder), read(spark, folder, "embeddings"), probes=12, other_id_only=True)
+
+
+@query
+def n4_index_recall(spark, folder):
+    asked = read(spark, folder, "embeddings").filter("vec_id % 20 = 0")
+    return vector_index.index_recall(_index(spark, folder), asked, probes=12, other_id_only=True)
+
+
 @query
 def n4_given_cells(spark, folder):
     points = _labelled(spark, folder)

@@ -10,9 +10,9 @@ from tests.conftest import rows
 from tools.check_oracle import compare_one, open_engine
 
 # Results that depend on where k-means puts its cells.
-ROWS_ONLY = {"n4"}
+ROWS_ONLY = {"n4", "n4_index", "n4_index_recall"}
 # Reports over the case tables with work per hot case.
-SKEWED = ["b1", "b2", "b2_requested", "b3", "b4", "b5", "b6", "a3"]
+SKEWED = ["b1", "b2", "b2_requested", "b3", "b4", "b5", "b6", "a3", "a3_cube", "n2_index"]
 
 
 @pytest.fixture(scope="module")
