@@ -29,4 +29,15 @@ def raw_texts(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
 
 
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """The names, each made longer until no column has it; columns compare without case, as in Spark."""
+    taken, found = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
 by_value(__name__)

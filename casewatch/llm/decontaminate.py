@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from casewatch.llm.batches import by_value, raw_texts, slices
+from casewatch.llm.batches import by_value, fresh, raw_texts, slices
 from casewatch.llm.fm_index import FMIndex
 
 by_value(__name__)
@@ -217,7 +217,7 @@ def cut_words(text: str, spans: list[tuple[int, int]]) -> str:
 
 def remove_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", chars: str = "n_chars") -> DataFrame:
     """`docs` without the text of benchmark passages; every document stays, `chars` (if there) follows the text."""
-    names = tuple(f"_cut_{n}" for n in ("words", "spans", "items"))
+    names = tuple(fresh(docs.columns, "words", "spans", "items"))
     marked = mark_contamination(docs, benchmark, text, names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

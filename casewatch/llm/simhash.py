@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from casewatch.llm.batches import by_value, raw_texts, slices
+from casewatch.llm.batches import by_value, fresh, raw_texts, slices
 from casewatch.llm.components import components, unite
 from casewatch.plans.lineage import cut_lineage
 
@@ -265,14 +265,13 @@ def simhash_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", wor
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4, max_bits: int = 4) -> DataFrame:
     """`docs` with one row of each group: the one of the smallest key (a null key only where the group has no other;
     of rows with that same key the smallest fingerprint, then text hash). All columns stay as they are."""
-    own = "_fingerprint"
-    while own in docs.columns:
-        own = "_" + own
+    own, theirs, keep, place = fresh(docs.columns, "fingerprint", "kept_fingerprint", "keep", "place")
     rows = cut_lineage(with_fingerprints(docs, text, own, words), "documents")
     narrow = rows.select(F.col(key).alias("doc_id"), F.col(own).alias("fingerprint"))
     groups = fingerprint_groups(narrow, "doc_id", max_bits)
     mine = narrow.join(groups, "fingerprint").where(F.col("doc_id").eqNullSafe(F.col("keep_id")))
-    kept = mine.groupBy("root").agg(F.min("fingerprint").alias(own), F.first("keep_id").alias("_keep")).select(own, "_keep")
+    kept = mine.groupBy("root").agg(F.min("fingerprint").alias(own), F.first("keep_id").alias(keep)).select(own, keep)
     same = Window.partitionBy(own).orderBy(F.xxhash64(text))
-    left = rows.join(kept.select(F.col(own).alias("_f"), "_keep"), (F.col(own) == F.col("_f")) & F.col(key).eqNullSafe(F.col("_keep")))
-    return left.withColumn("_n", F.row_number().over(same)).where("_n = 1").select(*docs.columns)
+    kept = kept.withColumnRenamed(own, theirs)
+    left = rows.join(kept, (F.col(own) == F.col(theirs)) & F.col(key).eqNullSafe(F.col(keep)))
+    return left.withColumn(place, F.row_number().over(same)).where(F.col(place) == 1).select(*docs.columns)
