@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 import sys
 import types
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,11 +28,12 @@ by_value(__name__)
 MARK = "▁"
 _MARK = MARK.encode()
 _REPLACEMENT = "�".encode()
-# Cuts that a worker remembers, in two generations, and the characters of the longest one: about 200 MB at most.
-KEPT = 250_000
-KEPT_CHARACTERS = 48
+# Characters of the cuts in the newer and in the older half of what a worker remembers, and of the longest that is
+# remembered. With what Python adds to each short string, both halves take at most about 250 MB.
+KEPT = 4_000_000
+LONGEST = 64
 # Texts and bytes of text that are encoded together.
-ROWS, BYTES = 64, 1 << 21
+ROWS, BYTES = 256, 1 << 21
 # Lives as long as the worker process; task code itself is loaded anew for every task.
 _STATE = "casewatch_piece_models"
 
@@ -101,7 +103,7 @@ class Normalizer:
     def mapped(self, text: bytes) -> tuple[bytes, np.ndarray]:
         """The text after the character map, and for each of its bytes the place it came from (one more for the end)."""
         if not self.map.units:
-            return text, np.arange(len(text) + 1)
+            return text, np.arange(len(text) + 1, dtype=np.int32)
         out, places, done = [], [], 0
         for start, length, new in self.map.pieces(text):
             out += [text[done:start], new]
@@ -136,6 +138,12 @@ class Normalizer:
         return found, places
 
 
+def _only_prefix(model) -> bool:
+    """Whether decoding takes off the one blank put before a text and changes nothing else."""
+    spec = model.normalizer_spec
+    return spec.add_dummy_prefix and not spec.remove_extra_whitespaces and not model.denormalizer_spec.precompiled_charsmap
+
+
 class Pieces:
     """A model's pieces: ids of normalised texts, with the memory of one worker."""
 
@@ -153,6 +161,7 @@ class Pieces:
             raise ValueError("only models with the space mark in front")
         self.normalizer = Normalizer(model.normalizer_spec)
         self.whole = sentencepiece.SentencePieceProcessor(model_proto=whole)
+        self.plain = _only_prefix(model)
         # The same pieces for text that is normalised already.
         spec = model.normalizer_spec
         spec.Clear()
@@ -162,40 +171,85 @@ class Pieces:
         # Bytes of normalised text that an id stands for; unknown characters have their own lengths.
         self.lengths = np.array([1 if p.type == p.BYTE else 0 if p.type in (p.CONTROL, p.UNKNOWN) else len(p.piece.encode()) for p in model.pieces])
         self.unknown = self.whole.unk_id()
+        # The bytes an id stands for in a text, one after another, and where each id's start.
+        control = {n for n, p in enumerate(model.pieces) if p.type in (p.CONTROL, p.UNKNOWN)}
+        texts = [
+            bytes([int(p.piece[3:-1], 16)]) if p.type == p.BYTE else b"" if n in control else p.piece.replace(MARK, " ").encode()
+            for n, p in enumerate(model.pieces)
+        ]
+        self.bytes = np.frombuffer(b"".join(texts), np.uint8)
+        self.stops = np.cumsum([len(t) for t in texts])
+        self.sizes = np.diff(self.stops, prepend=0)
+        # A text that starts with such an id loses that one blank, and nothing else.
+        self.starting = np.array([p.type == p.NORMAL and p.piece.startswith(MARK) for p in model.pieces])
         self.fallback = model.trainer_spec.byte_fallback
-        # A mark after another character starts a cut, unless a piece has one inside.
-        inside = any(MARK in p.piece.lstrip(MARK) for p in model.pieces if p.type == p.NORMAL)
-        self.cuts = re.compile(r".+" if inside else f"{MARK}+[^{MARK}]*|[^{MARK}]+", re.DOTALL)
-        self.young: dict[str, bytes] = {}
+        # A mark after another character starts a cut, unless a piece has one inside; line ends are cuts by themselves,
+        # unless a piece has one beside other characters.
+        normal = [p.piece for p in model.pieces if p.type == p.NORMAL]
+        self.inside = any(MARK in piece.lstrip(MARK) for piece in normal)
+        self.lines = not any("\n" in piece for piece in normal)
+        other = MARK + "\n" if self.lines else MARK
+        self.cuts = re.compile(f"{MARK}*[^{other}]+|{MARK}+|\n", re.DOTALL)
+        self.young: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
+        self.characters = 0
+
+    def _cut(self, text: str) -> list[str]:
+        """The cuts of a normalised text; empty ones may be among them."""
+        if self.inside:
+            return [text]
+        if MARK + MARK in text or " " in text:
+            return self.cuts.findall(text)
+        spaced = text.replace(MARK, " " + MARK)
+        return (spaced.replace("\n", " \n ") if self.lines else spaced).split(" ")
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of normalised texts."""
-        split = [self.cuts.findall(t) for t in texts]
-        young, old = self.young, self.old
-        found = [list(map(young.get, cuts)) for cuts in split]
-        missing = dict.fromkeys(c for cuts, ids in zip(split, found) if None in ids for c, i in zip(cuts, ids) if i is None)
-        if missing:
-            known = {c: i for c in missing if (i := old.get(c)) is not None}
-            new = [c for c in missing if c not in known]
-            for cut, ids in zip(new, self.segments.encode(new, num_threads=1)):
-                known[cut] = np.array(ids, "<i4").tobytes()
-            found = [ids if None not in ids else [known[c] if i is None else i for c, i in zip(cuts, ids)] for cuts, ids in zip(split, found)]
-            young.update((c, i) for c, i in known.items() if len(c) <= KEPT_CHARACTERS)
-            if len(young) > KEPT:
-                self.old, self.young = young, {}
-        return [np.frombuffer(b"".join(ids), "<i4") for ids in found]
+        split = [self._cut(t) for t in texts]
+        if self.characters > KEPT:
+            self.old, self.young, self.characters = self.young, {"": b""}, 0
+        young, recall = self.young, self.old.get
+        missing = set().union(*split).difference(young)
+        new = []
+        for cut in missing:
+            if (known := recall(cut)) is None:
+                new.append(cut)
+            else:
+                young[cut] = known
+        for cut, ids in zip(new, self.segments.encode(new, num_threads=1) if new else ()):
+            young[cut] = array("i", ids).tobytes()
+        found = [np.frombuffer(b"".join(map(young.__getitem__, cuts)), "<i4") for cuts in split]
+        self.characters += sum(map(len, missing))
+        for cut in [c for c in new if len(c) > LONGEST]:
+            del young[cut]
+            self.characters -= len(cut)
+        return found
 
     def spans(self, text: str, places: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First byte and end, in the original text, of the ids of a normalised one."""
         sizes = self.lengths[ids]
         if not self.fallback and (ids == self.unknown).any():
             # What no piece covers is one id for each run of such characters.
-            proto = self.segments.encode(text, out_type="immutable_proto")
-            sizes = np.array([len(p.surface.encode()) for p in proto.pieces], np.int64)
+            proto = self.segments.encode(text, return_type="proto")
+            sizes = np.array([p.end - p.begin for p in proto.pieces], np.int64)
         ends = np.cumsum(sizes)
         return places[ends - sizes], places[ends]
 
+    def decode(self, ids: np.ndarray) -> str:
+        """The text of some ids, as the library's decode gives it."""
+        if not len(ids):
+            return ""
+        sizes = self.sizes[ids]
+        # Control ids within a text, and unknown ones, are left to the library.
+        if self.plain and self.starting[ids[0]] and sizes[:-1].all() and ids[-1] != self.unknown:
+            ends = np.cumsum(sizes)
+            whole = self.bytes[np.repeat(self.stops[ids] - ends, sizes) + np.arange(ends[-1])].tobytes()
+            try:
+                return whole[1:].decode()
+            except UnicodeDecodeError:
+                pass  # bytes that are no character
+        return self.whole.decode(ids.tolist())
+
     def encode(self, texts: list[bytes | None]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Ids, first bytes and ends for each text, the end id last with an empty span."""
         normal = [self.normalizer(t or b"") for t in texts]
@@ -245,10 +299,11 @@ def encode_pieces(
     """`docs` with three arrays: the ids of the model file's pieces, the end id last, and where each piece's bytes of the
     original UTF-8 text start and end.
 
-    Ids are those of the sentencepiece library, without sampling. A null or empty text has the end id only. A piece of
-    the space mark put before the text has an empty span; the bytes of one character that no piece covers all have its
-    first byte as their start, as it was replaced as a whole, and pieces of characters that the character map replaced
-    span what was replaced. All other columns stay; names that are taken already are an error: give others.
+    Ids are those of the sentencepiece library, without sampling. A null or empty text has the end id only. The space
+    mark put before the text adds nothing to its piece's span. Each byte piece of a character that no other piece covers
+    has its own byte as its span; where the character map put a replacement, its first byte starts at the first replaced
+    byte and its last one ends with the last. All other columns stay; names that are taken already are an error: give
+    others.
     """
     _free(docs, ids, starts, ends)
 
@@ -271,9 +326,10 @@ def decode_pieces(docs: DataFrame, model: str, ids: str = "piece_ids", text: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine = pieces(model)
         for part in _groups(batches, ids):
-            lists = part.column(ids).to_pylist()
-            known = iter(mine.whole.decode([x for x in lists if x]))
-            texts = [None if x is None else next(known) if x else "" for x in lists]
+            lists = part.column(ids)
+            ends = np.cumsum(pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy())
+            flat, known = lists.flatten().to_numpy(), lists.is_valid().to_pylist()
+            texts = [mine.decode(flat[start:end]) if real else None for start, end, real in zip([0, *ends[:-1]], ends, known)]
             yield _with(part, [(text, pa.array(texts, pa.string()))])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(text, T.StringType())]))
