@@ -8,13 +8,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from casewatch.functions.columns import AGE_UNITS, age_status, is_death, is_severe
+from casewatch.functions.columns import AGE_UNITS, age_status, age_years, is_death, is_severe, name_key
 from casewatch.operators.batch import only_drugs
-from casewatch.operators.counts import drug_side, effect_counts, reaction_side, suspect_drugs
+from casewatch.operators.counts import all_drugs, drug_side, effect_counts, outcome_side, reaction_side, suspect_drugs
 from casewatch.operators.reports import older_than, pair_cases, suspect_cases, top_severe, with_severe
 from casewatch.plans.lineage import cut_lineage
 from casewatch.plans.ranking import best_first, rank_by, top_k_per_key
-from casewatch.plans.skew import Side, product_join
+from casewatch.plans.sizing import broadcast_if_small
+from casewatch.plans.skew import HotKeys, Side, product_join
 from casewatch.schemas import CASE, SEVERE_OUTCOMES
 
 # Weight of each severe outcome in the score, one unless the caller gives others.
@@ -119,6 +120,78 @@ def severe_pair_by_segment(
     return top_severe(with_severe(cases, outcome).reactions(reac), k, distinct_cases=True)
 
 
+SEGMENT = ["age_over", "sex"]
+
+
+def _asked_segments(requests: DataFrame, *drugs: str) -> DataFrame:
+    """Different (drugs, age_over, sex) of a request table, names as `name_key`; a NULL age or sex means any."""
+    names = [name_key(d).alias(d) for d in drugs]
+    asked = requests.select(*names, F.col("age_over").cast("double").alias("age_over"), F.col("sex").alias("asked_sex"))
+    return asked.dropna(subset=list(drugs)).distinct()
+
+
+def _in_segment(cases: DataFrame, demographics: DataFrame) -> DataFrame:
+    """Cases with `n` and an asked segment, `n` times the rows of demographics that fit it; those without one stay."""
+    limited = F.col("age_over").isNotNull() | F.col("asked_sex").isNotNull()
+    people = demographics.select(CASE, age_years().alias("age_years"), "sex")
+    fits = (F.col("age_over").isNull() | (F.col("age_years") > F.col("age_over"))) & (
+        F.col("asked_sex").isNull() | (F.col("sex") == F.col("asked_sex"))
+    )
+    inside = cases.where(limited).join(people, CASE).where(fits).groupBy(*[c for c in cases.columns if c != "n"]).agg(F.sum("n").alias("n"))
+    return cases.where(~limited).unionByName(inside).withColumnRenamed("asked_sex", "sex")
+
+
+def effects_by_segments(
+    drug: DataFrame,
+    reac: DataFrame,
+    demographics: DataFrame,
+    requests: DataFrame,
+    k: int | None = 10,
+    outcome: DataFrame | None = None,
+    hot: HotKeys | None = None,
+) -> DataFrame:
+    """(drug, age_over, sex, rank, side_effect, outcome_code, report_count) for every (drug, age_over, sex) of a request
+    table, in one job: the top reactions, or with `outcome` the severe ones, of patients older than that and of that
+    sex. NULL means any. One request gives what `severe_by_segment` does."""
+    asked = broadcast_if_small(_asked_segments(requests, "drug"))
+    cases = suspect_drugs(drug).join(asked, "drug").groupBy(CASE, "drug", "age_over", "asked_sex").agg(F.count(F.lit(1)).alias("n"))
+    inside = _in_segment(cases, demographics).withColumnRenamed("n", "case_n")
+    sides = [Side(inside, ("drug", *SEGMENT), weight="case_n"), reaction_side(reac)]
+    ties = ["side_effect"]
+    if outcome is not None:
+        sides.append(outcome_side(outcome))
+        ties.append("outcome_code")
+    counted = effect_counts(sides, ["drug", *SEGMENT, *ties], hot=hot)
+    if outcome is None:
+        counted = counted.withColumn("outcome_code", F.lit(None).cast("string"))
+    ranked = top_k_per_key(counted, ["drug", *SEGMENT], k, best_first("report_count", *ties))
+    return ranked.select("drug", *SEGMENT, "rank", "side_effect", "outcome_code", "report_count")
+
+
+def severe_pairs_by_segments(
+    drug: DataFrame,
+    reac: DataFrame,
+    outcome: DataFrame,
+    demographics: DataFrame,
+    requests: DataFrame,
+    k: int | None = 10,
+    hot: HotKeys | None = None,
+) -> DataFrame:
+    """(drug1, drug2, age_over, sex, rank, side_effect, outcome_code, report_count) for every request, as
+    `severe_pair_by_segment` gives for one."""
+    asked = _asked_segments(requests, "drug1", "drug2")
+    places = F.array(F.struct(F.col("drug1").alias("drug"), F.lit(1).alias("place")), F.struct(F.col("drug2").alias("drug"), F.lit(2).alias("place")))
+    named = broadcast_if_small(asked.select("*", F.inline(places)))
+    keys = [CASE, "drug1", "drug2", "age_over", "asked_sex"]
+    hits = all_drugs(drug).join(named, "drug").groupBy(*keys).agg(_flag(F.col("place") == 1).alias("has1"), _flag(F.col("place") == 2).alias("has2"))
+    both = hits.where("has1 = 1 AND has2 = 1").select(*keys, F.lit(1).cast("bigint").alias("n"))
+    inside = _in_segment(both, demographics).drop("n")
+    sides = [Side(inside, ("drug1", "drug2", *SEGMENT)), reaction_side(reac), outcome_side(outcome)]
+    counted = effect_counts(sides, ["drug1", "drug2", *SEGMENT, "side_effect", "outcome_code"], True, hot)
+    ranked = top_k_per_key(counted, ["drug1", "drug2", *SEGMENT], k, best_first("report_count", "side_effect", "outcome_code"))
+    return ranked.select("drug1", "drug2", *SEGMENT, "rank", "side_effect", "outcome_code", "report_count")
+
+
 def age_summary(demographics: DataFrame, units: Mapping[str, float] = AGE_UNITS) -> DataFrame:
     """How many rows the age conditions can and cannot judge: (age_status, row_count)."""
     return demographics.groupBy(age_status(units).alias("age_status")).agg(F.count(F.lit(1)).alias("row_count"))

@@ -2,7 +2,17 @@
 
 from __future__ import annotations
 
-from casewatch.registered import AGE_GROUP, AGE_OVER, DRUG, EFFECT, OTHER_DRUG, SEX, SYSTEM_TEXT, WEIGHTS
+from casewatch.registered import (
+    AGE_GROUP,
+    AGE_OVER,
+    DRUG,
+    EFFECT,
+    OTHER_DRUG,
+    SEX,
+    SYSTEM_TEXT,
+    THIRD_DRUG,
+    WEIGHTS,
+)
 
 _VIEWS = {
     "drug": """SELECT l_orderkey AS primaryid, l_linenumber AS drug_seq,
@@ -337,7 +347,77 @@ ORACLE["case_counts"] = _sql(
 )
 ORACLE["b1_cube"], ORACLE["b3_cube"], ORACLE["b4_cube"] = (ORACLE[q] for q in ("b1_distinct_cases", "b3", "b4"))
 ORACLE["a3_cube"] = ORACLE["a3"]
-ORACLE["n2_index"] = ORACLE["n2"]
+ORACLE["n2_index"], ORACLE["s7_replaced"], ORACLE["s4_clustered"] = ORACLE["n2"], ORACLE["q5"], ORACLE["q4"]
+ORACLE["s10"] = _sql(
+    """SELECT outc_cod, COUNT(*) AS row_count, (SELECT COUNT(*) FROM outcome) AS in_files FROM outcome GROUP BY outc_cod""", "outcome"
+)
+ORACLE["s10_versions"] = _sql(
+    """SELECT pt, COUNT(*) AS row_count FROM reac WHERE primaryid IN (SELECT arg_max(primaryid, (primaryid % 100) * 1000000000 + primaryid)
+    FROM demographics GROUP BY caseid) GROUP BY pt""",
+    "demographics",
+    "reac",
+)
+_B7 = f"""SELECT {_KEYED}, {{age}} AS age_over, {{sex}} AS sex, pt AS side_effect, outc_cod AS outcome_code, COUNT(*) AS report_count
+    FROM drug JOIN reac USING (primaryid) JOIN outcome USING (primaryid) JOIN demographics USING (primaryid)
+    WHERE role_cod = 'PS' AND {_SEVERE} AND TRY_CAST(age AS DOUBLE) > {{age}} {{more}} GROUP BY 1, 4, 5"""
+
+
+def _b7(age: int, sex: str | None) -> str:
+    name, more = (f"'{sex}'", f"AND sex = '{sex}'") if sex else ("CAST(NULL AS VARCHAR)", "")
+    counted = _B7.format(age=f"CAST({age} AS DOUBLE)", sex=name, more=more)
+    return _best("drug, age_over, sex", "side_effect, outcome_code", counted, 10)
+
+
+ORACLE["b7_requested"] = _sql(f"{_b7(AGE_OVER, SEX)} UNION ALL {_b7(30, None)}", *_ALL)
+# Answers to the questions; every question is about one drug of the list, some about two more.
+_ASKED = f"SELECT DISTINCT p_name AS drug FROM part WHERE p_name NOT IN ('{OTHER_DRUG}', '{THIRD_DRUG}')"
+_A7 = """WITH answers AS (
+    SELECT 'top:' || drug AS request_id, 'top' AS kind, rank, drug, NULL AS drug2, side_effect, NULL AS outcome_code, NULL AS share,
+        report_count FROM b1 WHERE rank <= 5
+    UNION ALL SELECT 'wrong:' || drug, 'top', rank, drug, NULL, side_effect, NULL, NULL, report_count FROM b1
+    UNION ALL SELECT 'pair:' || drug, 'pair', rank, least(drug, other), greatest(drug, other), shared_side_effect, NULL, NULL,
+        shared_report_count FROM (SELECT *, drug1 AS drug, drug2 AS other FROM b2)
+    UNION ALL SELECT 'severe:' || drug, 'severe', rank, drug, NULL, side_effect, outcome_code, NULL, report_count FROM b7
+    UNION ALL SELECT 'females:' || drug, 'segment', rank, drug, NULL, side_effect, NULL, NULL, report_count FROM b3
+    UNION ALL SELECT 'compare:' || asked.drug, 'compare', row_number() OVER (PARTITION BY asked.drug ORDER BY serious_cases DESC, b5.drug),
+        b5.drug, NULL, NULL, NULL, NULL, CAST(serious_cases AS BIGINT) FROM asked JOIN b5 ON b5.drug IN (asked.drug, '{other}', '{third}')
+    UNION ALL SELECT 'profile:' || drug, 'profile', effect_rank, drug, NULL, side_effect, NULL, share, report_count FROM b9
+    UNION ALL SELECT 'severe_pair:' || drug, 'severe_pair', rank, least(drug, '{other}'), greatest(drug, '{other}'), side_effect, outcome_code,
+        NULL, report_count FROM b8
+) SELECT a.request_id, a.kind, CAST(a.rank AS BIGINT) AS rank, a.drug, a.drug2, a.side_effect, a.outcome_code, CAST(a.share AS DOUBLE) AS share,
+    a.report_count FROM answers a JOIN asked ON a.request_id LIKE '%:' || asked.drug"""
+_A7_PARTS = {
+    "asked": _ASKED,
+    **_PAIR_CTES,
+    "b1": _best("drug", "side_effect", _B1.format(count="COUNT(*)", more=""), 10),
+    "b2": _pairs(f"b.drug = '{OTHER_DRUG}'", 10),
+    "b3": _segment_of("AND sex = 'F'"),
+    "b5": f"""SELECT {_KEYED}, COUNT(DISTINCT primaryid) AS serious_cases FROM drug JOIN outcome USING (primaryid)
+        WHERE role_cod = 'PS' AND {_SEVERE} GROUP BY 1""",
+    "b7": _b7(65, None),
+    "b8": _best(
+        "drug",
+        "side_effect, outcome_code",
+        f"""SELECT a.drug, pt AS side_effect, outc_cod AS outcome_code, COUNT(DISTINCT primaryid) AS report_count
+        FROM cd a JOIN cd b USING (primaryid) JOIN reac USING (primaryid) JOIN outcome USING (primaryid)
+        JOIN demographics USING (primaryid) WHERE b.drug = '{OTHER_DRUG}' AND {_SEVERE} AND TRY_CAST(age AS DOUBLE) > 65 GROUP BY 1, 2, 3""",
+        10,
+    ),
+    "b9": f"""SELECT drug, side_effect, report_count, report_count / SUM(report_count) OVER (PARTITION BY drug) AS share,
+        rank() OVER (PARTITION BY drug ORDER BY report_count DESC) AS effect_rank
+        FROM ({_B1.format(count="COUNT(*)", more="")}) QUALIFY side_effect = '{EFFECT}'""",
+}
+_ANSWERS_TEXT = _sql("SELECT * FROM a7", *_ALL, extra={**_A7_PARTS, "a7": _A7.format(other=OTHER_DRUG, third=THIRD_DRUG)})
+ORACLE["a7"] = _ANSWERS_TEXT
+ORACLE["a7_status"] = _sql(
+    """SELECT request_id, kind, CASE WHEN request_id IN (SELECT request_id FROM a7) THEN 'answered' ELSE other END AS status FROM (
+    SELECT label || ':' || drug AS request_id, kind, other FROM asked, (VALUES ('top', 'top', 'no_reports'), ('wrong', 'top', 'no_reports'),
+    ('pair', 'pair', 'no_reports'), ('severe', 'severe', 'no_reports'), ('females', 'segment', 'no_reports'), ('compare', 'compare', 'no_reports'),
+    ('profile', 'profile', 'no_reports'), ('severe_pair', 'severe_pair', 'no_reports'), ('many', NULL, 'too_many_drugs'),
+    ('none', NULL, 'no_drug')) AS kinds(label, kind, other))""",
+    *_ALL,
+    extra={**_A7_PARTS, "a7": _A7.format(other=OTHER_DRUG, third=THIRD_DRUG)},
+)
 ORACLE["q4_stored_key"] = ORACLE["q4"]
 ORACLE["s7"] = ORACLE["q5"]
 ORACLE["f1"], ORACLE["f2"], ORACLE["f3"], ORACLE["f4"] = (ORACLE[q] for q in ("q1", "q2", "q3", "q4"))

@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 
 from casewatch.functions.columns import with_name_keys
 from casewatch.functions.table_functions import register_table_functions
-from casewatch.operators import answers, batch, case_sets, cube, name_index, names, reports, severity, vector_index, vectors
+from casewatch.operators import answers, batch, case_sets, cube, name_index, names, questions, reports, severity, vector_index, vectors
 from casewatch.operators.counts import all_drugs, drug_side, effect_counts, reaction_side
 from casewatch.plans.lineage import cut_lineage, new_dir
 from casewatch.plans.ranking import best_first, top_k_per_key
 from casewatch.schemas import SCHEMAS
 from casewatch.sources import case_files, tables
 from casewatch.sources.star_schema import CaseTables, case_tables, read
+from casewatch.streaming import intake
 from casewatch.streaming import requests as streaming
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -413,6 +414,64 @@ def a4(t):
     return answers.expected_fact_recall(texts, expectations)
 
 
+# Question texts as people write them, with {drug}, {other}, {third}, {wrong} (the name without its third letter).
+QUESTIONS = {
+    "top": "What are the top 5 side effects of {drug}?",
+    "pair": "Is there an interaction between {drug} and {other}?",
+    "severe": "What serious outcomes are reported for {drug} in elderly patients?",
+    "females": "Tell me common side effects of {drug} in females.",
+    "compare": "Which of {other}, {drug} and {third} has the most serious adverse events?",
+    "wrong": "side effects for {wrong}",
+    "profile": "Should I stop taking {drug} because of Supplier#000000007?",
+    "severe_pair": "Serious effects of {drug} with {other}, over 65",
+    "many": "Do {drug}, {other} and {third} go together?",
+    "none": "Tell me a joke about supplier {number}.",
+}
+THIRD_DRUG = "hot rod"
+
+
+def _questions(spark: SparkSession, folder: str) -> DataFrame:
+    drug = F.initcap("p_name")
+    wrong = F.concat(F.substring("p_name", 1, 2), F.col("p_name").substr(F.lit(4), F.length("p_name")))
+    values = {"drug": drug, "other": F.upper(F.lit(OTHER_DRUG)), "third": F.lit(THIRD_DRUG), "wrong": wrong, "number": F.lit("one")}
+    parts = read(spark, folder, "part").select("p_name").distinct().where(~F.col("p_name").isin(OTHER_DRUG, THIRD_DRUG))
+    asked = []
+    for label, text in QUESTIONS.items():
+        said = F.lit(text)
+        for name, value in values.items():
+            said = F.replace(said, F.lit("{" + name + "}"), value)
+        asked.append(F.struct(F.concat(F.lit(f"{label}:"), "p_name").alias("request_id"), said.alias("text")))
+    return parts.select(F.inline(F.array(*asked)))
+
+
+def _slots(spark: SparkSession, folder: str) -> DataFrame:
+    drugs = read(spark, folder, "part").select(F.col("p_name").alias("name"))
+    effects = read(spark, folder, "supplier").select(F.col("s_name").alias("name"))
+    return questions.question_slots(_questions(spark, folder), drugs, effects)
+
+
+@query
+def a7(spark, folder):
+    t = case_tables(spark, folder)
+    return questions.answer_slots(t.drug, t.reac, t.outcome, t.demographics, _slots(spark, folder))
+
+
+@query
+def a7_status(spark, folder):
+    t, slots = case_tables(spark, folder), cut_lineage(_slots(spark, folder), "slots")
+    return questions.question_status(slots, questions.answer_slots(t.drug, t.reac, t.outcome, t.demographics, slots))
+
+
+@query
+def b7_requested(spark, folder):
+    t = case_tables(spark, folder)
+    drugs = read(spark, folder, "part").select(_asked("p_name").alias("drug"))
+    segments = [(AGE_OVER, F.lit(SEX)), (30, F.lit(None).cast("string"))]
+    wanted = F.array(*[F.struct(F.lit(age).alias("age_over"), sex.alias("sex")) for age, sex in segments])
+    wanted = drugs.select("drug", F.inline(wanted))
+    return severity.effects_by_segments(t.drug, t.reac, t.demographics, wanted, outcome=t.outcome)
+
+
 @query
 def a5(spark, folder):
     t = case_tables(spark, folder)
@@ -437,13 +496,16 @@ def a6(spark, folder):
 # Sources and sinks
 
 
+def _text_columns(df: DataFrame, table: str) -> DataFrame:
+    """All columns of a table's schema as text, those that are not there as NULL."""
+    columns = [(F.col(c) if c in df.columns else F.lit(None)).cast("string").alias(c) for c in SCHEMAS[table].fieldNames()]
+    return df.select(*columns)
+
+
 def _as_text(df: DataFrame, table: str, spark: SparkSession, base: str) -> str:
     """Write a table as a file family; returns its pattern."""
-    columns = [
-        (F.col(c) if c in df.columns else F.lit(None)).cast("string").alias(c) for c in SCHEMAS[table].fieldNames()
-    ]
     pattern = case_files.family_path(base, table)
-    case_files.write_case_files(df.select(*columns), pattern.replace("*", "25Q1"))
+    case_files.write_case_files(_text_columns(df, table), pattern.replace("*", "25Q1"))
     return pattern
 
 
@@ -521,6 +583,49 @@ def s7(spark, folder):
     return tables.read_table(spark, name)
 
 
+@query
+def s7_replaced(spark, folder):
+    """A table that is replaced by another query."""
+    t, base, name = case_tables(spark, folder), new_dir(spark, "versions"), f"{_database(spark)}.names"
+    for df in (reports.curated_drug_names(t.drug, "prod_ai"), reports.curated_drug_names(t.drug)):
+        tables.replace_table(spark, name, df, base)
+    return tables.read_table(spark, name)
+
+
+@query
+def s4_clustered(spark, folder):
+    t, name = case_tables(spark, folder), f"{_database(spark)}.drug"
+    tables.write_clustered(with_name_keys(t.drug), name, "drugname_key")
+    return reports.severe_side_effects(tables.read_table(spark, name), t.reac, t.outcome, DRUG, trim=True)
+
+
+def _intake(spark: SparkSession, inbox: str, store: str, table: str) -> None:
+    intake.start_intake(spark, inbox, store, table, files_per_batch=2).awaitTermination()
+
+
+@query
+def s10(spark, folder):
+    """Files of two quarters, taken in one after the other, then again with nothing new."""
+    inbox, store = new_dir(spark, "inbox"), new_dir(spark, "store")
+    outcome = case_tables(spark, folder).outcome
+    for quarter in (0, 1, None):
+        if quarter is not None:
+            rows = outcome.filter(F.pmod("primaryid", F.lit(2)) == quarter)
+            case_files.write_case_files(_text_columns(rows, "outcome").coalesce(1), f"{inbox}/OUTC25Q{quarter + 1}.txt")
+        _intake(spark, f"{inbox}", store, "outcome")
+    stored = intake.read_store(spark, store, "outcome").groupBy(intake.FILE, "outc_cod").agg(F.count(F.lit(1)).alias("n"))
+    files = intake.read_ledger(spark, store, "outcome").select(intake.FILE, "row_count")
+    return stored.join(files, intake.FILE).groupBy("outc_cod").agg(F.sum("n").alias("row_count"), F.sum("row_count").alias("in_files"))
+
+
+@over_cases
+def s10_versions(t):
+    """Each customer's orders as versions of one case, the ones of the last version, and their reactions."""
+    people = t.demographics.withColumn("caseversion", F.pmod("primaryid", F.lit(100)).cast("string"))
+    latest = intake.latest_versions(people)
+    return intake.of_reports(t.reac, latest).groupBy("pt").agg(F.count(F.lit(1)).alias("row_count"))
+
+
 @query
 def s8(spark, folder):
     t = case_tables(spark, folder)

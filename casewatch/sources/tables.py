@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from casewatch.functions.columns import AGE_UNITS, age_status, age_years, date_of
-from casewatch.schemas import SCHEMAS, TABLE_COMMENTS
+from casewatch.schemas import CASE, SCHEMAS, TABLE_COMMENTS
 
 
 def _quoted(text: str) -> str:
@@ -67,6 +68,27 @@ def write_table(
     return seen.get["rows"]
 
 
+def write_clustered(
+    df: DataFrame, name: str, key: str, spread_by: str = CASE, files: int | None = None, distinct_keys: int = 100_000, path: str | None = None
+) -> int:
+    """Replace a table laid out for lookups by `key`, and return its row count.
+
+    Rows are ranged over files by the key and then by a hash of `spread_by`, so a frequent key fills several files and
+    no task, and are sorted by the key in each. File and row group statistics then exclude what lies outside a range,
+    and Parquet Bloom filters (sized for `distinct_keys` in a file) keys that are not there.
+    """
+    seen = Observation()
+    by = [F.col(key), F.xxhash64(spread_by)]
+    ranged = df.repartitionByRange(files, *by) if files else df.repartitionByRange(*by)
+    # Counted after the ranges: finding them reads the rows once more.
+    rows = ranged.sortWithinPartitions(key).observe(seen, F.count(F.lit(1)).alias("rows"))
+    writer = rows.write.mode("overwrite").format("parquet")
+    writer = writer.option(f"parquet.bloom.filter.enabled#{key}", "true")
+    writer = writer.option(f"parquet.bloom.filter.expected.ndv#{key}", str(distinct_keys))
+    (writer.option("path", path) if path else writer).saveAsTable(name)
+    return seen.get["rows"]
+
+
 def insert_table(df: DataFrame, name: str) -> None:
     """Replace the rows of a declared table and keep its declaration; columns match by name."""
     spark = df.sparkSession
@@ -83,6 +105,31 @@ def create_table_as(spark: SparkSession, name: str, query: str | DataFrame) -> N
     df.write.mode("overwrite").format("parquet").saveAsTable(name)
 
 
+def replace_table(spark: SparkSession, name: str, query: str | DataFrame, folder: str) -> str:
+    """Create or replace a table in one step: readers see the old rows or the new ones, never none.
+
+    The rows go to a new folder below `folder`; then the view `name` is turned to it. A query that fails leaves the view
+    as it was, and queries that already read the old folder finish. Returns the new folder; see `drop_versions`.
+    """
+    df = spark.sql(query) if isinstance(query, str) else query
+    version = f"{folder.rstrip('/')}/version-{uuid.uuid4().hex}"
+    df.write.parquet(version)
+    spark.sql(f"CREATE OR REPLACE VIEW {name} AS SELECT * FROM parquet.`{version}`")
+    return version
+
+
+def drop_versions(spark: SparkSession, folder: str, keep: str) -> list[str]:
+    """Delete the versions below `folder` but `keep`, when nothing reads them any more; returns their names."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    home = path(folder)
+    files = home.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    old = [f.getPath() for f in files.listStatus(home) if f.getPath().getName().startswith("version-")]
+    old = [p for p in old if p.getName() != path(keep).getName()]
+    for one in old:
+        files.delete(one, True)
+    return sorted(p.getName() for p in old)
+
+
 def typed_demographics(
     demographics: DataFrame, date_format: str = "yyyyMMdd", units: Mapping[str, float] = AGE_UNITS
 ) -> DataFrame:

@@ -1,3 +1,4 @@
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -5,6 +6,7 @@ from casewatch.functions import table_functions
 from casewatch.operators import batch, reports
 from casewatch.schemas import SCHEMAS, TABLE_COMMENTS
 from casewatch.sources import case_files, tables
+from casewatch.streaming import intake
 from tests.conftest import rows
 from tests.small_cases import tables as small_tables
 
@@ -168,3 +170,87 @@ def test_persistent_table_functions(spark, database):
         assert rows(spark.sql("SELECT * FROM get_top_side_effects('aspirin')")) == [("Nausea", 4), ("Pain", 2)]
     finally:
         spark.sql(f"USE {before}")
+
+
+def test_replaced_in_one_step(spark, tmp_path):
+    folder = str(tmp_path / "versions")
+    first = tables.replace_table(spark, "replaced", spark.range(3), folder)
+    reading = tables.read_table(spark, "replaced")
+    second = tables.replace_table(spark, "replaced", "SELECT id, 'x' AS more FROM range(5)", folder)
+    assert reading.count() == 3  # a reader of the old version finishes
+    with pytest.raises(Exception, match="no rows"):
+        tables.replace_table(spark, "replaced", spark.range(2).select(F.raise_error(F.lit("no rows")).alias("id")), folder)
+    assert tables.read_table(spark, "replaced").columns == ["id", "more"] and tables.read_table(spark, "replaced").count() == 5
+    gone = tables.drop_versions(spark, folder, second)
+    assert first.rsplit("/", 1)[1] in gone and second.rsplit("/", 1)[1] not in gone
+    assert tables.read_table(spark, "replaced").count() == 5
+
+
+def scanned(df):
+    """Rows that leave the scans of an executed plan."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    total, todo = 0, [plan]
+    while todo:
+        node = todo.pop()
+        if node.nodeName().startswith("AdaptiveSparkPlan"):
+            todo.append(node.executedPlan())
+        elif "Scan parquet" in node.nodeName():
+            total += node.metrics().apply("numOutputRows").value()
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    return total
+
+
+def test_clustered_table_skips_files_and_row_groups(spark, tmp_path):
+    rows = spark.range(60_000).selectExpr("id AS primaryid", "if(id % 3 = 0, 'hot', concat('drug ', id % 5000)) AS name")
+    assert tables.write_clustered(rows, "clustered", "name", files=6, path=str(tmp_path / "clustered")) == 60_000
+    files = [f for f in (tmp_path / "clustered").glob("*.parquet")]
+    assert len(files) >= 5
+    hot = [pq.read_table(f, columns=["name"]).column(0).to_pylist().count("hot") for f in files]
+    assert sum(hot) == 20_000 and max(hot) < 15_000  # a frequent key fills several files
+    spark.conf.set("spark.sql.parquet.aggregatePushdown", "false")
+    one = tables.read_table(spark, "clustered").where("name = 'drug 77'")
+    assert one.count() == rows.where("name = 'drug 77'").count()
+    assert scanned(one.select("primaryid", "name")) <= 20_000
+    # Within the range of a file, but not there: the Bloom filter says so.
+    assert scanned(tables.read_table(spark, "clustered").where("name = 'drug 77x'").select("primaryid", "name")) == 0
+
+
+def test_intake_reads_only_new_files(spark, tmp_path):
+    inbox, store = tmp_path / "inbox", str(tmp_path / "store")
+    inbox.mkdir()
+
+    def arrive(name, *lines, header="primaryid$caseid$outc_cod"):
+        (inbox / name).write_text("\n".join([header, *lines]) + "\n")
+
+    def run():
+        intake.start_intake(spark, str(inbox), store, "outcome", files_per_batch=1).awaitTermination()
+        found = intake.read_store(spark, store, "outcome")
+        return sorted((r["file_name"], r["primaryid"], r["outc_cod"]) for r in found.collect())
+
+    arrive("OUTC25Q1.txt", "1$1$DE", "2$2$HO", "2$2$HO")
+    first = [("OUTC25Q1.txt", "1", "DE"), ("OUTC25Q1.txt", "2", "HO"), ("OUTC25Q1.txt", "2", "HO")]
+    assert run() == first == run()
+    stored = {f: f.stat().st_mtime_ns for f in (tmp_path / "store" / "outcome").rglob("*.parquet")}
+    arrive("OUTC25Q2.txt", "3$3$LT")
+    assert run() == [*first, ("OUTC25Q2.txt", "3", "LT")]
+    assert all(f.stat().st_mtime_ns == when for f, when in stored.items())
+    ledger = {r["file_name"]: (r["file_size"], r["row_count"]) for r in intake.read_ledger(spark, store, "outcome").collect()}
+    assert ledger == {n: ((inbox / n).stat().st_size, c) for n, c in (("OUTC25Q1.txt", 3), ("OUTC25Q2.txt", 1))}
+    # A batch that runs again replaces what it wrote.
+    again = spark.read.csv(str(inbox / "OUTC25Q2.txt"), header=True, sep="$").withColumn("file_name", F.lit("OUTC25Q2.txt"))
+    intake._replace(again, f"{store}/outcome")
+    assert run() == [*first, ("OUTC25Q2.txt", "3", "LT")]
+    arrive("OUTC25Q3.txt", "4$4$DS", header="caseid$primaryid$outc_cod")
+    with pytest.raises(Exception):
+        run()
+    assert intake.read_store(spark, store, "outcome").count() == 4
+
+
+def test_latest_versions(spark):
+    rows = [("10", "1", "1"), ("12", "1", "2"), ("11", "1", "10"), ("20", "2", "x"), ("21", "2", None), ("30", None, "1"), ("31", None, "1")]
+    found = intake.latest_versions(spark.createDataFrame(rows, "primaryid string, caseid string, caseversion string"))
+    kept = {r["primaryid"] for r in found.collect()}
+    assert kept == {"11", "21", "30", "31"}
+    reac = spark.createDataFrame([("10", "a"), ("11", "b"), ("11", "b"), ("99", "c")], "primaryid string, pt string")
+    assert sorted(r["pt"] for r in intake.of_reports(reac, found).collect()) == ["b", "b"]
