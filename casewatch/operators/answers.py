@@ -43,9 +43,10 @@ def with_system_turn(conversations: DataFrame, text: str) -> DataFrame:
     return messages.unionByName(first)
 
 
-def request_keys(requests: DataFrame) -> DataFrame:
-    """Requests with the keys of the answer table."""
+def request_keys(requests: DataFrame, *more: str) -> DataFrame:
+    """Requests with the keys of the answer table, and other columns of theirs."""
     return requests.select(
+        *more,
         "request_id",
         "kind",
         name_key("drug").alias("drug"),
@@ -142,15 +143,45 @@ def request_key(kind: str | Column = "kind") -> Column:
     )
 
 
+ANSWERED, NO_DRUG, UNKNOWN_KIND, NO_REPORTS = "answered", "no_drug", "unknown_kind", "no_reports"
+GIVEN = ("rank", "side_effect", "outcome_code", "report_count")
+
+
+def request_status() -> Column:
+    """Whether a request, joined to its answers, has any, and if not, why."""
+    drugless = F.col("drug").isNull() | ((F.col("kind") == PAIR) & F.col("drug2").isNull())
+    return (
+        F.when(F.col("rank").isNotNull(), ANSWERED)
+        .when(~F.coalesce(F.col("kind").isin(TOP, PAIR, SEGMENT, SEVERE), F.lit(False)), UNKNOWN_KIND)
+        .when(drugless, NO_DRUG)
+        .otherwise(NO_REPORTS)
+    )
+
+
+def asked_questions(requests: DataFrame) -> DataFrame:
+    """Requests with the text of their question, NULL without a drug, and `most`, the rows wanted (column `k`, if any)."""
+    keys = request_keys(requests) if "k" not in requests.columns else request_keys(requests, "k")
+    question = F.when(F.col("drug").isNotNull(), request_key())
+    most = F.col("k") if "k" in requests.columns else F.lit(None).cast("int")
+    return keys.select("request_id", "kind", "drug", "drug2", most.alias("most"), question.alias("question"))
+
+
 def lookup_answers(requests: DataFrame, answers: DataFrame) -> DataFrame:
     """(request_id, kind, rank, side_effect, outcome_code, report_count) from a finished answer table.
 
-    A question asked very often is split; its few answer rows are copied to the parts.
+    A request with a `k` gets at most that many rows, and no more than the table has. A question asked very often is
+    split; its few answer rows are copied to the parts.
     """
-    asked = request_keys(requests).filter("drug is not null").select("request_id", request_key().alias("question"))
-    given = answers.select(request_key().alias("question"), "kind", "rank", "side_effect", "outcome_code", "report_count")
-    found = product_join([Side(asked, ("request_id",)), Side(given)], "question")
-    return found.select("request_id", "kind", "rank", "side_effect", "outcome_code", "report_count")
+    return lookup_all(requests, answers).filter(F.col("status") == ANSWERED).drop("status")
+
+
+def lookup_all(requests: DataFrame, answers: DataFrame) -> DataFrame:
+    """As `lookup_answers`, with `status`, and one row for every request that has no answers."""
+    asked = asked_questions(requests)
+    given = answers.select(request_key().alias("question"), *GIVEN)
+    found = product_join([Side(asked, ("request_id",)), Side(given, optional=True)], "question")
+    wanted = found.filter(F.col("most").isNull() | F.col("rank").isNull() | (F.col("rank") <= F.col("most")))
+    return wanted.select("request_id", "kind", *GIVEN, request_status().alias("status"))
 
 
 def answer_requests(

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from casewatch.functions.columns import name_key
-from casewatch.operators.answers import PAIR, SEGMENT, SEVERE, TOP
+from casewatch.operators.answers import ANSWERED, NO_DRUG, NO_REPORTS, PAIR, SEGMENT, SEVERE, TOP, UNKNOWN_KIND
 from casewatch.operators.batch import pair_interactions_for, top_side_effects_by_drug
 from casewatch.operators.counts import hot_cases
 from casewatch.operators.names import extract_mentions, normalize_names_fuzzy, phrases, words
@@ -22,7 +22,7 @@ from casewatch.plans.lineage import cut_lineage
 # Kinds beyond those of request tables.
 SEVERE_PAIR, COMPARE, PROFILE = "severe_pair", "compare", "profile"
 KINDS = (TOP, PAIR, SEGMENT, SEVERE, SEVERE_PAIR, COMPARE, PROFILE)
-ANSWERED, NO_DRUG, TOO_MANY, NO_REPORTS, UNKNOWN_KIND = "answered", "no_drug", "too_many_drugs", "no_reports", "unknown_kind"
+TOO_MANY = "too_many_drugs"
 
 # Cue words (lower-case); callers give their own for other languages and code tables.
 SEVERE_CUES = ("serious", "severe", "fatal", "death", "deaths", "dangerous", "hospitalization", "hospitalisation")

@@ -347,6 +347,14 @@ ORACLE["case_counts"] = _sql(
 )
 ORACLE["b1_cube"], ORACLE["b3_cube"], ORACLE["b4_cube"] = (ORACLE[q] for q in ("b1_distinct_cases", "b3", "b4"))
 ORACLE["a3_cube"] = ORACLE["a3"]
+ORACLE["a3_status"] = f"""WITH a3 AS ({ORACLE["a3"]}), parts AS (SELECT DISTINCT p_name AS drug FROM part)
+    SELECT *, 'answered' AS status FROM a3 WHERE rank <= 3
+    UNION ALL SELECT label || ':' || drug, kind, NULL, NULL, NULL, NULL, 'no_reports' FROM parts, (VALUES ('top', 'top'), ('severe', 'severe'),
+    ('pair', 'pair'), ('segment', 'segment'), ('age', 'segment'), ('sex', 'segment'), ('anyone', 'segment')) AS kinds(label, kind)
+    WHERE label || ':' || drug NOT IN (SELECT request_id FROM a3)
+    UNION ALL SELECT odd || ':top:' || drug, kind, NULL, NULL, NULL, NULL, status FROM parts,
+    (VALUES ('drugless', 'top', 'no_drug'), ('unheard', 'top', 'no_reports'), ('strange', 'horoscope', 'unknown_kind'),
+    ('half', 'pair', 'no_drug')) AS odds(odd, kind, status)"""
 ORACLE["n2_index"], ORACLE["s7_replaced"], ORACLE["s4_clustered"] = ORACLE["n2"], ORACLE["q5"], ORACLE["q4"]
 ORACLE["s10"] = _sql(
     """SELECT outc_cod, COUNT(*) AS row_count, (SELECT COUNT(*) FROM outcome) AS in_files FROM outcome GROUP BY outc_cod""", "outcome"

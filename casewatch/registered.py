@@ -396,6 +396,26 @@ def a3(spark, folder):
     return answers.answer_requests(t.drug, t.reac, t.outcome, t.demographics, sample_requests(spark, folder))
 
 
+def _odd_requests(spark: SparkSession, folder: str) -> DataFrame:
+    """Requests for three rows each, some of which cannot be answered."""
+    asked = sample_requests(spark, folder).withColumn("k", F.lit(3))
+    top = asked.filter(F.col("request_id").startswith("top:"))
+    odd = {
+        "drugless": top.withColumn("drug", F.lit(None).cast("string")),
+        "unheard": top.withColumn("drug", F.concat("drug", F.lit(" forte"))),
+        "strange": top.withColumn("kind", F.lit("horoscope")),
+        "half": top.withColumn("kind", F.lit(answers.PAIR)),
+    }
+    named = [df.withColumn("request_id", F.concat(F.lit(f"{name}:"), "request_id")) for name, df in odd.items()]
+    return reduce(DataFrame.unionByName, named, asked)
+
+
+@query
+def a3_status(spark, folder):
+    t, asked = case_tables(spark, folder), _odd_requests(spark, folder)
+    return answers.lookup_all(asked, answers.answer_table(t.drug, t.reac, t.outcome, t.demographics, asked, 5))
+
+
 @query
 def a3_cube(spark, folder):
     t, asked = case_tables(spark, folder), sample_requests(spark, folder)

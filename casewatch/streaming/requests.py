@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from casewatch.operators.answers import request_key, request_keys
+from casewatch.operators.answers import ANSWERED, GIVEN, asked_questions, request_key, request_status
 from casewatch.plans.sizing import is_small
 
 REQUEST_SCHEMA = "request_id string, kind string, drug string, drug2 string, age_group string, sex string"
@@ -21,24 +21,24 @@ def read_request_stream(spark: SparkSession, folder: str, files_per_batch: int =
 PARTS = 16
 
 
-def answer_requests_stream(requests: DataFrame, answers: DataFrame) -> DataFrame:
+def answer_requests_stream(requests: DataFrame, answers: DataFrame, all_requests: bool = False) -> DataFrame:
     """Join streamed requests with a written answer table; stateless, rows as `lookup_answers` gives.
 
-    `answers` should be read from files (see `answer_table`): every micro-batch uses them again. A
-    counted small table is broadcast. A larger one is copied to `PARTS` parts of every question, so a
-    question that fills a micro-batch is answered by several tasks.
+    `all_requests` gives rows as `lookup_all` does: what cannot be answered has a row with the reason. `answers` should
+    be read from files (see `answer_table`): every micro-batch uses them again. A counted small table is broadcast. A
+    larger one is copied to `PARTS` parts of every question, so a question that fills a micro-batch is answered by
+    several tasks.
     """
-    asked = request_keys(requests).filter("drug is not null").select("request_id", request_key().alias("question"))
-    given = answers.select(
-        request_key().alias("question"), "kind", "rank", "side_effect", "outcome_code", "report_count"
-    )
+    asked = asked_questions(requests)
+    given = answers.select(request_key().alias("question"), *GIVEN)
     if is_small(given):
-        joined = asked.join(F.broadcast(given), "question")
+        joined = asked.join(F.broadcast(given), "question", "left")
     else:
         asked = asked.withColumn("part", F.pmod(F.xxhash64("request_id"), F.lit(PARTS)))
         given = given.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(PARTS - 1).cast("bigint"))))
-        joined = asked.join(given, ["question", "part"])
-    return joined.select("request_id", "kind", "rank", "side_effect", "outcome_code", "report_count")
+        joined = asked.join(given, ["question", "part"], "left")
+    rows = joined.select("request_id", "kind", *GIVEN, request_status().alias("status"))
+    return rows if all_requests else rows.filter(F.col("status") == ANSWERED).drop("status")
 
 
 def start_answers(answered: DataFrame, output: str, checkpoint: str) -> StreamingQuery:
