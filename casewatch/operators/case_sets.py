@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from casewatch.functions.columns import name_key
 from casewatch.operators.counts import all_drugs, reactions
 from casewatch.plans.lineage import cut_lineage
-from casewatch.plans.ranking import best_first, dense_ids, top_k_per_key
+from casewatch.plans.ranking import dense_ids
 from casewatch.plans.sizing import broadcast_if_small
 from casewatch.schemas import CASE
 
@@ -37,6 +37,8 @@ DENSE = 1_024
 BLOCK = 2_000_000
 UNPACKED = 1_024
 
+DRUG, REACTION = "drug", "reaction"
+# Rows of a chunk, in the order in which a task needs them.
 _DRUG, _REACTION, _PAIR = 0, 1, 2
 
 
@@ -52,25 +54,36 @@ def case_numbers(*tables: DataFrame, case: str = CASE) -> DataFrame | None:
     return dense_ids(keys.where(F.col(case).isNotNull()).distinct(), case, "number").select(case, "number")
 
 
-def case_sets(rows: DataFrame, name: str, numbers: DataFrame | None = None, case: str = CASE) -> DataFrame:
-    """(`name`, chunk, cases bitmap) of (case, `name`) rows; a case counts once for a name, rows without case not at all.
+def case_sets(rows: DataFrame, by: list[str], numbers: DataFrame | None = None, case: str = CASE) -> DataFrame:
+    """(*by, chunk, cases bitmap) of (case, *by) rows; a case counts once in a set, rows without case not at all.
 
     `numbers` is the outcome of `case_numbers`, the same for all sets that are to be compared.
     """
     numbered = rows.withColumn("number", F.col(case)) if numbers is None else rows.join(numbers, case)
     numbered = numbered.where(F.col("number").isNotNull()).withColumn("number", F.col("number").cast("bigint"))
-    return numbered.groupBy(name, F.bitmap_bucket_number("number").alias("chunk")).agg(
+    return numbered.groupBy(*by, F.bitmap_bucket_number("number").alias("chunk")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position("number")).alias("cases")
     )
 
 
-def drug_and_reaction_sets(drug: DataFrame, reac: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The sets of all drugs (in any role, by `name_key`) and of all reactions, not yet written."""
+def drug_and_reaction_sets(drug: DataFrame, reac: DataFrame) -> DataFrame:
+    """(kind, name, chunk, cases): the sets of all drugs (in any role, by `name_key`) and of all reactions, not yet
+    written. Both come from one aggregation."""
     drugs, effects = all_drugs(drug), reactions(reac)
     numbers = case_numbers(drugs, effects)
     if numbers is not None:
         numbers = cut_lineage(numbers, "numbers")
-    return case_sets(drugs, "drug", numbers), case_sets(effects, "side_effect", numbers)
+    both = drugs.select(CASE, F.lit(DRUG).alias("kind"), F.col("drug").alias("name"))
+    both = both.union(effects.select(CASE, F.lit(REACTION).alias("kind"), F.col("side_effect").alias("name")))
+    return case_sets(both, ["kind", "name"], numbers)
+
+
+def drug_sets(sets: DataFrame) -> DataFrame:
+    return sets.where(F.col("kind") == DRUG).select(F.col("name").alias("drug"), "chunk", "cases")
+
+
+def reaction_sets(sets: DataFrame) -> DataFrame:
+    return sets.where(F.col("kind") == REACTION).select(F.col("name").alias("side_effect"), "chunk", "cases")
 
 
 def merge_sets(sets: DataFrame, more: DataFrame) -> DataFrame:
@@ -130,11 +143,12 @@ class Members:
         return index, self.at_place[np.arange(len(index)) + np.repeat(starts - (ends - sizes), sizes)]
 
 
-Counts = Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
+# First drug, second drug and cases of each pair, the end of its reactions, and reactions with their cases.
+Counts = Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
 
 
 class Chunk:
-    """All drugs and reactions of one chunk. Counts come as (first drug, second drug, reaction or -1 for all, cases)."""
+    """All drugs and reactions of one chunk."""
 
     def __init__(self, drugs: np.ndarray, effects: np.ndarray):
         self.drugs, self.effects = Members(drugs), Members(effects)
@@ -176,8 +190,7 @@ class Chunk:
         )
 
     def _pair(self, first: int, second: int, effects: np.ndarray, counts: np.ndarray, total: int) -> Counts:
-        size = len(effects) + 1
-        yield np.full(size, first), np.full(size, second), np.append(effects, -1), np.append(counts, total)
+        yield np.array([first]), np.array([second]), np.array([total]), np.array([len(effects)]), effects, counts
 
     def _small(self) -> Counts:
         """Pairs with a drug that is not large, by the places of their cases."""
@@ -200,31 +213,49 @@ class Chunk:
             keep = (other > one) | (drugs.dense[other] & (other != one))
             one, other, at = one[keep], other[keep], at[keep]
             first, second = np.minimum(one, other), np.maximum(one, other)
-            which, effect = self.effects.gather(at)
-            first, second = np.concatenate([first, first[which]]), np.concatenate([second, second[which]])
-            effect = np.concatenate([np.full(len(one), -1), effect])
-            order = np.lexsort((effect, second, first))
-            first, second, effect = first[order], second[order], effect[order]
+            order = np.lexsort((second, first))
+            first, second, at = first[order], second[order], at[order]
             new = np.ones(len(order), bool)
-            new[1:] = (first[1:] != first[:-1]) | (second[1:] != second[:-1]) | (effect[1:] != effect[:-1])
-            heads = np.flatnonzero(new)
-            yield first[heads], second[heads], effect[heads], np.diff(np.append(heads, len(order)))
+            new[1:] = (first[1:] != first[:-1]) | (second[1:] != second[:-1])
+            heads, pair = np.flatnonzero(new), np.cumsum(new) - 1
+            which, effect = self.effects.gather(at)
+            key, counts = np.unique(pair[which] * np.int64(self.effects.count) + effect, return_counts=True)
+            sizes = np.bincount(key // max(self.effects.count, 1), minlength=len(heads))
+            if len(heads):
+                totals = np.diff(np.append(heads, len(order)))
+                yield first[heads], second[heads], totals, np.cumsum(sizes), key % max(self.effects.count, 1), counts
             start = stop
 
 
 def _counting(batches: Iterator[pa.RecordBatch], given: bool) -> Iterator[pa.RecordBatch]:
-    """Rows (chunk, kind, name, other, cases), by chunk and kind, to (drug1, drug2, whole, side_effect, n); for the
-    `given` pairs or for all."""
+    """Rows (chunk, kind, name, other, number, cases), by chunk and kind, to (drug1, drug2, cases, effects, counts), a
+    row for each pair of a chunk; for the `given` pairs or for all. Reactions go by their `number`."""
     chunk: int | None = None
     names: dict[int, list] = {}
     bitmaps: dict[int, list[bytes]] = {}
     others: list = []
+    numbers: list[int] = []
 
     def matrix(kind: int) -> np.ndarray:
         return np.frombuffer(b"".join(bitmaps.get(kind, [])), np.uint8).reshape(-1, BYTES)
 
+    def named(held: list[tuple], drugs: pa.Array, effects: np.ndarray) -> pa.RecordBatch:
+        first, second, total, _, effect, count = (np.concatenate(column) for column in zip(*held))
+        shift = np.cumsum([0, *[len(part[4]) for part in held]])
+        ends = pa.array(np.concatenate([[0], *[part[3] + at for part, at in zip(held, shift)]]).astype(np.int32))
+        return pa.RecordBatch.from_arrays(
+            [
+                drugs.take(pa.array(first)),
+                drugs.take(pa.array(second)),
+                pa.array(total.astype(np.int64)),
+                pa.ListArray.from_arrays(ends, pa.array(effects[effect])),
+                pa.ListArray.from_arrays(ends, pa.array(count.astype(np.int32))),
+            ],
+            names=["drug1", "drug2", "cases", "effects", "counts"],
+        )
+
     def flush() -> Iterator[pa.RecordBatch]:
-        drugs, effects = pa.array(names.get(_DRUG, []), pa.string()), pa.array(names.get(_REACTION, []), pa.string())
+        drugs, effects = pa.array(names.get(_DRUG, []), pa.string()), np.array(numbers, np.int32)
         work = Chunk(matrix(_DRUG), matrix(_REACTION))
         if given:
             number = {name: n for n, name in enumerate(names.get(_DRUG, []))}
@@ -232,91 +263,120 @@ def _counting(batches: Iterator[pa.RecordBatch], given: bool) -> Iterator[pa.Rec
         else:
             counts = work.all_pairs()
         held: list[tuple] = []
+        size = 0
         for part in counts:
             held.append(part)
-            if sum(len(p[0]) for p in held) > 50_000:
-                yield _named(drugs, effects, held)
-                held = []
+            size += len(part[4]) + len(part[0])
+            if size > 200_000:
+                yield named(held, drugs, effects)
+                held, size = [], 0
         if held:
-            yield _named(drugs, effects, held)
+            yield named(held, drugs, effects)
 
     for batch in batches:
-        for mine, kind, name, other, cases in zip(*(batch.column(c).to_pylist() for c in ("chunk", "kind", "name", "other", "cases"))):
+        columns = (batch.column(c).to_pylist() for c in ("chunk", "kind", "name", "other", "number", "cases"))
+        for mine, kind, name, other, number, cases in zip(*columns):
             if mine != chunk:
                 if names:
                     yield from flush()
-                chunk, names, bitmaps, others = mine, {}, {}, []
+                chunk, names, bitmaps, others, numbers = mine, {}, {}, [], []
             names.setdefault(kind, []).append(name)
             if kind == _PAIR:
                 others.append(other)
             else:
                 bitmaps.setdefault(kind, []).append(cases)
+                if kind == _REACTION:
+                    numbers.append(number)
     if names:
         yield from flush()
 
 
-def _named(drugs: pa.Array, effects: pa.Array, held: list[tuple]) -> pa.RecordBatch:
-    first, second, effect, count = (np.concatenate(column) for column in zip(*held))
-    whole = effect < 0
-    return pa.RecordBatch.from_arrays(
-        [
-            drugs.take(pa.array(first)),
-            drugs.take(pa.array(second)),
-            pa.array(whole),
-            effects.take(pa.array(effect, mask=whole)),
-            pa.array(count.astype(np.int64)),
-        ],
-        names=["drug1", "drug2", "whole", "side_effect", "n"],
-    )
-
-
-def _row(kind: int, name: str, other: Column | None = None, cases: Column | None = None) -> list[Column]:
-    none = F.lit(None)
-    return [
-        F.col("chunk"),
-        F.lit(kind).alias("kind"),
-        F.col(name).alias("name"),
-        (none.cast("string") if other is None else other).alias("other"),
-        (none.cast("binary") if cases is None else cases).alias("cases"),
-    ]
+def _adding(batches: Iterator[pa.RecordBatch], k: int | None, min_cases: int) -> Iterator[pa.RecordBatch]:
+    """Rows of `_counting`, equal pairs one after another, to the `k` best reactions of each pair with enough cases:
+    (drug1, drug2, rank, number, n). Only one pair's sums are held."""
+    pair: tuple[str, str] | None = None
+    cases, sums = 0, np.zeros(0, np.int64)
+    out: list[tuple[str, str, np.ndarray, np.ndarray]] = []
+    size = 0
+
+    def close() -> int:
+        if pair is None or cases < min_cases:
+            return 0
+        effects = np.flatnonzero(sums)
+        best = np.lexsort((effects, -sums[effects]))[:k]
+        out.append((*pair, effects[best], sums[effects][best]))
+        return len(best)
+
+    def made() -> pa.RecordBatch:
+        sizes = [len(o[2]) for o in out]
+        rows = np.repeat(np.arange(len(out)), sizes)
+        first, second = (pa.array([o[n] for o in out], pa.string()).take(pa.array(rows)) for n in (0, 1))
+        ranks = np.concatenate([np.arange(1, n + 1) for n in sizes])
+        arrays = [first, second, *[pa.array(x.astype(np.int64)) for x in (ranks, *[np.concatenate([o[n] for o in out]) for n in (2, 3)])]]
+        return pa.RecordBatch.from_arrays(arrays, names=["drug1", "drug2", "rank", "number", "n"])
 
-
-def pair_counts(drug_sets: DataFrame, reaction_sets: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
-    """(drug1, drug2, whole, side_effect, n): distinct cases with both drugs for each reaction, and in all (`whole`).
-
-    For every pair drug1 < drug2 that shares a case, or for the (drug1, drug2) rows of `pairs`. Only chunks are
-    shuffled: their sizes are alike whatever cases, drugs or reactions are frequent.
-    """
-    bits = F.col("cases")
-    rows = drug_sets.select(*_row(_DRUG, "drug", cases=bits)).union(reaction_sets.select(*_row(_REACTION, "side_effect", cases=bits)))
-    if pairs is not None:
-        held = drug_sets.select("chunk", "drug")
-        asked = broadcast_if_small(pairs.select("drug1", "drug2").distinct())
-        first = held.withColumnRenamed("drug", "drug1").join(asked, "drug1")
-        both = first.join(held.withColumnRenamed("drug", "drug2"), ["chunk", "drug2"])
-        rows = rows.union(both.select(*_row(_PAIR, "drug1", F.col("drug2"))))
-    dealt = rows.repartition("chunk").sortWithinPartitions("chunk", "kind", "name")
-    given = pairs is not None
-    each = dealt.mapInArrow(lambda batches: _counting(batches, given), "drug1 string, drug2 string, whole boolean, side_effect string, n bigint")
-    return each.groupBy("drug1", "drug2", "whole", "side_effect").agg(F.sum("n").alias("n"))
+    for batch in batches:
+        effects, counts = batch.column("effects"), batch.column("counts")
+        numbers, added = effects.flatten().to_numpy(), counts.flatten().to_numpy()
+        ends = np.cumsum(pa.compute.list_value_length(effects).to_numpy())
+        start = 0
+        for first, second, total, end in zip(*(batch.column(c).to_pylist() for c in ("drug1", "drug2", "cases")), ends.tolist()):
+            if (first, second) != pair:
+                size += close()
+                if size > 50_000:
+                    yield made()
+                    out.clear()
+                    size = 0
+                pair, cases = (first, second), 0
+                sums[:] = 0
+            cases += total
+            mine = numbers[start:end]
+            if len(mine) and (most := int(mine.max())) >= len(sums):
+                sums = np.concatenate([sums, np.zeros(most + 1 - len(sums), np.int64)])
+            sums[mine] += added[start:end]
+            start = end
+    close()
+    if out:
+        yield made()
+
+
+def _row(kind: int, name: str, **columns: Column) -> list[Column]:
+    types = {"other": "string", "number": "int", "cases": "binary"}
+    rest = [columns.get(c, F.lit(None)).cast(kind_of).alias(c) for c, kind_of in types.items()]
+    return [F.col("chunk"), F.lit(kind).alias("kind"), F.col(name).alias("name"), *rest]
 
 
 def pair_interactions_from_sets(
-    drug_sets: DataFrame, reaction_sets: DataFrame, k: int | None = 10, min_cases: int = 1, pairs: DataFrame | None = None
+    sets: DataFrame, k: int | None = 10, min_cases: int = 1, pairs: DataFrame | None = None
 ) -> DataFrame:
-    """(drug1, drug2, rank, shared_side_effect, shared_report_count) as the pair reports give, from stored sets.
+    """(drug1, drug2, rank, shared_side_effect, shared_report_count) as the pair reports give, from stored sets (see
+    `drug_and_reaction_sets`).
 
     All pairs drug1 < drug2 with at least `min_cases` cases, or the pairs of a request table, named as `name_key`.
+    Bitmaps are shuffled by chunk: chunks are alike in size whatever cases, drugs or reactions are frequent. What comes
+    of a chunk is one row for each pair, and the rows of a pair are added up where they meet.
     """
-    if pairs is not None:
-        pairs = pairs.select(name_key("drug1").alias("drug1"), name_key("drug2").alias("drug2"))
-    counted = pair_counts(drug_sets, reaction_sets, pairs)
-    if min_cases > 1:
-        counted = cut_lineage(counted, "pairs")
-        together = counted.where("whole").where(F.col("n") >= min_cases).select("drug1", "drug2")
-        counted = counted.join(together, ["drug1", "drug2"], "left_semi")
-    effects = counted.where("NOT whole").select(
-        "drug1", "drug2", F.col("side_effect").alias("shared_side_effect"), F.col("n").alias("shared_report_count")
+    drugs, reacs = drug_sets(sets), reaction_sets(sets)
+    names = reacs.select("side_effect").where("side_effect IS NOT NULL").distinct()
+    numbered = cut_lineage(dense_ids(names, "side_effect", "number").select("side_effect", F.col("number").cast("int").alias("number")), "effects")
+    # The nameless reaction is the last, as in the reports.
+    last = numbered.count()
+    bits, known = F.col("cases"), broadcast_if_small(numbered)
+    effects = reacs.join(known, "side_effect", "left").withColumn("number", F.coalesce("number", F.lit(last)))
+    rows = drugs.select(*_row(_DRUG, "drug", cases=bits))
+    rows = rows.union(effects.select(*_row(_REACTION, "side_effect", cases=bits, number=F.col("number"))))
+    given = pairs is not None
+    if given:
+        asked = pairs.select(name_key("drug1").alias("drug1"), name_key("drug2").alias("drug2"))
+        held = drugs.select("chunk", "drug")
+        first = held.withColumnRenamed("drug", "drug1").join(broadcast_if_small(asked.distinct()), "drug1")
+        both = first.join(held.withColumnRenamed("drug", "drug2"), ["chunk", "drug2"])
+        rows = rows.union(both.select(*_row(_PAIR, "drug1", other=F.col("drug2"))))
+    dealt = rows.repartition("chunk").sortWithinPartitions("chunk", "kind", "name")
+    each = dealt.mapInArrow(
+        lambda batches: _counting(batches, given), "drug1 string, drug2 string, cases bigint, effects array<int>, counts array<int>"
     )
-    ranked = top_k_per_key(effects, ["drug1", "drug2"], k, best_first("shared_report_count", "shared_side_effect"))
-    return ranked.select("drug1", "drug2", "rank", "shared_side_effect", "shared_report_count")
+    met = each.repartition("drug1", "drug2").sortWithinPartitions("drug1", "drug2")
+    best = met.mapInArrow(lambda batches: _adding(batches, k, min_cases), "drug1 string, drug2 string, rank bigint, number bigint, n bigint")
+    named = best.join(known, "number", "left")
+    return named.select("drug1", "drug2", "rank", F.col("side_effect").alias("shared_side_effect"), F.col("n").alias("shared_report_count"))

@@ -154,14 +154,14 @@ def asked_segments_from_cube(cube: DataFrame, asked: DataFrame, k: int | None =
     return top_k_per_key(counted, keys, k, best_first("report_count", "side_effect"))
 
 
-def answer_table_from_cube(cube: DataFrame, drug_sets: DataFrame, reaction_sets: DataFrame, requests: DataFrame, k: int = 10) -> DataFrame:
+def answer_table_from_cube(cube: DataFrame, sets: DataFrame, requests: DataFrame, k: int = 10) -> DataFrame:
     """As `answer_table`, from a stored cube and stored sets of cases: no case table is read."""
     keys = cut_lineage(request_keys(requests).drop("request_id").distinct(), "questions")
     top = top_from_cube(cube, k, asked_drugs(keys, TOP))
     severe = severe_from_cube(cube, k, asked_drugs(keys, SEVERE))
     segment = asked_segments_from_cube(cube, asked_drugs(keys, SEGMENT), k)
     pairs = asked_drugs(keys, PAIR).select(F.col("drug").alias("drug1"), F.col("drug2"))
-    pair = pair_interactions_from_sets(drug_sets, reaction_sets, k, pairs=pairs).select(
+    pair = pair_interactions_from_sets(sets, k, pairs=pairs).select(
         F.col("drug1").alias("drug"),
         "drug2",
         "rank",

@@ -143,25 +143,25 @@ def b2_requested(spark, folder):
     return batch.pair_interactions_for(t.drug, t.reac, first.withColumn("drug2", _asked(F.lit(OTHER_DRUG))))
 
 
-def _sets(t: CaseTables) -> list[DataFrame]:
-    return [cut_lineage(sets, "sets") for sets in case_sets.drug_and_reaction_sets(t.drug, t.reac)]
+def _sets(t: CaseTables) -> DataFrame:
+    return cut_lineage(case_sets.drug_and_reaction_sets(t.drug, t.reac), "sets")
 
 
 @over_cases
 def b2_bitmap(t):
-    return case_sets.pair_interactions_from_sets(*_sets(t))
+    return case_sets.pair_interactions_from_sets(_sets(t))
 
 
 @over_cases
 def b2_bitmap_min_cases(t):
-    return case_sets.pair_interactions_from_sets(*_sets(t), k=3, min_cases=64)
+    return case_sets.pair_interactions_from_sets(_sets(t), k=3, min_cases=64)
 
 
 @query
 def b2_bitmap_requested(spark, folder):
     t = case_tables(spark, folder)
     first = read(spark, folder, "part").select(_asked("p_name").alias("drug1")).distinct()
-    return case_sets.pair_interactions_from_sets(*_sets(t), pairs=first.withColumn("drug2", _asked(F.lit(OTHER_DRUG))))
+    return case_sets.pair_interactions_from_sets(_sets(t), pairs=first.withColumn("drug2", _asked(F.lit(OTHER_DRUG))))
 
 
 @over_cases
@@ -169,7 +169,7 @@ def case_counts(t):
     """Distinct cases of every drug, from the sets of two overlapping halves."""
     rows = all_drugs(t.drug)
     numbers = case_sets.case_numbers(rows)
-    halves = [case_sets.case_sets(rows.filter(F.col("primaryid") % 3 != n), "drug", numbers) for n in (0, 1)]
+    halves = [case_sets.case_sets(rows.filter(F.col("primaryid") % 3 != n), ["drug"], numbers) for n in (0, 1)]
     return case_sets.set_sizes(case_sets.merge_sets(*[cut_lineage(half, "sets") for half in halves]))
 
 
@@ -419,7 +419,7 @@ def a3_status(spark, folder):
 @query
 def a3_cube(spark, folder):
     t, asked = case_tables(spark, folder), sample_requests(spark, folder)
-    return answers.lookup_answers(asked, cube.answer_table_from_cube(_cube(spark, t), *_sets(t), asked))
+    return answers.lookup_answers(asked, cube.answer_table_from_cube(_cube(spark, t), _sets(t), asked))
 
 
 @over_cases

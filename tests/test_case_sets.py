@@ -23,9 +23,9 @@ def test_pairs_are_those_of_a_plain_loop(spark, monkeypatch, dense, source):
     t = tables(spark, drug=drug, reac=reac)
     counts, cases = pair_counts(drug, reac)
     sets = case_sets.drug_and_reaction_sets(t.drug, t.reac)
-    assert pairs_of(case_sets.pair_interactions_from_sets(*sets, k=4)) == best(counts, 4, keys=2)
+    assert pairs_of(case_sets.pair_interactions_from_sets(sets, k=4)) == best(counts, 4, keys=2)
     few = {key: n for key, n in counts.items() if cases[key[:2]] >= 3}
-    assert pairs_of(case_sets.pair_interactions_from_sets(*sets, k=4, min_cases=3)) == best(few, 4, keys=2)
+    assert pairs_of(case_sets.pair_interactions_from_sets(sets, k=4, min_cases=3)) == best(few, 4, keys=2)
 
 
 @pytest.mark.parametrize("dense", [case_sets.DENSE, 3])
@@ -36,7 +36,7 @@ def test_asked_pairs(spark, monkeypatch, dense):
     counts, _ = pair_counts(drug, reac)
     asked = [(" D0 ", "d1"), ("d2", "d0"), ("d3", "d3"), ("d4", "nobody"), (None, "d1"), ("d0", "d1")]
     sets = case_sets.drug_and_reaction_sets(t.drug, t.reac)
-    found = case_sets.pair_interactions_from_sets(*sets, k=3, pairs=spark.createDataFrame(asked, "drug1 string, drug2 string"))
+    found = case_sets.pair_interactions_from_sets(sets, k=3, pairs=spark.createDataFrame(asked, "drug1 string, drug2 string"))
     own = {}
     for case in {c for c, _, name in drug if name == "d3"}:
         for term in {r for c, r in reac if c == case}:
@@ -63,18 +63,19 @@ def test_numbers_over_many_chunks(spark):
             sets = case_sets.drug_and_reaction_sets(*of_numbers)
         finally:
             case_sets.MOST_GAPS = kept
-        assert pairs_of(case_sets.pair_interactions_from_sets(*sets, k=None)) == best(counts, None, keys=2)
-        sizes = dict(rows(case_sets.set_sizes(sets[0])))
+        assert pairs_of(case_sets.pair_interactions_from_sets(sets, k=None)) == best(counts, None, keys=2)
+        drugs = case_sets.drug_sets(sets)
+        sizes = dict(rows(case_sets.set_sizes(drugs)))
         assert sizes == {f"d{n}": len({c for c, _, d in drug if d == f"d{n}" and c is not None}) for n in range(6)}
-        merged = dict(rows(case_sets.set_sizes(case_sets.merge_sets(sets[0], sets[0].where("drug < 'd3'")))))
+        merged = dict(rows(case_sets.set_sizes(case_sets.merge_sets(drugs, drugs.where("drug < 'd3'")))))
         assert merged == sizes
 
 
 def test_pairs_need_no_exchange_by_case(spark):
     t = tables(spark)
-    sets = [df.checkpoint() for df in case_sets.drug_and_reaction_sets(t.drug, t.reac)]
-    text = case_sets.pair_interactions_from_sets(*sets)._jdf.queryExecution().executedPlan().toString()
-    assert "Join" not in text and "primaryid" not in text and "hashpartitioning(chunk" in text
+    sets = case_sets.drug_and_reaction_sets(t.drug, t.reac).checkpoint()
+    text = case_sets.pair_interactions_from_sets(sets)._jdf.queryExecution().executedPlan().toString()
+    assert "primaryid" not in text and "hashpartitioning(chunk" in text and "SortMergeJoin" not in text
 
 
 def test_places_of_bits():
@@ -123,4 +124,4 @@ def test_empty_tables(spark):
     t = tables(spark)
     none = [df.limit(0) for df in (t.drug, t.reac, t.outcome, t.demographics)]
     assert cube.count_cube(*none).count() == 0
-    assert case_sets.pair_interactions_from_sets(*case_sets.drug_and_reaction_sets(*none[:2])).count() == 0
+    assert case_sets.pair_interactions_from_sets(case_sets.drug_and_reaction_sets(*none[:2])).count() == 0
