@@ -1,11 +1,12 @@
 """Quality by importance resampling: hashed n-gram models of target and raw text, sampled by Gumbel top-k.
 
-Two generative models give the chance that a document holds an n-gram of a hash bucket: one of the target (labelled
-documents of good quality that are not toxic), one of all raw text. A document's log weight is the sum of the log
-ratios of its n-grams. N-grams are single words, shapes of single words and pairs of shapes; each counts once for a
-document, so that long and repetitive texts do not outweigh what they hold. A ratio stays 1 unless the target holds the
-n-gram at most `MOST_RATIO` times as often as raw text does, by at least `DEVIATIONS` standard deviations: the target is
-a small sample, and rare words that it lacks by chance say nothing about quality.
+Two generative models give the chance that a document with words holds an n-gram of a hash bucket: one of the target
+(labelled documents of good quality that are not toxic), one of all raw text. A document's log weight is the sum of the
+log ratios of its n-grams: single words, shapes of single words and pairs of shapes; each counts once for a document, so
+that long and repetitive texts do not outweigh what they hold. Every bucket has a ratio, smoothed and then shrunk by its
+counts: the target is a small sample of raw text, and the chance that a bucket's two counts differ by accident, among
+all buckets with differences as large, says how much of its ratio is left. So rare words weigh nearly nothing, and
+without any size floor more of them do as the sample grows.
 
 Each log weight, divided by `TEMPERATURE`, gets Gumbel noise made from a hash of the text, and the k largest stay. k is
 the number of documents above the weight that separates labelled documents best, so the share kept follows the corpus.
@@ -13,6 +14,7 @@ the number of documents above the weight that separates labelled documents best,
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -23,15 +25,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from casewatch.llm.batches import by_value, raw_texts, slices
+from casewatch.llm.batches import by_value, fresh, raw_texts, slices
 from casewatch.plans.lineage import cut_lineage
 
 by_value(__name__)
 
-# Labelled documents used, those of the smallest id hashes: one half for the target model, one for the cut.
+# Labelled documents used, those of the smallest id hashes. One of `FOLDS` shares of the good ones is left out of the
+# target model and, with those that are not good, finds the cut.
 MAX_LABELLED = 20_000
-DEVIATIONS = 3.5
-MOST_RATIO = 0.5
+FOLDS = 5
+# Documents added to both counts of a bucket, and the power of the chance that its difference is none by accident.
+SMOOTH = 0.5
+SHRINK = 8
 TEMPERATURE = 0.25
 SEED = 7
 
@@ -71,15 +76,16 @@ def buckets(text: bytes | None) -> np.ndarray:
 
 
 def _counts(docs: DataFrame, text: str) -> tuple[np.ndarray, int]:
-    """Documents that hold each bucket, and documents in all. The counts are added up in every task, then by bucket;
+    """Documents that hold each bucket, and documents with words in all. The counts are added up in every task, then by bucket;
     what reaches the driver has a fixed size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count, rows = np.zeros(BUCKETS + 1, np.int64), 0
         for part in slices(batches):
             for t in raw_texts(part.column(0)):
-                count[buckets(t)] += 1
-            rows += part.num_rows
+                mine = buckets(t)
+                count[mine] += 1
+                rows += len(mine) > 0
         count[BUCKETS] = rows
         held = np.flatnonzero(count)
         yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(count[held])], names=["bucket", "n"])
@@ -91,17 +97,38 @@ def _counts(docs: DataFrame, text: str) -> tuple[np.ndarray, int]:
     return count[:BUCKETS], int(count[BUCKETS])
 
 
+def _by_accident(target: int, targets: int, raw: int, raws: int) -> float:
+    """How likely a sample of `targets` of `raws` documents holds a bucket at least this unusually often or seldom
+    (from the signed root of the deviance)."""
+    share, rest = targets / raws, raw - target
+    inside = target * math.log(target / (raw * share)) if target else 0.0
+    outside = rest * math.log(rest / (raw * (1 - share))) if rest and share < 1 else 0.0
+    return math.erfc(math.sqrt(max(inside + outside, 0.0)))
+
+
 def log_ratios(target: np.ndarray, targets: int, raw: np.ndarray, raws: int) -> np.ndarray:
-    """Log ratio of the two models for each bucket; zero where the target does not lack it clearly."""
-    expected = raw * (targets / max(raws, 1))
-    lacks = (target - expected <= -DEVIATIONS * np.sqrt(expected)) & (target <= MOST_RATIO * expected) & (expected > 0)
-    return np.where(lacks, np.log((target + 0.5) / (expected + 0.5)), 0.0)
+    """Log ratio of the two models for each bucket, smoothed and shrunk. Target documents are raw ones too."""
+    held = np.flatnonzero(raw)
+    ratios = np.zeros(len(raw))
+    if not len(held) or not targets:
+        return ratios
+    pairs, which = np.unique(np.stack([target[held], raw[held]], axis=1), axis=0, return_inverse=True)
+    chance = np.array([_by_accident(t, targets, r, raws) for t, r in pairs.tolist()])[which.ravel()]
+    # The share of accidents among the buckets whose chance is no larger.
+    order = np.argsort(chance, kind="stable")
+    accidents = np.minimum.accumulate((chance[order] * len(held) / np.arange(1, len(held) + 1))[::-1])[::-1]
+    kept = np.empty(len(held))
+    kept[order] = (1 - np.minimum(accidents, 1)) ** SHRINK
+    expected = raw[held] * (targets / raws)
+    ratios[held] = np.log((target[held] + SMOOTH) / (expected + SMOOTH)) * kept
+    return ratios
 
 
 def _with_weights(docs: DataFrame, text: str, ratios: np.ndarray, name: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            weight = [float(ratios[buckets(t)].sum()) for t in raw_texts(part.column(text))]
+            held = [buckets(t) for t in raw_texts(part.column(text))]
+            weight = [float(ratios[mine].sum()) if len(mine) else -np.inf for mine in held]
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.round(weight, 9), pa.float64())], names=[*part.schema.names, name])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
@@ -121,15 +148,15 @@ def best_cut(weights: np.ndarray, good: np.ndarray) -> float:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(text, good, half) of at most `MAX_LABELLED` labelled documents. Several labels of a document count as the
+    """(text, good, held_out) of at most `MAX_LABELLED` labelled documents. Several labels of a document count as the
     worst of them; labels without a verdict (null, and nothing else says no) are left out."""
     verdict = F.when((F.col("quality") == 0) | (F.col("toxic") == 1), False).when(
         (F.col("quality") == 1) & (F.col("toxic") == 0), True
     )
     each = labels.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(verdict).alias("good")).where("good IS NOT NULL")
     sample = each.orderBy(F.xxhash64(key), key).limit(MAX_LABELLED)
-    half = (F.xxhash64(F.lit("half"), key) % 2 == 0).alias("half")
-    return docs.select(key, F.col(text).alias("text")).join(F.broadcast(sample), key).select("text", "good", half)
+    held_out = (F.pmod(F.xxhash64(F.lit("fold"), key), F.lit(FOLDS)) == 0).alias("held_out")
+    return docs.select(key, F.col(text).alias("text")).join(F.broadcast(sample), key).select("text", "good", held_out)
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[np.ndarray, float]:
@@ -137,9 +164,10 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     the bounded sample. Without labelled documents of both kinds nothing is rejected."""
     raw, raws = _counts(docs, text)
     sample = cut_lineage(labelled(docs, labels, key, text), "labelled")
-    target, targets = _counts(sample.where("good AND half"), "text")
+    target, targets = _counts(sample.where("good AND NOT held_out"), "text")
     ratios = log_ratios(target, targets, raw, raws)
-    weighed = _with_weights(sample.where("NOT half"), "text", ratios, "weight").select("weight", "good").toArrow()
+    judged = _with_weights(sample.where("held_out OR NOT good"), "text", ratios, "weight").where(F.col("weight") > float("-inf"))
+    weighed = judged.select("weight", "good").toArrow()
     return ratios, best_cut(weighed.column("weight").to_numpy(), weighed.column("good").to_numpy(zero_copy_only=False).astype(bool))
 
 
@@ -170,22 +198,24 @@ def kth_largest(values: DataFrame, name: str, k: int, buffer: int = 4_096) -> fl
 def weigh(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", names=("log_weight", "perturbed", "selected")) -> DataFrame:
     """`docs` with log weight, perturbed log weight and whether it is among the k largest, in columns `names`.
 
-    Null, empty and wordless texts have weight 0, the neutral one. Documents that tie with the k-th stay too.
-    The rows are written once to the shared folder.
+    Null, empty and wordless texts have weight minus infinity: they are selected only where all documents are, that is
+    where no labelled document is good or none is not. Documents that tie with the k-th stay too. The rows are written
+    once to the shared folder.
     """
     ratios, cut = fit(docs, labels, key, text)
     clean = docs.drop(*[n for n in docs.columns if n in names])
     rows = _with_weights(clean, text, ratios, names[0]).withColumn(names[1], F.round(F.col(names[0]) / TEMPERATURE + gumbel(text), 9))
     rows = cut_lineage(rows, "weighed")
     total, k = rows.agg(F.count("*"), F.count(F.when(F.col(names[0]) > cut, 1))).first()
-    if k == total:
+    if k == total or cut == -np.inf:
         return rows.withColumn(names[2], F.lit(True))
     if k == 0:
         return rows.withColumn(names[2], F.lit(False))
-    return rows.withColumn(names[2], F.col(names[1]) >= kth_largest(rows.select(names[1]), names[1], k))
+    finite = rows.select(names[1]).where(F.col(names[1]) > float("-inf"))
+    return rows.withColumn(names[2], F.col(names[1]) >= kth_largest(finite, names[1], k))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The selected rows of `docs`, with its columns."""
-    names = tuple(f"_quality_{n}" for n in ("weight", "perturbed", "selected"))
+    names = tuple(fresh(docs.columns, "weight", "perturbed", "selected"))
     return weigh(docs, labels, key, text, names).where(names[2]).select(*docs.columns)
