@@ -36,6 +36,8 @@ DENSE = 1_024
 # Joined (drug, drug, reaction) places counted at a time in a task, and bitmaps unpacked at a time.
 BLOCK = 2_000_000
 UNPACKED = 1_024
+# Tasks that the chunks are dealt to; beyond that a task has several chunks.
+MOST_TASKS = 100_000
 
 DRUG, REACTION = "drug", "reaction"
 # Rows of a chunk, in the order in which a task needs them.
@@ -372,7 +374,9 @@ def pair_interactions_from_sets(
         first = held.withColumnRenamed("drug", "drug1").join(broadcast_if_small(asked.distinct()), "drug1")
         both = first.join(held.withColumnRenamed("drug", "drug2"), ["chunk", "drug2"])
         rows = rows.union(both.select(*_row(_PAIR, "drug1", other=F.col("drug2"))))
-    dealt = rows.repartition("chunk").sortWithinPartitions("chunk", "kind", "name")
+    # A chunk is little data but much work: one task for each, as far as their number goes.
+    tasks = min(max(sets.select("chunk").distinct().count(), 1), MOST_TASKS)
+    dealt = rows.repartition(tasks, "chunk").sortWithinPartitions("chunk", "kind", "name")
     each = dealt.mapInArrow(
         lambda batches: _counting(batches, given), "drug1 string, drug2 string, cases bigint, effects array<int>, counts array<int>"
     )

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casewatch.functions.columns import name_key
+from casewatch.plans import sizing
 from casewatch.plans.lineage import cut_lineage
 from casewatch.plans.ranking import top_k_per_key
 from casewatch.plans.sizing import broadcast_if_small
@@ -74,26 +75,31 @@ def read_name_index(spark: SparkSession, folder: str) -> NameIndex:
     return NameIndex(spark.read.parquet(f"{folder}/entries"), spark.read.parquet(f"{folder}/counts"))
 
 
-def _within(asked: DataFrame, index: NameIndex, radius: int) -> DataFrame:
+def _met(asked: DataFrame, known: DataFrame, key: str, small: bool) -> DataFrame:
+    """Equi-join; few asked rows (counted) go to every task, of many a frequent key is split."""
+    if small:
+        return known.join(F.broadcast(asked), key)
+    return product_join([Side(asked, ("name",)), Side(known, ("drug_name",))], key)
+
+
+def _within(asked: DataFrame, index: NameIndex, radius: int, small: bool) -> DataFrame:
     """(name, drug_name, distance) of all names within `radius` edits; `asked` is made by `_by_rarity`."""
     needed = SIZE * radius + 1
     # A name has SIZE - 1 pieces more than letters.
     long_enough = needed - (SIZE - 1)
     first = asked.where((F.col("rarity") <= needed) & (F.col("length") >= long_enough))
     other = index.entries.where((F.col("rarity") <= needed) & (F.col("length") >= long_enough))
-    sides = [
-        Side(first.select("name", F.col("length").alias("asked_length"), F.col("place").alias("asked_place"), "piece"), ("name",)),
-        Side(other.select("drug_name", "length", "place", "piece"), ("drug_name",)),
-    ]
+    first = first.select("name", F.col("length").alias("asked_length"), F.col("place").alias("asked_place"), "piece")
+    shared = _met(first, other.select("drug_name", "length", "place", "piece"), "piece", small)
     near = (F.abs(F.col("length") - F.col("asked_length")) <= radius) & (F.abs(F.col("place") - F.col("asked_place")) <= radius)
-    shared = product_join(sides, "piece").where(near).select("name", "drug_name")
+    shared = shared.where(near).select("name", "drug_name")
 
     # Pairs with a name too short for that meet by their lengths, at most `radius` apart.
     lengths = F.explode(F.sequence(F.greatest(F.col("length") - radius, F.lit(1)), F.col("length") + radius))
     some = asked.where("rarity = 1").where(F.col("length") < long_enough + radius)
     some = some.select("name", F.col("length").alias("asked_length"), lengths.alias("length"))
     some = some.where((F.col("asked_length") < long_enough) | (F.col("length") < long_enough))
-    like = product_join([Side(some, ("name",)), Side(index.names(), ("drug_name",))], "length").select("name", "drug_name")
+    like = _met(some, index.names(), "length", small).select("name", "drug_name")
 
     distance = F.levenshtein("name", "drug_name", radius).cast("bigint")
     pairs = shared.union(like).distinct().withColumn("distance", distance)
@@ -117,20 +123,22 @@ def normalize_names_indexed(
         ranked = top_k_per_key(pairs, ["name"], k, [F.asc("distance"), F.asc("drug_name")])
         return ranked.select("name", "rank", "drug_name", "distance")
 
+    # Radii up to the longest name make so many rows of a name at most.
+    names, longest = asked.where("rarity = 1").agg(F.count(F.lit(1)), F.max("length")).first()
+    small = names * (2 * (longest or 0) + 1) <= sizing.BROADCAST_ROWS
     if max_distance is not None:
-        return best(_within(asked, index, max_distance))
+        return best(_within(asked, index, max_distance, small))
     if k is None:
         raise ValueError("give k or max_distance")
-    longest = asked.select("length").union(index.names().select("length")).agg(F.max("length")).first()[0] or 0
-    radius, found = FIRST_RADIUS, None
+    longest = max(longest or 0, index.names().agg(F.max("length")).first()[0] or 0)
+    radius, found, left = FIRST_RADIUS, None, names
     while True:
-        near = cut_lineage(best(_within(asked, index, radius)), "near")
-        if radius >= longest:
-            return near if found is None else found.union(near)
+        near = cut_lineage(best(_within(asked, index, radius, small)), "near")
         finished = near.where(F.col("rank") == k).select("name")
-        ready = near.join(broadcast_if_small(finished), "name", "left_semi")
+        if radius >= longest or (left := left - finished.count()) <= 0:
+            return near if found is None else found.union(near)
+        finished = F.broadcast(finished) if small else finished
+        ready = near.join(finished, "name", "left_semi")
         found = ready if found is None else found.union(ready)
-        asked = cut_lineage(asked.join(broadcast_if_small(finished), "name", "left_anti"), "asked")
-        if asked.isEmpty():
-            return found
+        asked = asked.join(finished, "name", "left_anti")
         radius = min(2 * radius, longest)
