@@ -6,6 +6,7 @@ between blanks and line ends. Each worker keeps the stretches it met lately, whi
 
 from __future__ import annotations
 
+import json
 import os
 import sys
 import types
@@ -16,14 +17,31 @@ from casewatch.llm.batches import by_value
 
 by_value(__name__)
 
-# Stretches of the newer and of the older half of what a worker keeps (together about 120 MB).
-KEPT = 300_000
+# Characters in the newer and in the older half of the stretches a worker keeps, and of the longest that is kept. With
+# what Python adds to each short string, both halves take at most about 250 MB.
+KEPT = 4_000_000
+LONGEST = 256
+# Words of letters that are put together for one call.
+JOINED = 64
 END = 1
-_TAIL = ".,!?;:"
+# Signs that may follow a word and are a word of the tokenizer by themselves (an apostrophe is not always one).
+_TAIL = ".,!?;:*#$%&|()[]{}<>/\\=+-_~^@\""
 # Lives as long as the worker process; task code itself is loaded anew for every task.
 _STATE = "casewatch_worker_state"
 
 
+def _lowered(text: str) -> str:
+    """Lower-cased where that is surely what the tokenizer does, letter by letter; then cases share what is kept.
+    Special tokens are looked for before the tokenizer lowers a text."""
+    if "<|" in text:
+        return text
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text.lower()
+
+
 class Encoder:
     """Ids of texts as the tokenizer file at `path` gives them, without special tokens added."""
 
@@ -32,71 +50,86 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        # For lower-case words of letters the tokenizer's own normalising and splitting change nothing.
+        plain = json.loads(self.tokenizer.to_str())
+        parts = [{"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]
+        self.plain = Tokenizer.from_str(json.dumps({**plain, "normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": parts}}))
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids do not fit 16 bits")
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
-        self.young: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
+        self.characters = 0
+
+    def _letters(self, words: list[str]) -> list[bytes] | None:
+        """Ids of lower-case words of letters, which end in an id of the word end: many take one call."""
+        joined = [" ".join(words[start : start + JOINED]) for start in range(0, len(words), JOINED)]
+        found = [np.array(f.ids, "<u2") for f in self.plain.encode_batch_fast(joined, add_special_tokens=False)]
+        ids = np.concatenate(found) if found else np.empty(0, "<u2")
+        stops = (2 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+        if len(stops) != len(words):
+            return None
+        whole = ids.tobytes()
+        return [whole[start:stop] for start, stop in zip([0, *stops], stops)]
 
-    def _learn(self, words: list[str]) -> None:
+    def _learn(self, words: set[str]) -> None:
         """Put these words into `young`; those not seen yet are encoded, letters apart from a tail of punctuation."""
-        young, old = self.young, self.old
-        if len(young) > KEPT:
-            self.old, self.young = young, {}
-            young, old = self.young, self.old
-        parts: dict[str, tuple[str, ...]] = {}
-        unknown: dict[str, None] = {}
+        young, recall = self.young, self.old.get
+        letters: list[str] = []
+        others: list[str] = []
+        tailed: list[tuple[str, str]] = []
         for word in words:
-            if word in young:
-                continue
-            if (known := old.get(word)) is not None:
+            if (known := recall(word)) is not None:
                 young[word] = known
                 continue
             body = word.rstrip(_TAIL)
-            if body.isalpha() and max(body) < "ɐ" and body.lower().isalpha():
-                if body.isascii():
-                    body = body.lower()
-                cut = (body, word[len(body) :]) if len(body) < len(word) else (body,)
+            if not body.isalpha() or not (body.islower() and (body.isascii() or max(body) < "ɐ")):
+                others.append(word)
+            elif len(body) == len(word):
+                letters.append(word)
             else:
-                cut = (word,)
-            parts[word] = cut
-            for piece in cut:
-                if piece not in young:
-                    if (known := old.get(piece)) is not None:
-                        young[piece] = known
-                    else:
-                        unknown[piece] = None
-        # Letters alone are one word of the tokenizer, which ends in an id of the word end: many take one call.
-        letters = [p for p in unknown if p.isalpha() and max(p) < "ɐ" and p.lower().isalpha()]
-        ids = np.array(self.tokenizer.encode(" ".join(letters), add_special_tokens=False).ids if letters else [], "<u2")
-        last = np.flatnonzero(self.ends[ids]) + 1
-        if len(last) == len(letters):
-            joined, start = ids.tobytes(), 0
-            for piece, stop in zip(letters, (2 * last).tolist()):
-                young[piece] = joined[start:stop]
-                start = stop
-        rest = [p for p in unknown if p not in young]
-        for piece, found in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
-            young[piece] = np.array(found.ids, "<u2").tobytes()
-        for word, cut in parts.items():
-            young[word] = b"".join([young[p] for p in cut])
+                tailed.append((word, body))
+        if tailed:
+            parts = {body for _, body in tailed}.difference(letters, young)
+            parts.update([word[len(body) :] for word, body in tailed])
+            parts.difference_update(young)
+            for part in parts:
+                if (known := recall(part)) is not None:
+                    young[part] = known
+                elif part.isalpha():
+                    letters.append(part)
+                else:
+                    others.append(part)
+        found = self._letters(letters)
+        if found is None:
+            others += letters
+        else:
+            young.update(zip(letters, found))
+        for piece, ids in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False)):
+            young[piece] = np.array(ids.ids, "<u2").tobytes()
+        for word, body in tailed:
+            young[word] = young[body] + young[word[len(body) :]]
+        self.characters += sum(map(len, words))
+
+    def _forget(self, words: set[str]) -> None:
+        """Very long stretches are not kept."""
+        for word in words:
+            if len(word) > LONGEST and self.young.pop(word, None) is not None:
+                self.young.pop(word.rstrip(_TAIL), None)
+                self.characters -= len(word)
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        """The ids of each text as 16-bit numbers; a null text has none."""
-        split = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
-        get = self.young.get
-        found = [list(map(get, words)) for words in split]
-        missing = [w for words, ids in zip(split, found) if None in ids for w, i in zip(words, ids) if i is None]
-        if missing:
-            self.young.setdefault("", b"")
-            self._learn(missing)
-            get, also = self.young.get, self.old.get
-            for k, ids in enumerate(found):
-                if None in ids:
-                    found[k] = [i if i is not None else get(w, None) or also(w, b"") for w, i in zip(split[k], ids)]
-        return [np.frombuffer(b"".join(ids), "<u2") for ids in found]
+        """The ids of each text as 16-bit numbers; a null text has none. Many short texts at a time are faster."""
+        split = [_lowered(t).replace("\n", " ").split(" ") if t else [] for t in texts]
+        if self.characters > KEPT:
+            self.old, self.young, self.characters = self.young, {"": b""}, 0
+        missing = set().union(*split).difference(self.young)
+        self._learn(missing)
+        found = [np.frombuffer(b"".join(map(self.young.__getitem__, words)), "<u2") for words in split]
+        self._forget(missing)
+        return found
 
 
 def encoder(path: str) -> Encoder:
