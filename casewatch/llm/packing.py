@@ -1,9 +1,10 @@
 """Packing of documents into sequences: best fit, then swap-based local search between underfull bins.
 
 Documents become pieces of at most `size` tokens. Full pieces are sequences of their own. The others are dealt into
-shards of about `SHARD` pieces; each shard is packed by best fit and improved by local search: documents move, or are
-exchanged one for one or two for one, between underfull bins whenever that raises the sum of the squared fills, until
-bins empty or no exchange is left. The pieces of bins that stay underfull go on to a next round, packed with those of
+shards of about `SHARD` pieces; each shard is packed by best fit and improved by local search: in rounds, every underfull
+bin takes the best of a move and of exchanges of one for one, two for one and one for two documents with another one
+that raises the sum of the squared fills, until bins empty and no packing can have fewer, or a round brings next to
+nothing. The search is no proof of the fewest; `Bins.fewest` is a bound. The pieces of bins that stay underfull go on to a next round, packed with those of
 other shards, as long as their number falls by half, so that the rest is not one bin for each shard.
 """
 
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from casewatch.llm.batches import by_value, slices
+from casewatch.llm.batches import bounded, by_value
 from casewatch.llm.tokens import END, encoder
 from casewatch.plans.lineage import cut_lineage
 
@@ -29,11 +30,16 @@ SIZE = 4096
 SHARD = 8_192
 # A bin with a larger share of free tokens goes on to the next round.
 LOOSE = 1 / 64
-# The search ends after so many bins in a row that could not be emptied.
-PATIENCE = 64
-# How far apart in a bin the two documents of a two-for-one exchange may lie.
-LAGS = 8
-
+# The search ends when a round raises the sum of squared fills by no more than this share.
+LEAST_GAIN = 1e-6
+# Pairs of documents of a bin that are listed as offers of a round, nearest in length first (about 150 MB), and how far
+# apart in length order two documents that a bin gives for one may lie.
+MOST_PAIRS = 2_000_000
+NEAR = 8
+# Offers looked at together, from the best one down.
+STEP = 512
+# Texts, and bytes of text, that are encoded together.
+TEXTS, TEXT_BYTES = 512, 1 << 22
 _PIECE = [("piece", T.IntegerType()), ("start", T.LongType()), ("length", T.LongType()), ("ids_crc32", T.LongType())]
 
 
@@ -47,7 +53,7 @@ def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = encoder(tokenizer)
-        for part in slices(batches):
+        for part in bounded(batches, text, TEXTS, TEXT_BYTES):
             rows: list[tuple] = []
             owner: list[int] = []
             for i, ids in enumerate(ids_of.encode(part.column(text).to_pylist())):
@@ -110,60 +116,99 @@ class Bins:
         return int((len(lengths) - half + more).max())
 
     def improve(self) -> None:
-        """Local search from the emptiest bin on; ends where no packing has fewer bins, or where patience ends."""
-        fewest, tried, failed = self.fewest(), set(), 0
-        while failed < PATIENCE and int((self.fill > 0).sum()) > fewest:
-            left = [b for b in np.argsort(self.fill, kind="stable").tolist() if self.fill[b] and b not in tried]
-            if not left or self.fill[left[0]] == self.size:
+        """Local search: rounds of exchanges, each of which increases the sum of squared fills, until no packing can have
+        fewer bins or a round brings next to nothing."""
+        fewest, before = self.fewest(), -1.0
+        while int((self.fill > 0).sum()) > fewest:
+            squares = float((self.fill.astype(np.float64) ** 2).sum())
+            if squares <= before * (1 + LEAST_GAIN):
                 return
-            tried.add(left[0])
-            while self.fill[left[0]] and self._exchange(left[0]):
-                pass
-            failed = failed + 1 if self.fill[left[0]] else 0
-
-    def _exchange(self, b: int) -> bool:
-        """Shift as many tokens as one move or exchange can from bin `b` to another underfull bin."""
-        free = self.size - self.fill
-        others = np.flatnonzero((free[self.bin] > 0) & (self.bin != b))
-        if not len(others):
-            return False
-        mine = np.flatnonzero(self.bin == b)
-        mine = mine[np.unique(self.lengths[mine], return_index=True)[1]]
-        room = np.unique(self.bin[others])
-        # A move: the longest item that fits, to the fullest bin it fits.
-        for i in mine[::-1].tolist():
-            fits = room[free[room] >= self.lengths[i]]
-            if len(fits):
-                self._shift([i], [], b, int(fits[np.argmin(free[fits])]))
-                return True
-        there, space = self.lengths[others], free[self.bin[others]]
-        order = others[np.argsort(self.bin[others], kind="stable")]
-        best: tuple[int, list[int], list[int]] = (0, [], [])
-
-        def look(given: list[int], sums: np.ndarray, takes) -> None:
-            nonlocal best
-            gain = int(self.lengths[given].sum()) - sums[0]
-            gain = np.where((gain > 0) & (gain <= sums[1]), gain, 0)
-            at = int(np.argmax(gain)) if len(gain) else 0
-            if len(gain) and gain[at] > best[0]:
-                best = (int(gain[at]), given, takes(at))
-
-        for i in mine.tolist():  # one for one
-            look([i], (there, space), lambda at: [int(others[at])])
-        for i in range(len(mine)):  # two of this bin for one of another
-            for j in range(i + 1, min(i + 1 + LAGS, len(mine))):
-                look([int(mine[i]), int(mine[j])], (there, space), lambda at: [int(others[at])])
-        for lag in range(1, min(LAGS, len(order) - 1) + 1):  # one of this bin for two of another
-            first, second = order[:-lag], order[lag:]
-            same = self.bin[first] == self.bin[second]
-            first, second = first[same], second[same]
-            sums = (self.lengths[first] + self.lengths[second], free[self.bin[first]])
-            for i in mine.tolist():
-                look([i], sums, lambda at, f=first, s=second: [int(f[at]), int(s[at])])
-        if not best[0]:
-            return False
-        self._shift(best[1], best[2], b, int(self.bin[best[2][0]]))
-        return True
+            before = squares
+            self._round(fewest)
+
+    def _offers(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
+        """Items of underfull bins by bin and length, at most two of each length in a bin, with their bins' bounds, and
+        what a bin can give: (length, bin, item, item or -1), ascending, for single items and for pairs."""
+        open_ = (self.fill > 0) & (self.fill < self.size)
+        items = np.flatnonzero(open_[self.bin])
+        items = items[np.lexsort((self.lengths[items], self.bin[items]))]
+        bins, lengths = self.bin[items], self.lengths[items]
+        third = np.zeros(len(items), bool)
+        third[2:] = (bins[2:] == bins[:-2]) & (lengths[2:] == lengths[:-2])
+        items = items[~third]
+        bins, lengths = self.bin[items], self.lengths[items]
+        bounds = np.searchsorted(bins, np.arange(len(self.fill) + 1))
+        order = np.argsort(lengths, kind="stable")
+        singles = (lengths[order], bins[order], items[order], np.full(len(items), -1))
+        firsts, seconds, count = [], [], 0
+        for lag in range(1, int(np.diff(bounds).max(initial=1))):
+            first = np.flatnonzero(bins[:-lag] == bins[lag:])
+            if count + len(first) > MOST_PAIRS:
+                break
+            firsts.append(first)
+            seconds.append(first + lag)
+            count += len(first)
+        first, second = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (firsts, seconds))
+        sums = lengths[first] + lengths[second]
+        order = np.argsort(sums, kind="stable")
+        return items, lengths, bounds, singles, (sums[order], bins[first[order]], items[first[order]], items[second[order]])
+
+    def _round(self, fewest: int) -> None:
+        """The fullest bins first: each takes the best of a move, an exchange of one for one, one for two or two for one
+        with another underfull bin. A bin takes part once in a round, as what it can give is listed at its start."""
+        items, lengths, bounds, singles, pairs = self._offers()
+        free_to = np.ones(len(self.fill), bool)
+        kept = int((self.fill > 0).sum())
+        for a in np.argsort(-self.fill, kind="stable").tolist():
+            if not 0 < self.fill[a] < self.size or not free_to[a]:
+                continue
+            own = items[bounds[a] : bounds[a + 1]].tolist()
+            gives: list[tuple[int, list[int]]] = [(0, [])]
+            seen: set[int] = set()
+            for n, one in enumerate(own):
+                length = int(self.lengths[one])
+                if length not in seen:
+                    seen.add(length)
+                    gives.append((length, [one]))
+            found: tuple[int, list[int], list[int], int] | None = None
+            for given, which in gives:
+                for offers in (singles, pairs) if which else (singles,):
+                    found = self._best(offers, a, given, which, free_to, found)
+            doubles: dict[int, list[int]] = {}
+            for n in range(1, len(own)):
+                for m in range(max(0, n - NEAR), n):
+                    doubles.setdefault(int(self.lengths[own[n]] + self.lengths[own[m]]), [own[m], own[n]])
+            for given, which in doubles.items():
+                found = self._best(singles, a, given, which, free_to, found)
+            if found is None:
+                continue
+            gain, given_items, taken, b = found
+            self._shift(given_items, taken, a, b)
+            free_to[[a, b]] = False
+            if not self.fill[b]:
+                kept -= 1
+                if kept <= fewest:
+                    return
+
+    def _best(self, offers, a: int, given: int, which: list[int], free_to: np.ndarray, found):
+        """The exchange that fills bin `a` most for `given` tokens of its items `which`, where better than `found`."""
+        lengths, bins, first, second = offers
+        fill, room = int(self.fill[a]), self.size - int(self.fill[a]) + given
+        stop = int(np.searchsorted(lengths, room, "right"))
+        least = given + (found[0] if found else 0)
+        while stop > 0 and lengths[stop - 1] > least:
+            start = max(0, stop - STEP)
+            gain = lengths[start:stop] - given
+            theirs = bins[start:stop]
+            # More than the other bin is fuller: only then do the squares grow.
+            good = free_to[theirs] & (theirs != a) & (gain > self.fill[theirs] - fill) & (lengths[start:stop] > least)
+            hits = np.flatnonzero(good)
+            if len(hits):
+                at = start + int(hits[-1])
+                taken = [int(first[at])] + ([int(second[at])] if second[at] >= 0 else [])
+                return int(lengths[at]) - given, which, taken, int(bins[at])
+            stop = start
+        return found
 
     def _shift(self, given: list[int], taken: list[int], here: int, there: int) -> None:
         gain = int(self.lengths[given].sum() - self.lengths[taken].sum())

@@ -58,6 +58,18 @@ def test_search_keeps_items_and_only_lowers_bins(low, high):
     assert (fill == np.bincount(at, weights=lengths)[at]).all() and (offset + lengths <= fill).all()
 
 
+@pytest.mark.parametrize("low, high, most", [(1300, 1500, 1_650), (900, 1400, 1_232), (1000, 2100, 1_655)])
+def test_search_beats_best_fit_where_it_wastes_room(low, high, most):
+    lengths = np.random.default_rng(0).integers(low, high, 4_096)
+    bins = Bins(lengths, 4096)
+    bins.best_fit()
+    before = int((bins.fill > 0).sum())
+    bins.improve()
+    after = int((bins.fill > 0).sum())
+    assert after <= most and after <= 0.985 * before and bins.fewest() <= after
+    assert (np.bincount(bins.bin, weights=lengths, minlength=len(bins.fill)) == bins.fill).all() and bins.fill.max() <= 4096
+
+
 def test_exchanges_empty_bins():
     """7+1, 6+2, 3+1: a move, exchanges of 3 for 2 and 2 for 1, and a last move leave two full bins."""
     bins = Bins(np.array([7, 1, 6, 2, 3, 1]), 10)
