@@ -1,10 +1,11 @@
 """Personal data by fixed patterns and by weak supervision.
 
 E-mail addresses, IPv4 addresses, card and phone numbers are found by fixed patterns. Further spans (credentials and
-identifiers) come from weak supervision: every token with a digit, of `MIN_TOKEN` characters or more, that overlaps no
-fixed span is a candidate; regex, gazetteer and context labelers vote on it; expectation maximisation over the counts
-of all vote patterns in the corpus estimates how reliable each labeler is; the resulting probabilities train a logistic
-classifier on the shape and the surroundings of the candidates, and that classifier decides.
+identifiers) come from weak supervision: every token with a digit, of `MIN_TOKEN` characters or more, and every token of
+any length that a gazetteer word with a colon or an equals sign announces, is a candidate where it overlaps no fixed
+span; regex, gazetteer and context labelers vote on it; expectation maximisation over the counts of all vote patterns in
+the corpus estimates how reliable each labeler is; the resulting probabilities train a logistic classifier on the shape
+and the surroundings of the candidates, and that classifier decides.
 """
 
 from __future__ import annotations
@@ -48,6 +49,8 @@ _FORMATS = re.compile(
     r"[A-Z]{4}[0-9A-Z]{16}|(?:[0-9a-f]{2}){8,}|[0-9]{3}-[0-9]{2}-[0-9]{4}|[A-Z]{2}[0-9]{2}[0-9A-Z]{11,30}|(?:sk|pk|gh[a-z]|xox[a-z])[_-][0-9A-Za-z_-]{16,}"
 )
 _LAST_WORD = re.compile(r"([A-Za-z]+)[^A-Za-z0-9]{0,4}$")
+_SIGN = re.compile(r"[:=]")
+_GAP = re.compile(r"[ \"']{0,3}")
 
 
 def emails(text: str) -> list[Span]:
@@ -95,9 +98,9 @@ def base_spans(text: str) -> dict[str, list[Span]]:
     return found
 
 
-def candidates(text: str, taken: list[Span]) -> Iterator[Span]:
-    """Tokens of ASCII letters, digits and _+/- with a digit, outside the spans already taken."""
-    taken, t, done = sorted(taken), 0, 0
+def _with_digits(text: str) -> Iterator[Span]:
+    """Tokens of ASCII letters, digits and _+/- with a digit, of `MIN_TOKEN` characters or more."""
+    done = 0
     for m in _DIGIT.finditer(text):
         if m.start() < done:
             continue
@@ -105,14 +108,33 @@ def candidates(text: str, taken: list[Span]) -> Iterator[Span]:
         while start > done and text[start - 1] in _TOKEN:
             start -= 1
         done = end = _RIGHT.match(text, m.start()).end()
+        if end - start >= MIN_TOKEN:
+            yield start, end
+
+
+def _announced(text: str) -> Iterator[Span]:
+    """Tokens of any length and kind after a gazetteer word and a colon or an equals sign."""
+    for m in _SIGN.finditer(text):
+        word = _LAST_WORD.search(text, max(0, m.start() - 24), m.start())
+        if word and word[1].lower() in GAZETTEER:
+            start = _GAP.match(text, m.end()).end()
+            end = _RIGHT.match(text, start).end()
+            if end > start:
+                yield start, end
+
+
+def candidates(text: str, taken: list[Span]) -> Iterator[Span]:
+    """Tokens to be voted on, outside the spans already taken."""
+    taken, t = sorted(taken), 0
+    for start, end in sorted({*_with_digits(text), *_announced(text)}):
         while t < len(taken) and taken[t][1] <= start:
             t += 1
-        if end - start >= MIN_TOKEN and not (t < len(taken) and taken[t][0] < end):
+        if not (t < len(taken) and taken[t][0] < end):
             yield start, end
 
 
 def votes(text: str, span: Span) -> tuple[int, ...]:
-    """1 (personal), 0 (not) or -1 (no opinion) of each labeler: formats, gazetteer, context, shape."""
+    """1 (personal), 0 (not) or -1 (no opinion) of each labeler: formats, gazetteer, context, shape (of longer tokens)."""
     token, before, after = text[span[0] : span[1]], text[max(0, span[0] - 24) : span[0]], text[span[1] : span[1] + 1]
     word = _LAST_WORD.search(before)
     named = bool(word) and word[1].lower() in GAZETTEER
@@ -123,7 +145,7 @@ def votes(text: str, span: Span) -> tuple[int, ...]:
         1 if _FORMATS.fullmatch(token) else 0,
         1 if named else -1,
         1 if assigned else (0 if after in (".", ",", "") and not mixed else -1),
-        1 if mixed and len(token) >= 16 and digits >= len(token) // 8 else (0 if not mixed or "/" in token else -1),
+        1 if mixed and len(token) >= 16 and digits >= len(token) // 8 else (0 if len(token) >= MIN_TOKEN and not mixed or "/" in token else -1),
     )
 
 
@@ -233,7 +255,7 @@ def fit(docs: DataFrame, text: str = "text") -> SpanModel:
         counts: Counter = Counter()
         for part in slices(batches):
             for t in part.column(text).to_pylist():
-                if t and _DIGIT.search(t):
+                if t:
                     base = base_spans(t)
                     for span in candidates(t, [s for x in base.values() for s in x]):
                         counts[votes(t, span), features(t, span)] += 1
@@ -251,7 +273,7 @@ def all_spans(text: str | None, model: SpanModel) -> list[tuple[str, int, int]]:
         return []
     base = base_spans(text)
     taken = [s for x in base.values() for s in x]
-    more = list(candidates(text, taken)) if _DIGIT.search(text) else []
+    more = list(candidates(text, taken))
     wanted = model.wanted([features(text, s) for s in more])
     found = [(k, a, b) for k in KINDS for a, b in base[k]]
     return found + [(SECRET, a, b) for (a, b), w in zip(more, wanted) if w]

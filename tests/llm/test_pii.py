@@ -1,3 +1,4 @@
+import hashlib
 import random
 import re
 
@@ -65,6 +66,39 @@ def test_supervised_spans(spark):
     assert pii.find_personal_data(docs.limit(0)).count() == 0
 
 
+def test_announced_tokens_reach_the_labelers():
+    texts = {
+        "my PIN: 4821, ok": ["4821"],
+        "password: hunter2": ["hunter2"],
+        'Password = "correcthorsebattery"': ["correcthorsebattery"],
+        "the key : 1234567890abc and 2024-2025": ["1234567890abc", "2024-2025"],
+        "secret:": [],
+        "note: nothing, mail: a@b.co, token=": [],
+        "user:a@b.co": [],
+        "pin:1.2.3.4": [],
+        "apikey='x' pass:y/z": ["x", "y/z"],
+    }
+    for text, want in texts.items():
+        taken = [s for spans in pii.base_spans(text).values() for s in spans]
+        assert [text[a:b] for a, b in pii.candidates(text, taken)] == want, text
+    text = "password: hunter2"
+    assert pii.votes(text, (10, 17))[1:3] == (1, 1)
+
+
+def test_short_secrets_are_found(spark):
+    r = random.Random(4)
+    word = lambda: "".join(r.choices("abcdefghij", k=r.randint(2, 9)))
+    texts = []
+    for i in range(300):
+        body = " ".join(word() for _ in range(30))
+        key = [f"PIN: {r.randrange(1000, 9999)}", f"password={word()}{r.randrange(100)}", f"token: {r.randrange(10**11)}abc"][i % 3]
+        texts.append(f"{body} {key if i % 5 == 0 else ''} in 2024-2025 page-1234567 {body}")
+    docs = spark.createDataFrame(list(enumerate([*texts, "PIN: 4821", "password: hunter2"])), "doc_id int, text string")
+    rows = pii.find_personal_data(docs).sort("doc_id").collect()
+    assert [[s["kind"] for s in r["pii_spans"]] for r in rows[-2:]] == [[pii.SECRET]] * 2
+    assert all(not r["pii_spans"] for i, r in enumerate(rows[:-2]) if i % 5)
+
+
 def test_em_trusts_the_better_labeler():
     patterns = {(1, 1, -1, 1): 50, (0, -1, 0, 0): 400, (1, -1, -1, -1): 20, (0, 1, -1, -1): 3}
     share, told = pii.reliabilities(patterns)
@@ -78,3 +112,4 @@ def test_registered_query(spark, data):
         assert [row[f"n_{k}"] for k in pii.KINDS] == [len(want[k]) for k in pii.KINDS]
         joined = ",".join(f"{k}:{a}:{b}" for k in pii.KINDS for a, b in want[k])
         assert row["spans"].startswith(joined)
+        assert row["base_sha256"] == hashlib.sha256(joined.encode()).hexdigest()
