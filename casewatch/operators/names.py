@@ -66,6 +66,53 @@ def extract_mentions(
     return found.groupBy(id_column, name_column).agg(F.sum("n").alias("mention_count"))
 
 
+def anchored_names(dictionary: DataFrame, name_column: str = "drug_name", gap: str = WORD_GAP) -> DataFrame:
+    """(anchor, before, words, name): each different name once, filed under the one of its words that the fewest names
+    have (of equal ones the longest, then the first), with the number of words before it. Names without words are left
+    out."""
+    named = dictionary.select(name_column, words(F.col(name_column), gap).alias("words")).filter(F.size("words") > 0).distinct()
+    each = named.select(name_column, "words", F.posexplode("words").alias("before", "anchor"))
+    frequency = each.groupBy("anchor").agg(F.count_distinct(name_column).alias("names"))
+    order = F.struct("names", (-F.length("anchor")).alias("short"), "before", "anchor")
+    # The dictionary is small beside the texts; its frequent words are split by adaptive execution.
+    best = each.join(frequency, "anchor").groupBy(name_column, "words").agg(F.min(order).alias("best"))
+    return best.select(F.col("best.anchor").alias("anchor"), F.col("best.before").alias("before"), "words", F.col(name_column).alias("name"))
+
+
+def extract_mentions_anchored(
+    texts: DataFrame,
+    dictionary: DataFrame,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    name_column: str = "drug_name",
+    gap: str = WORD_GAP,
+) -> DataFrame:
+    """As `extract_mentions`, for dictionaries with names of many lengths: each word of a text is looked up once.
+
+    A word that is some name's anchor makes a candidate place for it, and the words around are compared there. The work
+    does not depend on how many lengths the names have. Texts are cut into words once and written, and so are the
+    candidates, one row for each text and name; those of longer names meet the text's words. Rows with the same id count as one text's; NULL ids are kept.
+    """
+    anchors = cut_lineage(anchored_names(dictionary, name_column, gap), "anchors")
+    rows = texts.select(F.monotonically_increasing_id().alias("row"), F.col(id_column).alias("id"), words(F.col(text_column), gap).alias("tokens"))
+    tokenised = cut_lineage(rows, "tokens")
+    exploded = tokenised.select("row", F.posexplode("tokens").alias("place", "anchor"))
+    filed = anchors.select("anchor", F.struct("before", "words", "name").alias("filed"))
+    if is_small(anchors):
+        hits = exploded.join(F.broadcast(filed), "anchor")
+    else:
+        hits = product_join([Side(exploded, ("row", "place")), Side(filed, ("filed",))], "anchor")
+    start = F.col("place") - F.col("filed.before")
+    longer = F.size("filed.words") > 1
+    grouped = hits.filter(start >= 0).groupBy("row", "filed.words", "filed.name")
+    found = cut_lineage(grouped.agg(F.count(F.lit(1)).alias("n"), F.collect_list(F.when(longer, start)).alias("starts")), "candidates")
+    there = F.size(F.filter("starts", lambda s: F.slice("tokens", s + 1, F.size("words")) == F.col("words"))).cast("bigint")
+    compared = found.filter(F.size("words") > 1).join(tokenised.select("row", "tokens"), "row").select("row", "name", there.alias("n"))
+    counted = found.filter(F.size("words") == 1).select("row", "name", "n").unionByName(compared.filter("n > 0"))
+    named = counted.join(tokenised.select("row", "id"), "row").groupBy("id", "name").agg(F.sum("n").alias("mention_count"))
+    return named.select(F.col("id").alias(id_column), F.col("name").alias(name_column), "mention_count")
+
+
 def deletion_variants(name: str, max_distance: int) -> Column:
     """Hashes of the name with up to `max_distance` characters taken out.
 

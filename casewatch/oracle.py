@@ -346,7 +346,7 @@ ORACLE["case_counts"] = _sql(
     f"SELECT {_KEYED}, COUNT(DISTINCT primaryid) AS case_count FROM drug WHERE drugname IS NOT NULL GROUP BY 1", "drug"
 )
 ORACLE["b1_cube"], ORACLE["b3_cube"], ORACLE["b4_cube"] = (ORACLE[q] for q in ("b1_distinct_cases", "b3", "b4"))
-ORACLE["a3_cube"] = ORACLE["a3"]
+ORACLE["a3_cube"], ORACLE["n1_anchored"] = ORACLE["a3"], ORACLE["n1_phrases"]
 ORACLE["a3_status"] = f"""WITH a3 AS ({ORACLE["a3"]}), parts AS (SELECT DISTINCT p_name AS drug FROM part)
     SELECT *, 'answered' AS status FROM a3 WHERE rank <= 3
     UNION ALL SELECT label || ':' || drug, kind, NULL, NULL, NULL, NULL, 'no_reports' FROM parts, (VALUES ('top', 'top'), ('severe', 'severe'),

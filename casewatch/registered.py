@@ -277,6 +277,12 @@ def n1_phrases(spark, folder):
     return names.extract_mentions(read(spark, folder, "documents"), wanted, gap="[^a-z]+")
 
 
+@query
+def n1_anchored(spark, folder):
+    wanted = reduce(DataFrame.unionByName, [_phrase_dictionary(spark, folder, n) for n in (1, 2, 3)])
+    return names.extract_mentions_anchored(read(spark, folder, "documents"), wanted, gap="[^a-z]+")
+
+
 def _misspelled(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """Names without their third letter, and the names as they are."""
     known = read(spark, folder, "part").select(F.col("p_name").alias("drug_name"))

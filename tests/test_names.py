@@ -1,4 +1,6 @@
 import random
+import re
+from collections import Counter
 
 import pytest
 
@@ -90,3 +92,29 @@ def test_fuzzy_finds_the_closest_names_however_far(spark, block, monkeypatch):
     few = spark.createDataFrame([("one",), ("two",)], "drug_name string")
     assert len(rows(names.normalize_names_fuzzy(spark.createDataFrame([("a",)], "name string"), few, k=4))) == 2
     assert rows(names.normalize_names_fuzzy(spark.createDataFrame([("a",)], "name string"), few.limit(0), k=4)) == []
+
+
+def spans_of(tokens, name):
+    return sum(tokens[i : i + len(name)] == name for i in range(len(tokens) - len(name) + 1))
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_anchored_mentions_are_those_of_a_plain_loop(spark, monkeypatch, small):
+    if not small:
+        monkeypatch.setattr(sizing, "BROADCAST_ROWS", 0)
+        monkeypatch.setattr(skew, "MAX_KEY_PRODUCT", 20)
+    rng = random.Random(3)
+    vocabulary = ["a", "b", "ab", "acid", "salt", "x1", "été"]
+    made = [" ".join(rng.choices(vocabulary, k=n)) for n in (1, 1, 2, 2, 3, 5, 8, 8, 60)]
+    dictionary = [*made, "a a", "a a a", "Acid  Salt", "never there", "", " - ", None]
+    texts = [(i, rng.choice([" ", ", ", "-"]).join(rng.choices(vocabulary, k=rng.choice([0, 1, 5, 80])))) for i in range(60)]
+    texts += [(i, f"x {made[8]} y {made[5]}") for i in range(3)] + [(100, None), (101, ""), (None, "a a a a")]
+    given = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    found = names.extract_mentions_anchored(given, spark.createDataFrame([(n,) for n in dictionary], "drug_name string"))
+    want = Counter()
+    for key, text in texts:
+        tokens = re.findall(r"[^\W_]+", (text or "").lower())
+        for name in {n for n in dictionary if n}:
+            if (wanted := re.findall(r"[^\W_]+", name.lower())) and (n := spans_of(tokens, wanted)):
+                want[key, name] += n
+    assert {(r["doc_id"], r["drug_name"]): r["mention_count"] for r in found.collect()} == want
