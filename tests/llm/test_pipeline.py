@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from __spark_entry__ import oracle_sql, queries
-from casewatch.llm import pii, quality
+from casewatch.llm import decontaminate, pii, quality, simhash
 from casewatch.llm.queries import ORACLE, QUERIES
 from casewatch.plans.lineage import cut_lineage
 from tests.llm.test_decontaminate import plain as plain_hits
@@ -14,7 +14,7 @@ from tools.check_oracle import compare_one, open_engine
 
 def test_all_are_registered():
     assert set(QUERIES) | {"pipeline"} <= set(queries()) and set(ORACLE) <= set(oracle_sql())
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
@@ -73,3 +73,25 @@ def test_run_and_defined_cases(spark, tmp_path):
     assert {r["doc_id"] for r in rows} == {1, 3, None} and sum(r["length"] for r in rows if r["doc_id"] == 3) == 30_001
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), folder).count() == 0, name
+
+
+CLASHING = ["_n", "_f", "_keep", "keep", "place", "fingerprint", "_fingerprint", "_cut_words", "words", "Spans", "items", "_quality_weight", "weight", "selected"]
+
+
+def test_columns_of_any_name_stay(spark):
+    """Stages keep the columns of their documents, whatever they are called."""
+    passage = "one two three four five six seven eight nine ten eleven"
+    rows = [(1, f"start {passage} end"), (2, f"start {passage} end"), (3, "something else altogether here"), (4, None)]
+    docs = spark.createDataFrame([(*r, *range(len(CLASHING))) for r in rows], ", ".join(["doc_id long", "text string", *[f"`{c}` int" for c in CLASHING]]))
+    items = spark.createDataFrame([("i", passage)], "item_id string, text string")
+    labels = spark.createDataFrame([(1, 1, 0), (3, 0, 0)], "doc_id long, quality int, toxic int")
+    for kept in (
+        simhash.drop_near_duplicates(docs),
+        decontaminate.remove_contamination(docs, items),
+        quality.keep_good(docs, labels),
+    ):
+        assert kept.columns == docs.columns
+        found = kept.collect()
+        assert found and all([r[c] for c in CLASHING] == list(range(len(CLASHING))) for r in found)
+    assert {r["doc_id"] for r in simhash.drop_near_duplicates(docs).collect()} == {1, 3, 4}
+    assert decontaminate.remove_contamination(docs, items).where("doc_id = 1").first()["text"] == "start  end"
