@@ -39,7 +39,7 @@ NEAR = 8
 # Offers looked at together, from the best one down.
 STEP = 512
 # Texts, and bytes of text, that are encoded together.
-TEXTS, TEXT_BYTES = 512, 1 << 22
+TEXTS, TEXT_BYTES = 256, 1 << 21
 _PIECE = [("piece", T.IntegerType()), ("start", T.LongType()), ("length", T.LongType()), ("ids_crc32", T.LongType())]
 
 

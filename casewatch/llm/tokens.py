@@ -18,8 +18,8 @@ from casewatch.llm.batches import by_value
 by_value(__name__)
 
 # Characters in the newer and in the older half of the stretches a worker keeps, and of the longest that is kept. With
-# what Python adds to each short string, both halves take at most about 250 MB.
-KEPT = 4_000_000
+# what Python adds to each short string, both halves take at most about 130 MB.
+KEPT = 2_000_000
 LONGEST = 256
 # Words of letters that are put together for one call.
 JOINED = 64
