@@ -30,8 +30,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 # Vectors that cells and codes are learnt from, those of the smallest id hashes.
 SAMPLE = 20_000
 ROUNDS = 12
-# Queries and stored vectors of a block that are compared at a time.
-STEP = 128
+# Similarities of queries with the codes of a block that are held at a time (16 MB as doubles).
+STEP = 2_000_000
 
 
 def _nearest(rows: np.ndarray, centres: np.ndarray, count: int = 1) -> np.ndarray:
@@ -166,10 +166,11 @@ def _comparing(book: Codebook, count: int, other_id_only: bool):
             queries, cell = _matrix(left["vector"]), left["cell"][0].as_py()
             codes = np.frombuffer(b"".join(right["codes"].to_pylist()), np.uint8).reshape(len(ids), -1)
             names, own = ids.to_numpy(zero_copy_only=False), asked.to_numpy(zero_copy_only=False)
-            for start in range(0, len(queries), STEP):
-                scores = book.similarities(queries[start : start + STEP], cell, codes)
+            step = max(1, STEP // len(codes))
+            for start in range(0, len(queries), step):
+                scores = book.similarities(queries[start : start + step], cell, codes)
                 if other_id_only:
-                    scores[own[start : start + STEP, None] == names[None, :]] = -np.inf
+                    scores[own[start : start + step, None] == names[None, :]] = -np.inf
                 best = np.argpartition(-scores, min(count, scores.shape[1]) - 1, axis=1)[:, :count]
                 rows = np.repeat(np.arange(len(best)), best.shape[1])
                 values = scores[rows, best.ravel()]

@@ -26,8 +26,9 @@ MAX_BROADCAST_VALUES = 4_000_000
 # Rows of one block of the grid that compares two large sets.
 QUERY_BLOCK = 2_048
 VECTOR_BLOCK = 65_536
-# Rows compared with all queries of a block at a time.
+# Rows compared at a time with so many queries (16 MB of scores as doubles), however many queries a task holds.
 SLICE = 4_096
+QUERY_STEP = 512
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -55,16 +56,24 @@ class _Best:
     def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
         for start in range(0, len(ids), SLICE):
             part = ids[start : start + SLICE]
-            scores = np.round(self.queries @ vectors[start : start + SLICE].T, DIGITS)
-            if self.other_id_only:
-                scores[self.query_ids[:, None] == part[None, :]] = -np.inf
-            if scores.shape[1] > self.k:
-                kth = np.partition(scores, scores.shape[1] - self.k, axis=1)[:, scores.shape[1] - self.k]
-            else:
-                kth = np.full(len(self.queries), -np.inf)
-            keep = (scores >= np.maximum(kth, self.floor)[:, None]) & (scores > -np.inf)
-            rows, columns = np.nonzero(keep)
-            self._merge(rows, part[columns], scores[rows, columns])
+            kept = [self._step(at, part, vectors[start : start + SLICE]) for at in range(0, len(self.queries), QUERY_STEP)]
+            if kept:
+                rows, columns, scores = (np.concatenate(x) for x in zip(*kept))
+                self._merge(rows, part[columns], scores)
+
+    def _step(self, at: int, ids: np.ndarray, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Query, place and score of what may be among the best of the queries from `at` on."""
+        own = slice(at, at + QUERY_STEP)
+        scores = np.round(self.queries[own] @ vectors.T, DIGITS)
+        if self.other_id_only:
+            scores[self.query_ids[own, None] == ids[None, :]] = -np.inf
+        if scores.shape[1] > self.k:
+            kth = np.partition(scores, scores.shape[1] - self.k, axis=1)[:, scores.shape[1] - self.k]
+        else:
+            kth = np.full(len(scores), -np.inf)
+        keep = (scores >= np.maximum(kth, self.floor[own])[:, None]) & (scores > -np.inf)
+        rows, columns = np.nonzero(keep)
+        return rows + at, columns, scores[rows, columns]
 
     def _merge(self, rows: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
         rows = np.concatenate([self.rows, rows])
@@ -153,7 +162,9 @@ def _by_blocks(queries: DataFrame, vectors: DataFrame, k: int, other_id_only: bo
         if left.num_rows == 0 or right.num_rows == 0:
             return arrow.empty_table()
         best = _Best(left["id"].to_numpy(), _matrix(left["vector"]), k, other_id_only)
-        best.add(right["id"].to_numpy(), _matrix(right["vector"]))
+        for start in range(0, right.num_rows, SLICE):
+            part = right.slice(start, SLICE)
+            best.add(part["id"].to_numpy(), _matrix(part["vector"]))
         return pa.Table.from_batches([best.batch(arrow)])
 
     unlimited = 1 << 30

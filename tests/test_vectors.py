@@ -73,3 +73,20 @@ def test_task_code_needs_no_package_on_executors(tmp_path):
     text = "import pickle; best = pickle.load(open('code', 'rb')); import numpy as np; print(best(np.arange(1), np.ones((1, 1)), 1, False).k)"
     done = subprocess.run([sys.executable, "-c", text], cwd=tmp_path, capture_output=True, text=True, timeout=60)
     assert done.stdout.strip() == "1", done.stderr
+
+
+@pytest.mark.parametrize("step", [1, 7, 512])
+def test_scores_held_at_a_time_do_not_grow_with_the_queries(points, monkeypatch, step):
+    monkeypatch.setattr(vectors, "QUERY_STEP", step)
+    monkeypatch.setattr(vectors, "SLICE", 16)
+    largest = []
+    plain = np.round
+    monkeypatch.setattr(vectors.np, "round", lambda x, digits: largest.append(x.size) or plain(x, digits))
+    given = [(r["vec_id"], r["embedding"]) for r in points.collect() if r["embedding"]]
+    ids, matrix = np.array([i for i, _ in given]), np.array([v for _, v in given])
+    matrix /= np.linalg.norm(matrix, axis=1, keepdims=True)
+    best = vectors._Best(ids, matrix, 5, True)
+    best.add(ids, matrix)
+    assert max(largest) <= step * 16
+    place = np.arange(len(best.rows)) % 5 + 1
+    assert sorted(zip(best.query_ids[best.rows].tolist(), place.tolist(), best.ids.tolist())) == brute_force(points, 5)
