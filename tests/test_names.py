@@ -118,3 +118,22 @@ def test_anchored_mentions_are_those_of_a_plain_loop(spark, monkeypatch, small):
             if (wanted := re.findall(r"[^\W_]+", name.lower())) and (n := spans_of(tokens, wanted)):
                 want[key, name] += n
     assert {(r["doc_id"], r["drug_name"]): r["mention_count"] for r in found.collect()} == want
+
+
+@pytest.mark.parametrize("at_once", [1, 7, 500_000])
+@pytest.mark.parametrize("extract", [names.extract_mentions, names.extract_mentions_anchored])
+def test_texts_are_looked_through_where_they_are_read(spark, monkeypatch, extract, at_once):
+    monkeypatch.setattr(names, "WORDS_AT_ONCE", at_once)
+    dictionary = ["a", "A", "a b", "b a b", "b b b b", "c a", "never", None, ""]
+    texts = [(1, "a b a b"), (1, "b a"), (2, "b b b b b"), (3, "c"), (4, "a"), (None, "c a"), (5, None), (6, "- -")]
+    given = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)
+    found = extract(given, spark.createDataFrame([(n,) for n in dictionary], "drug_name string"))
+    want = Counter()
+    for key, text in texts:
+        tokens = re.findall(r"[^\W_]+", (text or "").lower())
+        for name in {n for n in dictionary if n}:
+            if n := spans_of(tokens, name.lower().split()):
+                want[key, name] += n
+    assert {(r["doc_id"], r["drug_name"]): r["mention_count"] for r in found.collect()} == want
+    text = found._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in text and "Generate" not in text and "collect_list" not in text
