@@ -1,17 +1,18 @@
 """Sets of cases as stored bitmaps: counting cases and pairs of drugs without joining on the case.
 
 Cases are numbered. A chunk is a run of 32,768 numbers; for every name (of a drug, a reaction) and chunk there is one
-bitmap of the cases that have it. Sets are made by one aggregation, merged by OR when cases arrive, and counted by their
-bits. A pair of drugs is the AND of two bitmaps, chunk by chunk; every chunk is one unit of work of bounded size.
+set of the cases that have it: a bitmap, or where that is shorter the list of their places, two bytes each. Sets are made
+by one sort, merged by OR when cases arrive, and counted by their bits. A pair of drugs is the AND of two bitmaps, chunk by chunk; every chunk is one unit of work of bounded size.
 """
 
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,7 +22,7 @@ from casewatch.functions.columns import name_key
 from casewatch.operators.counts import all_drugs, reactions
 from casewatch.plans.lineage import cut_lineage
 from casewatch.plans.ranking import dense_ids
-from casewatch.plans.sizing import broadcast_if_small
+from casewatch.plans.sizing import broadcast_if_small, dealt
 from casewatch.schemas import CASE
 
 # Executors need not have this package: what runs in tasks travels with them.
@@ -57,15 +58,19 @@ def case_numbers(*tables: DataFrame, case: str = CASE) -> DataFrame | None:
 
 
 def case_sets(rows: DataFrame, by: list[str], numbers: DataFrame | None = None, case: str = CASE) -> DataFrame:
-    """(*by, chunk, cases bitmap) of (case, *by) rows; a case counts once in a set, rows without case not at all.
+    """(*by, chunk, cases) of (case, *by) rows; a case counts once in a set, rows without case not at all.
 
     `numbers` is the outcome of `case_numbers`, the same for all sets that are to be compared.
     """
     numbered = rows.withColumn("number", F.col(case)) if numbers is None else rows.join(numbers, case)
     numbered = numbered.where(F.col("number").isNotNull()).withColumn("number", F.col("number").cast("bigint"))
-    return numbered.groupBy(*by, F.bitmap_bucket_number("number").alias("chunk")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position("number")).alias("cases")
-    )
+    chunk, place = F.bitmap_bucket_number("number"), F.bitmap_bit_position("number").cast("int")
+    placed = numbered.select(*by, chunk.alias("chunk"), place.alias("_place"))
+    # Most comparisons of the sort are settled by the hash of a set's names.
+    order = [F.xxhash64(*by, "chunk"), *by, "chunk", "_place"]
+    sorted_rows = dealt(placed, rows.count(), *by, "chunk").sortWithinPartitions(*order)
+    schema = T.StructType([*placed.schema.fields[:-1], T.StructField("cases", T.BinaryType())])
+    return sorted_rows.mapInArrow(lambda batches: _by_set(batches, _packed), schema)
 
 
 def drug_and_reaction_sets(drug: DataFrame, reac: DataFrame) -> DataFrame:
@@ -91,13 +96,95 @@ def reaction_sets(sets: DataFrame) -> DataFrame:
 def merge_sets(sets: DataFrame, more: DataFrame) -> DataFrame:
     """Both tables of sets as one: cases that are in both count once."""
     names = [c for c in sets.columns if c != "cases"]
-    return sets.unionByName(more).groupBy(*names).agg(F.bitmap_or_agg("cases").alias("cases"))
+    both = sets.unionByName(more).select(*names, "cases")
+    return both.repartition(*names).sortWithinPartitions(*names).mapInArrow(lambda batches: _by_set(batches, _merged), both.schema)
 
 
 def set_sizes(sets: DataFrame, count: str = "case_count") -> DataFrame:
     """(name, `count`): distinct cases of every set, without moving any of them."""
     names = [c for c in sets.columns if c not in ("chunk", "cases")]
-    return sets.groupBy(*names).agg(F.sum(F.bitmap_count("cases")).alias(count))
+    size = F.when(F.length("cases") < BYTES, (F.length("cases") / 2).cast("bigint")).otherwise(F.bitmap_count("cases"))
+    return sets.groupBy(*names).agg(F.sum(size).alias(count))
+
+
+def _changes(batch: pa.RecordBatch, keys: list[str]) -> np.ndarray:
+    """Whether a row has other keys than the one before it; NULL is a key."""
+    new = np.ones(batch.num_rows, bool)
+    new[1:] = False
+    for key in keys:
+        one, other = batch[key].slice(1), batch[key].slice(0, max(batch.num_rows - 1, 0))
+        unlike = pa.compute.fill_null(pa.compute.not_equal(one, other), True).to_numpy(zero_copy_only=False)
+        new[1:] |= unlike & ~pa.compute.and_(one.is_null(), other.is_null()).to_numpy(zero_copy_only=False)
+    return new
+
+
+def _by_set(batches: Iterator[pa.RecordBatch], work: Callable[[pa.RecordBatch, np.ndarray], pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted rows, whole sets at a time, through `work`, which gives one row for each set. The last column has the
+    cases; only the rows of one set are held from batch to batch."""
+    held: pa.RecordBatch | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if held is not None:
+            batch = pa.concat_batches([held, batch])
+        new = _changes(batch, batch.schema.names[:-1])
+        if batch.schema.names[-1] == "_place":
+            places = batch["_place"].to_numpy()
+            keep = new.copy()
+            keep[1:] |= places[1:] != places[:-1]
+            batch, new = batch.filter(pa.array(keep)), new[keep]
+        last = int(np.flatnonzero(new)[-1])
+        if last:
+            yield work(batch.slice(0, last), new[:last])
+        held = batch.slice(last)
+    if held is not None:
+        yield work(held, np.arange(held.num_rows) == 0)
+
+
+def _stored(places: np.ndarray) -> bytes:
+    """Different places of a set, in order, in the shorter form."""
+    if 2 * len(places) < BYTES:
+        return places.astype("<u2").tobytes()
+    bits = np.zeros(CHUNK, np.uint8)
+    bits[places] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def _packed(batch: pa.RecordBatch, new: np.ndarray) -> pa.RecordBatch:
+    """Different places of sets to one row for each set."""
+    starts, places = np.flatnonzero(new), batch["_place"].to_numpy()
+    counts = np.diff(np.append(starts, len(places)))
+    ends = np.cumsum(2 * np.minimum(counts, BYTES // 2))
+    if (2 * counts < BYTES).all():
+        stored = places.astype("<u2").tobytes()
+    else:
+        stored = b"".join(_stored(places[a : a + n]) for a, n in zip(starts.tolist(), counts.tolist()))
+    offsets = np.concatenate([[0], ends]).astype(np.int32)
+    cases = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(stored)])
+    names = batch.schema.names[:-1]
+    at = pa.array(starts)
+    return pa.RecordBatch.from_arrays([*[batch[c].take(at) for c in names], cases], names=[*names, "cases"])
+
+
+def _merged(batch: pa.RecordBatch, new: np.ndarray) -> pa.RecordBatch:
+    """Sets, equal names and chunks one after another, to one set for each."""
+    starts, cases = np.flatnonzero(new).tolist(), batch["cases"].to_pylist()
+    one = [cases[a] if b == a + 1 else _stored(np.unique(_members(cases[a:b])[1])) for a, b in zip(starts, [*starts[1:], len(cases)])]
+    names, at = batch.schema.names[:-1], pa.array(starts)
+    return pa.RecordBatch.from_arrays([*[batch[c].take(at) for c in names], pa.array(one, pa.binary())], names=[*names, "cases"])
+
+
+def _members(cases: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Row and place of every case of stored sets, by row and place."""
+    sizes = np.array([len(c) for c in cases], np.int64)
+    few, many = np.flatnonzero(sizes < BYTES), np.flatnonzero(sizes == BYTES)
+    row, place = np.repeat(few, sizes[few] // 2), np.frombuffer(b"".join([cases[i] for i in few]), "<u2").astype(np.int64)
+    if len(many):
+        dense, at = _places(np.frombuffer(b"".join([cases[i] for i in many]), np.uint8).reshape(-1, BYTES))
+        row, place = np.concatenate([row, many[dense]]), np.concatenate([place, at])
+        order = np.argsort(row, kind="stable")
+        row, place = row[order], place[order]
+    return row, place
 
 
 def _places(bitmaps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -115,16 +202,21 @@ def _places(bitmaps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Members:
     """Numbered sets over the places of a chunk: by set, by place, and as bitmaps where they are large."""
 
-    def __init__(self, bitmaps: np.ndarray):
-        self.count = len(bitmaps)
-        self.row, self.place = _places(bitmaps)
+    def __init__(self, cases: list[bytes]):
+        self.count = len(cases)
+        self.row, self.place = _members(cases)
         self.by_row = np.searchsorted(self.row, np.arange(self.count + 1))
         order = np.argsort(self.place, kind="stable")
         self.at_place = self.row[order]
         self.by_place = np.searchsorted(self.place[order], np.arange(CHUNK + 1))
         self.dense = np.diff(self.by_row) >= DENSE
         self.large = np.flatnonzero(self.dense)
-        self.words = bitmaps[self.large].view(np.uint64)
+        bits = np.zeros((len(self.large), BYTES), np.uint8)
+        for n, row in enumerate(self.large):
+            own = np.zeros(CHUNK, np.uint8)
+            own[self.of(row)] = 1
+            bits[n] = np.packbits(own, bitorder="little")
+        self.words = bits.view(np.uint64)
 
     def of(self, row: int) -> np.ndarray:
         return self.place[self.by_row[row] : self.by_row[row + 1]]
@@ -152,7 +244,7 @@ Counts = Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarr
 class Chunk:
     """All drugs and reactions of one chunk."""
 
-    def __init__(self, drugs: np.ndarray, effects: np.ndarray):
+    def __init__(self, drugs: list[bytes], effects: list[bytes]):
         self.drugs, self.effects = Members(drugs), Members(effects)
         self.few = self.effects.few()
 
@@ -234,13 +326,10 @@ def _counting(batches: Iterator[pa.RecordBatch], given: bool) -> Iterator[pa.Rec
     row for each pair of a chunk; for the `given` pairs or for all. Reactions go by their `number`."""
     chunk: int | None = None
     names: dict[int, list] = {}
-    bitmaps: dict[int, list[bytes]] = {}
+    sets: dict[int, list[bytes]] = {}
     others: list = []
     numbers: list[int] = []
 
-    def matrix(kind: int) -> np.ndarray:
-        return np.frombuffer(b"".join(bitmaps.get(kind, [])), np.uint8).reshape(-1, BYTES)
-
     def named(held: list[tuple], drugs: pa.Array, effects: np.ndarray) -> pa.RecordBatch:
         first, second, total, _, effect, count = (np.concatenate(column) for column in zip(*held))
         shift = np.cumsum([0, *[len(part[4]) for part in held]])
@@ -258,7 +347,7 @@ def _counting(batches: Iterator[pa.RecordBatch], given: bool) -> Iterator[pa.Rec
 
     def flush() -> Iterator[pa.RecordBatch]:
         drugs, effects = pa.array(names.get(_DRUG, []), pa.string()), np.array(numbers, np.int32)
-        work = Chunk(matrix(_DRUG), matrix(_REACTION))
+        work = Chunk(sets.get(_DRUG, []), sets.get(_REACTION, []))
         if given:
             number = {name: n for n, name in enumerate(names.get(_DRUG, []))}
             counts = work.asked([(number[a], number[b]) for a, b in zip(names.get(_PAIR, []), others)])
@@ -281,12 +370,12 @@ def _counting(batches: Iterator[pa.RecordBatch], given: bool) -> Iterator[pa.Rec
             if mine != chunk:
                 if names:
                     yield from flush()
-                chunk, names, bitmaps, others, numbers = mine, {}, {}, [], []
+                chunk, names, sets, others, numbers = mine, {}, {}, [], []
             names.setdefault(kind, []).append(name)
             if kind == _PAIR:
                 others.append(other)
             else:
-                bitmaps.setdefault(kind, []).append(cases)
+                sets.setdefault(kind, []).append(cases)
                 if kind == _REACTION:
                     numbers.append(number)
     if names:
@@ -376,11 +465,13 @@ def pair_interactions_from_sets(
         rows = rows.union(both.select(*_row(_PAIR, "drug1", other=F.col("drug2"))))
     # A chunk is little data but much work: one task for each, as far as their number goes.
     tasks = min(max(sets.select("chunk").distinct().count(), 1), MOST_TASKS)
-    dealt = rows.repartition(tasks, "chunk").sortWithinPartitions("chunk", "kind", "name")
-    each = dealt.mapInArrow(
+    by_chunk = rows.repartition(tasks, "chunk").sortWithinPartitions("chunk", "kind", "name")
+    each = by_chunk.mapInArrow(
         lambda batches: _counting(batches, given), "drug1 string, drug2 string, cases bigint, effects array<int>, counts array<int>"
     )
-    met = each.repartition("drug1", "drug2").sortWithinPartitions("drug1", "drug2")
+    # A chunk has about as many bytes of pairs as any other.
+    many = tasks > int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = each.repartition(*([tasks] if many else []), "drug1", "drug2").sortWithinPartitions("drug1", "drug2")
     best = met.mapInArrow(lambda batches: _adding(batches, k, min_cases), "drug1 string, drug2 string, rank bigint, number bigint, n bigint")
     named = best.join(known, "number", "left")
     return named.select("drug1", "drug2", "rank", F.col("side_effect").alias("shared_side_effect"), F.col("n").alias("shared_report_count"))

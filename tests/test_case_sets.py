@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from casewatch.operators import case_sets, cube
+from casewatch.plans import sizing
 from tests import small_cases
 from tests.conftest import rows
 from tests.small_cases import best, joined_counts, pair_counts, skewed, tables
@@ -125,3 +126,18 @@ def test_empty_tables(spark):
     none = [df.limit(0) for df in (t.drug, t.reac, t.outcome, t.demographics)]
     assert cube.count_cube(*none).count() == 0
     assert case_sets.pair_interactions_from_sets(case_sets.drug_and_reaction_sets(*none[:2])).count() == 0
+
+
+@pytest.mark.parametrize("task_rows", [100, 1_000_000])
+def test_sets_of_few_cases_are_stored_small(spark, monkeypatch, task_rows):
+    monkeypatch.setattr(sizing, "TASK_ROWS", task_rows)
+    many = [(n, "many") for n in range(3_000)] * 2
+    few = [(n * 50, f"few {n % 4}") for n in range(40)] + [(7, None), (7, None), (None, "many")]
+    given = spark.createDataFrame([*many, *few], "primaryid bigint, name string")
+    sets = case_sets.case_sets(given, ["name"])
+    found = {row["name"]: row["cases"] for row in sets.where("chunk = 1").collect()}
+    assert len(found["many"]) == case_sets.BYTES and len(found[None]) == 2 and len(found["few 1"]) == 2 * 10
+    want = {"many": 3_000, None: 1, **{f"few {n}": 10 for n in range(4)}}
+    assert dict(rows(case_sets.set_sizes(sets))) == want
+    other = case_sets.case_sets(given.union(spark.createDataFrame([(n + 9_000, "few 1") for n in range(3_000)], given.schema)), ["name"])
+    assert dict(rows(case_sets.set_sizes(case_sets.merge_sets(sets, other)))) == {**want, "few 1": 3_010}
