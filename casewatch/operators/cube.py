@@ -27,6 +27,8 @@ KEYS = ["drug", "side_effect", "outcome_code", "age_grp", "sex"]
 SCHEMA = ", ".join([*[f"{c} string" for c in KEYS], "report_count bigint", "case_count bigint", "part string", "level string"])
 # Drug and reaction pairs of one case that a task makes; the drugs of a case with more are dealt over tasks.
 MAX_CASE_PAIRS = 1_000_000
+# Rows of all levels that a task counts at a time, about.
+TASK_LEVELS = 4_000_000
 
 _DRUG, _REACTION, _OUTCOME, _SEGMENT = range(4)
 
@@ -94,7 +96,12 @@ def count_cube(drug: DataFrame, reac: DataFrame, outcome: DataFrame, demographic
     cases = cut_lineage(case_rows(drug, reac, outcome, demographics), "cases")
     pairs = F.size("drugs").cast("bigint") * F.size("effects")
     given = [F.inline("drugs").alias("drug", "drug_n"), "effects", "outcomes", "segments"]
-    most = cases.agg(F.max(pairs)).first()[0] or 0
+    levels = pairs * (1 + F.size("outcomes") + F.size("segments"))
+    most, rows = cases.agg(F.coalesce(F.max(pairs), F.lit(0)), F.coalesce(F.sum(levels), F.lit(0))).first()
+    # What a file split of cases makes grows with the file; the counts of a task must not.
+    parts = -(-rows // TASK_LEVELS)
+    if parts > max(cases.sparkSession.sparkContext.defaultParallelism, 1):
+        cases = cases.repartition(parts, CASE)
     if most <= MAX_CASE_PAIRS:
         return _counted(cases.select(*given))
     many = cases.where(pairs > MAX_CASE_PAIRS).select(CASE, *given).repartition(CASE, "drug").drop(CASE)

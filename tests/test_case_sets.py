@@ -141,3 +141,13 @@ def test_sets_of_few_cases_are_stored_small(spark, monkeypatch, task_rows):
     assert dict(rows(case_sets.set_sizes(sets))) == want
     other = case_sets.case_sets(given.union(spark.createDataFrame([(n + 9_000, "few 1") for n in range(3_000)], given.schema)), ["name"])
     assert dict(rows(case_sets.set_sizes(case_sets.merge_sets(sets, other)))) == {**want, "few 1": 3_010}
+
+
+def test_tasks_that_count_the_cube_are_bounded(spark, monkeypatch):
+    given = tables(spark, *skewed(7))
+    plain = cube.count_cube(given.drug, given.reac, given.outcome, given.demographics)
+    monkeypatch.setattr(cube, "TASK_LEVELS", 10)
+    dealt = cube.count_cube(given.drug, given.reac, given.outcome, given.demographics)
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in (plain, dealt)]
+    assert ["REPARTITION_BY_NUM" in p for p in plans] == [False, True]
+    assert pairs_of(dealt) == pairs_of(plain)
