@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -84,16 +86,23 @@ def segment_answers(
 
     The wider segments add up the counts of the narrow ones, so the join runs once.
     """
-    counted = segment_effect_counts(drug, reac, demographics, drugs, hot=hot)
-    age, sex = F.col("age_grp"), F.col("sex")
-    levels = [["drug", "age_grp", "sex", "side_effect"], ["drug", "age_grp", "side_effect"], ["drug", "sex", "side_effect"], ["drug", "side_effect"]]
-    grouped = counted.groupingSets(
-        [[F.col(c) for c in level] for level in levels], "drug", age, sex, "side_effect"
-    ).agg(
-        F.sum("report_count").alias("report_count"),
-        (F.grouping("age_grp") == 1).alias("any_age"),
-        (F.grouping("sex") == 1).alias("any_sex"),
-    )
+    counted = segment_effect_counts(drug, reac, demographics, drugs, hot=hot, together=["drug", "side_effect"], levels=4)
+
+    def level(any_age: bool, any_sex: bool) -> DataFrame:
+        kept = ["drug", *([] if any_age else ["age_grp"]), *([] if any_sex else ["sex"]), "side_effect"]
+        rows = counted.groupBy(*kept).agg(F.sum("report_count").alias("report_count"))
+        open_columns = {"any_age": F.lit(any_age), "any_sex": F.lit(any_sex)}
+        return rows.select(
+            "drug",
+            *[F.col(c) if c in kept else F.lit(None).cast("string").alias(c) for c in ("age_grp", "sex")],
+            "side_effect",
+            "report_count",
+            *[value.alias(c) for c, value in open_columns.items()],
+        )
+
+    # One shuffle of the joined rows serves all levels; grouping sets would copy every row before theirs.
+    levels = [level(any_age, any_sex) for any_age in (False, True) for any_sex in (False, True)]
+    grouped = reduce(DataFrame.unionByName, levels)
     keys = ["drug", "any_age", "age_grp", "any_sex", "sex"]
     return top_k_per_key(grouped, keys, k, best_first("report_count", "side_effect"))
 

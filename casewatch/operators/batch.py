@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from casewatch.functions.columns import drug_key, name_key
 from casewatch.operators.counts import (
     all_drugs,
+    cases_with_both,
     drug_side,
     effect_counts,
     outcome_side,
@@ -19,8 +20,8 @@ from casewatch.operators.counts import (
 )
 from casewatch.plans.lineage import cut_lineage
 from casewatch.plans.ranking import best_first, top_k_per_key
-from casewatch.plans.sizing import broadcast_if_small, is_small
-from casewatch.plans.skew import HotKeys, Side, cool_join, hot_join, hot_keys, product_join
+from casewatch.plans.sizing import broadcast_if_small, dealt, is_small
+from casewatch.plans.skew import HotKeys, Side, cool_join, dealt_groups, hot_join, hot_keys, product_join
 from casewatch.schemas import CASE
 
 PAIR = ["drug1", "drug2"]
@@ -77,11 +78,13 @@ def segment_effect_counts(
     drugs: DataFrame | None = None,
     distinct_cases: bool = False,
     hot: HotKeys | None = None,
+    together: list[str] | None = None,
+    levels: int = 1,
 ) -> DataFrame:
-    """Uncut report_count per (drug, age_grp, sex, side_effect)."""
+    """Uncut report_count per (drug, age_grp, sex, side_effect); `together` and `levels` as in `effect_counts`."""
     asked = only_drugs(drug, drugs)
     sides = [drug_side(suspect_drugs(asked.rows)), reaction_side(reac), segment_side(demographics)]
-    return asked.cut(effect_counts(sides, ["drug", "age_grp", "sex", "side_effect"], distinct_cases, hot))
+    return asked.cut(effect_counts(sides, ["drug", "age_grp", "sex", "side_effect"], distinct_cases, hot, together, levels))
 
 
 def side_effects_by_segment(
@@ -118,13 +121,15 @@ def pair_interactions_all(drug: DataFrame, reac: DataFrame, k: int | None = 10,
     """(drug1, drug2, rank, shared_side_effect, shared_report_count) for every pair drug1 < drug2.
 
     Only pairs with at least `min_cases` distinct cases are kept. A drug with fewer cases is in no such
-    pair; when the other drugs are few enough to broadcast, it leaves before the join. A case with very
+    pair; when the other drugs are few enough to broadcast, it leaves before the join. Pairs are counted
+    before they meet reactions, and where those kept are few enough the others do not. A case with very
     many drugs is cut into a grid of parts, and its pairs do not meet its reactions one by one (see
     `_with_hot_cases`).
     """
     in_case = all_drugs(drug)
     if min_cases > 1:
-        frequent = in_case.groupBy("drug").agg(F.count_distinct(CASE).alias("n")).filter(F.col("n") >= min_cases)
+        once = dealt(in_case, in_case.count(), CASE).distinct()
+        frequent = once.groupBy("drug").agg(F.count(CASE).alias("n")).filter(F.col("n") >= min_cases)
         frequent = cut_lineage(frequent.select("drug"))
         if is_small(frequent):
             in_case = in_case.join(F.broadcast(frequent), "drug", "left_semi")
@@ -136,7 +141,14 @@ def pair_interactions_all(drug: DataFrame, reac: DataFrame, k: int | None = 10,
     hot = hot_keys(sides, CASE)
     join = cool_join if k is not None else product_join
     triples = join(sides, CASE, hot=hot, distinct=True).filter("drug1 < drug2")
-    counted = triples.groupBy(*PAIR, "side_effect").agg(F.sum("n").alias("n"))
+    if min_cases > 1:
+        pairs = product_join(pair, CASE, True, hot).filter("drug1 < drug2")
+        enough = pairs.groupBy(*PAIR).agg(F.sum("n").alias("cases")).filter(F.col("cases") >= min_cases)
+        enough = cut_lineage(enough.select(*PAIR))
+        if is_small(enough):
+            triples = triples.join(F.broadcast(enough), PAIR, "left_semi")
+    found = [*PAIR, "side_effect"]
+    counted = dealt_groups(triples, sides, hot, found).groupBy(*found).agg(F.sum("n").alias("n"))
     if hot.keys is not None and k is not None:
         counted = _with_hot_cases(counted, pair, sides[2], hot, k)
     counted = counted.select(
@@ -144,9 +156,8 @@ def pair_interactions_all(drug: DataFrame, reac: DataFrame, k: int | None = 10,
     )
     ranked = _ranked(counted, PAIR, k, ["shared_side_effect"], "shared_report_count")
     if min_cases > 1:
-        pairs = product_join(pair, CASE, True, hot).filter("drug1 < drug2")
-        together = pairs.groupBy(*PAIR).agg(F.sum("n").alias("cases")).filter(F.col("cases") >= min_cases)
-        ranked = ranked.join(together, PAIR, "left_semi")
+        # No semi-join: that would be made before ranking, on the rows of every pair.
+        ranked = ranked.join(enough, PAIR).select(*ranked.columns)
     return ranked
 
 
@@ -187,7 +198,7 @@ def pair_interactions_for(
 ) -> DataFrame:
     """The pair report for each (drug1, drug2) of a request table, without a self-join.
 
-    Every drug row is matched with the requests naming it; a case belongs to a request when both
+    Every drug of a case is matched with the requests naming it; the case belongs to a request when both
     places are filled. A drug paired with itself gives its own reactions. Names are asked and given as `name_key`.
     """
     wanted = pairs.select(name_key("drug1").alias("drug1"), name_key("drug2").alias("drug2")).distinct()
@@ -197,21 +208,13 @@ def pair_interactions_for(
     )
     named = wanted.select("drug1", "drug2", F.inline(places))
     if is_small(named):
-        hits = all_drugs(drug).join(F.broadcast(named), "drug")
+        cases = cases_with_both(drug, named, PAIR, hot)
     else:
         hits = product_join([Side(all_drugs(drug), (CASE,)), Side(named)], "drug")
-    cases = (
-        hits.groupBy(CASE, "drug1", "drug2")
-        .agg(F.max(F.col("place") == 1).alias("has1"), F.max(F.col("place") == 2).alias("has2"))
-        .filter("has1 and has2")
-        .select(CASE, "drug1", "drug2")
-    )
+        has = [F.max(F.col("place") == n).alias(f"has{n}") for n in (1, 2)]
+        cases = hits.groupBy(CASE, *PAIR).agg(*has).filter("has1 and has2").select(CASE, *PAIR)
     if hot is None:
         cases = cut_lineage(cases)  # written once, then counted and joined
-    sides = [Side(cases, ("drug1", "drug2")), reaction_side(reac)]
-    counted = (
-        product_join(sides, CASE, True, hot)
-        .groupBy("drug1", "drug2", F.col("side_effect").alias("shared_side_effect"))
-        .agg(F.sum("n").alias("shared_report_count"))
-    )
+    counted = effect_counts([Side(cases, ("drug1", "drug2")), reaction_side(reac)], [*PAIR, "side_effect"], True, hot)
+    counted = counted.withColumnsRenamed({"side_effect": "shared_side_effect", "report_count": "shared_report_count"})
     return _ranked(counted, ["drug1", "drug2"], k, ["shared_side_effect"], "shared_report_count")

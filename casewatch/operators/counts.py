@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casewatch.functions.columns import drug_key, is_severe, is_suspect
-from casewatch.plans.skew import HotKeys, Side, hot_keys, product_join
+from casewatch.plans.sizing import dealt
+from casewatch.plans.skew import HotKeys, Side, dealt_groups, hot_keys, product_join
 from casewatch.schemas import CASE
 
 
@@ -63,8 +64,31 @@ def hot_cases(
 
 
 def effect_counts(
-    sides: list[Side], by: list[str], distinct_cases: bool = False, hot: HotKeys | None = None
+    sides: list[Side],
+    by: list[str],
+    distinct_cases: bool = False,
+    hot: HotKeys | None = None,
+    together: list[str] | None = None,
+    levels: int = 1,
 ) -> DataFrame:
-    """Join the sides on the case; report_count per `by`: joined rows, or distinct cases."""
-    joined = product_join(sides, CASE, distinct_cases, hot)
+    """Join the sides on the case; report_count per `by`: joined rows, or distinct cases.
+
+    Where rows are dealt to bounded tasks, those with equal `together` (some of `by`) stay in one; `levels` says how
+    often the counts are grouped by these again.
+    """
+    hot = hot or hot_keys(sides, CASE)
+    joined = dealt_groups(product_join(sides, CASE, distinct_cases, hot), sides, hot, together or by, levels)
     return joined.groupBy(*by).agg(F.sum("n").alias("report_count"))
+
+
+def cases_with_both(drug: DataFrame, named: DataFrame, keys: list[str], hot: HotKeys | None = None) -> DataFrame:
+    """(case, *keys) of the cases that have the drugs of both places of a request.
+
+    `named` is small: (drug, place, *keys), a row for each place. A case's drugs are brought together once; they meet
+    the requests there, where each gives a case two rows at most.
+    """
+    asked = all_drugs(drug).join(F.broadcast(named.select("drug").distinct()), "drug", "left_semi")
+    rows = asked.count() if hot is None else hot.rows([drug_side(drug)])
+    hits = dealt(asked.filter(F.col(CASE).isNotNull()), rows, CASE).distinct().join(F.broadcast(named), "drug")
+    has = [F.max(F.col("place") == n).alias(f"has{n}") for n in (1, 2)]
+    return hits.groupBy(CASE, *keys).agg(*has).filter("has1 and has2").select(CASE, *keys)

@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 
 from casewatch.functions.columns import AGE_UNITS, age_status, age_years, is_death, is_severe, name_key
 from casewatch.operators.batch import only_drugs
-from casewatch.operators.counts import all_drugs, drug_side, effect_counts, outcome_side, reaction_side, suspect_drugs
+from casewatch.operators.counts import all_drugs, cases_with_both, drug_side, effect_counts, outcome_side, reaction_side, suspect_drugs
 from casewatch.operators.reports import older_than, pair_cases, suspect_cases, top_severe, with_severe
 from casewatch.plans.lineage import cut_lineage
 from casewatch.plans.ranking import best_first, rank_by, top_k_per_key
-from casewatch.plans.sizing import broadcast_if_small
+from casewatch.plans.sizing import broadcast_if_small, dealt, is_small
 from casewatch.plans.skew import HotKeys, Side, product_join
 from casewatch.schemas import CASE, SEVERE_OUTCOMES
 
@@ -154,7 +154,10 @@ def effects_by_segments(
     table, in one job: the top reactions, or with `outcome` the severe ones, of patients older than that and of that
     sex. NULL means any. One request gives what `severe_by_segment` does."""
     asked = broadcast_if_small(_asked_segments(requests, "drug"))
-    cases = suspect_drugs(drug).join(asked, "drug").groupBy(CASE, "drug", "age_over", "asked_sex").agg(F.count(F.lit(1)).alias("n"))
+    suspects = suspect_drugs(drug).filter(F.col(CASE).isNotNull())
+    if hot is not None:
+        suspects = dealt(suspects, hot.rows([drug_side(suspects)]), CASE)  # brought together before the requests multiply them
+    cases = suspects.join(asked, "drug").groupBy(CASE, "drug", "age_over", "asked_sex").agg(F.count(F.lit(1)).alias("n"))
     inside = _in_segment(cases, demographics).withColumnRenamed("n", "case_n")
     sides = [Side(inside, ("drug", *SEGMENT), weight="case_n"), reaction_side(reac)]
     ties = ["side_effect"]
@@ -180,11 +183,15 @@ def severe_pairs_by_segments(
     """(drug1, drug2, age_over, sex, rank, side_effect, outcome_code, report_count) for every request, as
     `severe_pair_by_segment` gives for one."""
     asked = _asked_segments(requests, "drug1", "drug2")
+    keys = ["drug1", "drug2", "age_over", "asked_sex"]
     places = F.array(F.struct(F.col("drug1").alias("drug"), F.lit(1).alias("place")), F.struct(F.col("drug2").alias("drug"), F.lit(2).alias("place")))
-    named = broadcast_if_small(asked.select("*", F.inline(places)))
-    keys = [CASE, "drug1", "drug2", "age_over", "asked_sex"]
-    hits = all_drugs(drug).join(named, "drug").groupBy(*keys).agg(_flag(F.col("place") == 1).alias("has1"), _flag(F.col("place") == 2).alias("has2"))
-    both = hits.where("has1 = 1 AND has2 = 1").select(*keys, F.lit(1).cast("bigint").alias("n"))
+    named = asked.select("*", F.inline(places))
+    if is_small(named):
+        both = cases_with_both(drug, named, keys, hot)
+    else:
+        hits = all_drugs(drug).join(named, "drug").groupBy(CASE, *keys).agg(_flag(F.col("place") == 1).alias("has1"), _flag(F.col("place") == 2).alias("has2"))
+        both = hits.where("has1 = 1 AND has2 = 1").select(CASE, *keys)
+    both = both.withColumn("n", F.lit(1).cast("bigint"))
     inside = _in_segment(both, demographics).drop("n")
     sides = [Side(inside, ("drug1", "drug2", *SEGMENT)), reaction_side(reac), outcome_side(outcome)]
     counted = effect_counts(sides, ["drug1", "drug2", *SEGMENT, "side_effect", "outcome_code"], True, hot)

@@ -9,10 +9,13 @@ their values and copied along the other axes. Each result row is made in exactly
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Mapping
+from dataclasses import dataclass, field
 from functools import reduce
+from itertools import combinations
+from math import prod
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CELL = "_cell"
@@ -22,6 +25,8 @@ MAX_KEY_PRODUCT = 10_000_000
 MAX_HOT_KEYS = 10_000
 ROWS_PER_PART = 4_096
 MAX_PARTS = 64
+# Joined rows that a task makes or counts at a time, about.
+TASK_JOINED = 2_000_000
 
 
 @dataclass(frozen=True)
@@ -67,9 +72,29 @@ def _product(sides: list[Side]) -> Column:
 
 @dataclass(frozen=True)
 class HotKeys:
-    """The outcome of a check: keys to treat apart (at most MAX_HOT_KEYS), or None when there are none."""
+    """The outcome of a check: keys to treat apart (at most MAX_HOT_KEYS), or None when there are none.
+
+    `joined` has the rows that a join of some of the checked sides makes for the other keys, and `values`, where these
+    are many, about how many different values a side has; both by the first column of `Side.by`.
+    """
 
     keys: DataFrame | None
+    joined: Mapping[frozenset[str], int] = field(default_factory=dict)
+    values: Mapping[str, int] = field(default_factory=dict)
+
+    def _known(self, sides: list[Side]) -> frozenset[str]:
+        """The dividing sides as they were checked; one that was not counts like the first."""
+        names = {name for known in self.joined for name in known}
+        first = next(iter(self.joined), frozenset())
+        return frozenset().union(*[{s.by[0]} if s.by[0] in names else first for s in sides if s.by])
+
+    def rows(self, sides: list[Side]) -> int:
+        return self.joined.get(self._known(sides), 0)
+
+    def groups(self, sides: list[Side]) -> int:
+        """At most so many different values (about) are among the joined rows."""
+        most = prod(self.values.get(name, self.rows(sides)) for name in self._known(sides))
+        return min(most, self.rows(sides))
 
 
 def hot_keys(
@@ -82,9 +107,45 @@ def hot_keys(
     """
     max_product = MAX_KEY_PRODUCT if max_product is None else max_product
     sizes = key_sizes(sides, key)
-    hot = sizes.filter(_product(sides) > max_product).orderBy(_product(sides).desc(), F.asc(key)).limit(max_keys)
+    is_hot = _product(sides) > max_product
+    axes = {side.by[0]: F.greatest(F.col(f"_n{i}").cast("double"), F.lit(1.0)) for i, side in enumerate(sides) if side.by}
+    subsets = [names for n in range(1, len(axes) + 1) for names in combinations(axes, n)]
+    made = [F.sum(F.when(~is_hot, reduce(Column.__mul__, [axes[c] for c in names]))) for names in subsets]
+    hot_count, *rows = sizes.agg(F.count_if(is_hot), *made).first()
+    joined = {frozenset(names): int(n or 0) for names, n in zip(subsets, rows)}
+    values = _value_counts(sides) if task_parts(sizes.sparkSession, max(joined.values(), default=0)) else {}
+    if not hot_count:
+        return HotKeys(None, joined, values)
+    hot = sizes.filter(is_hot).orderBy(_product(sides).desc(), F.asc(key)).limit(max_keys)
     rows = hot.select(key).collect()  # at most max_keys
-    return HotKeys(sizes.sparkSession.createDataFrame(rows, hot.select(key).schema) if rows else None)
+    return HotKeys(sizes.sparkSession.createDataFrame(rows, hot.select(key).schema), joined, values)
+
+
+def _value_counts(sides: list[Side]) -> dict[str, int]:
+    """About how many different values each dividing side has, by its first dividing column."""
+    own = {side.by[0]: side for side in sides if side.by and side.twin is None}
+    hashed = [s.df.select(*[(F.xxhash64(*s.by) if c == name else F.lit(None).cast("bigint")).alias(c) for c in own]) for name, s in own.items()]
+    found = reduce(DataFrame.unionByName, hashed).agg(*[F.approx_count_distinct(c).alias(c) for c in own]).first()
+    twins = {side.by[0]: found[sides[side.twin].by[0]] for side in sides if side.by and side.twin is not None}
+    return {**{c: int(found[c] * 1.1) + 1 for c in own}, **{c: int(n * 1.1) + 1 for c, n in twins.items()}}
+
+
+def task_parts(spark: SparkSession, rows: int) -> int | None:
+    """Parts of about TASK_JOINED rows; None where the session's tasks are enough."""
+    parts = -(-rows // TASK_JOINED)
+    return parts if parts > max(spark.sparkContext.defaultParallelism, 1) else None
+
+
+def dealt_groups(joined: DataFrame, sides: list[Side], hot: HotKeys, by: list[str], levels: int = 1) -> DataFrame:
+    """Joined rows, to be grouped by `by` and more (`levels` times), in tasks of bounded size.
+
+    Where the groups fit as many tasks as run at once the rows stay as they are, and are counted before their shuffle.
+    Where they do not, counting so would gain little and fill the few partitions after it: the rows are dealt to more.
+    """
+    spark = joined.sparkSession
+    parts = task_parts(spark, hot.rows(sides))
+    fitting = max(spark.sparkContext.defaultParallelism, 1) * TASK_JOINED
+    return joined if parts is None or levels * hot.groups(sides) <= fitting else joined.repartition(parts, *by)
 
 
 def heavy_parts(sides: list[Side], key: str, max_keys: int = MAX_HOT_KEYS) -> DataFrame:
@@ -172,8 +233,10 @@ def product_join(
 
 
 def cool_join(sides: list[Side], key: str, hot: HotKeys, distinct: bool = False) -> DataFrame:
-    """The part of `product_join` for the keys that are not hot: a plain join."""
-    tables = [_cool_rows(side, key, hot.keys, distinct) for side in sides]
+    """The part of `product_join` for the keys that are not hot: a plain join, in tasks that make a bounded number of
+    rows where every side is divided."""
+    parts = task_parts(sides[0].df.sparkSession, hot.rows(sides)) if all(side.by and not side.optional for side in sides) else None
+    tables = [_cool_rows(side, key, hot.keys, distinct, parts) for side in sides]
     return _weighed(_join_all(tables, sides, [key]), [None if distinct else side.weight for side in sides])
 
 
@@ -186,14 +249,17 @@ def hot_join(
     return _weighed(split, [f"_w{i}" for i in range(len(sides))])
 
 
-def _cool_rows(side: Side, key: str, hot: DataFrame | None, distinct: bool) -> DataFrame:
+def _cool_rows(side: Side, key: str, hot: DataFrame | None, distinct: bool, parts: int | None) -> DataFrame:
     rows = side.df
     if hot is not None:
         rows = rows.join(F.broadcast(hot), key, "left_anti")
-    if distinct and side.by:
-        # No key is hot here: one shuffle on the key serves the distinct and the join.
-        rows = rows.repartition(key).distinct()
-    return rows
+    if parts is not None:
+        # Without its key a row meets nothing, and all such rows would be in one task.
+        rows = rows.filter(F.col(key).isNotNull()).repartition(parts, key)
+    elif distinct and side.by:
+        rows = rows.repartition(key)
+    # No key is hot here: one shuffle on the key serves the distinct and the join.
+    return rows.distinct() if distinct and side.by else rows
 
 
 def _hot_values(side: Side, position: int, key: str, hot: DataFrame, distinct: bool) -> Side:
