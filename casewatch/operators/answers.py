@@ -8,16 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casewatch.functions.columns import name_key
-from casewatch.operators.batch import (
-    pair_interactions_for,
-    segment_effect_counts,
-    severe_side_effects_by_drug,
-    top_side_effects_by_drug,
-)
-from casewatch.operators.counts import hot_cases
+from casewatch.operators.batch import pair_interactions_for, report_counts, segment_effect_counts
+from casewatch.operators.counts import by_outcome, hot_cases, stored_cases
 from casewatch.plans.lineage import cut_lineage
 from casewatch.plans.ranking import best_first, top_k_per_key
+from casewatch.plans.sizing import broadcast_if_small
 from casewatch.plans.skew import HotKeys, Side, product_join
+from casewatch.schemas import SEVERE_OUTCOMES
 
 # Kinds of request, one per report.
 TOP, PAIR, SEGMENT, SEVERE = "top", "pair", "segment", "severe"
@@ -60,7 +57,7 @@ def request_keys(requests: DataFrame, *more: str) -> DataFrame:
     )
 
 
-def asked_drugs(keys: DataFrame, kind: str) -> DataFrame:
+def asked_drugs(keys: DataFrame, kind: str | Column) -> DataFrame:
     """The questions of one kind that name a drug."""
     return keys.filter(F.col("kind") == kind).filter("drug is not null")
 
@@ -87,6 +84,12 @@ def segment_answers(
     The wider segments add up the counts of the narrow ones, so the join runs once.
     """
     counted = segment_effect_counts(drug, reac, demographics, drugs, hot=hot, together=["drug", "side_effect"], levels=4)
+    keys = ["drug", "any_age", "age_grp", "any_sex", "sex"]
+    return top_k_per_key(_segment_levels(counted), keys, k, best_first("report_count", "side_effect"))
+
+
+def _segment_levels(counted: DataFrame) -> DataFrame:
+    """Counts of segments, added up to every age group, every sex, and overall."""
 
     def level(any_age: bool, any_sex: bool) -> DataFrame:
         kept = ["drug", *([] if any_age else ["age_grp"]), *([] if any_sex else ["sex"]), "side_effect"]
@@ -102,36 +105,71 @@ def segment_answers(
 
     # One shuffle of the joined rows serves all levels; grouping sets would copy every row before theirs.
     levels = [level(any_age, any_sex) for any_age in (False, True) for any_sex in (False, True)]
-    grouped = reduce(DataFrame.unionByName, levels)
-    keys = ["drug", "any_age", "age_grp", "any_sex", "sex"]
-    return top_k_per_key(grouped, keys, k, best_first("report_count", "side_effect"))
+    return reduce(DataFrame.unionByName, levels)
+
+
+def _asked_values(demographics: DataFrame, keys: DataFrame) -> DataFrame:
+    """Demographics whose age groups and sexes that no question names are NULL, to be counted together."""
+    for column, name in (("age_grp", "age_group"), ("sex", "sex")):
+        asked = asked_drugs(keys, SEGMENT).select(F.col(name).alias("asked")).dropna().distinct()
+        met = demographics.join(broadcast_if_small(asked), F.col(column) == F.col("asked"), "left")
+        demographics = met.withColumn(column, F.col("asked")).drop("asked")
+    return demographics
+
+
+def _ranked_questions(counted: DataFrame, keys: DataFrame, k: int) -> DataFrame:
+    """The top k of the top, severe and segment questions, as `ANSWER_COLUMNS`, from `report_counts`."""
+    overall = counted.groupBy("drug", "side_effect").agg(*[F.sum(c).alias(c) for c in ("report_count", *SEVERE_OUTCOMES)])
+    inside = counted.filter("in_segment > 0").select("drug", "age_grp", "sex", "side_effect", F.col("in_segment").alias("report_count"))
+    found = [
+        answer_rows(overall.withColumn("rank", F.lit(0)), TOP),
+        answer_rows(by_outcome(overall).withColumn("rank", F.lit(0)), SEVERE, "outcome_code"),
+        answer_rows(
+            _segment_levels(inside).withColumnRenamed("age_grp", "age_group").withColumn("rank", F.lit(0)),
+            SEGMENT,
+            "any_age",
+            "age_group",
+            "any_sex",
+            "sex",
+        ),
+    ]
+    question = ["kind", "drug", "any_age", "age_group", "any_sex", "sex"]
+    open_or = {"any_age": F.lit(True), "any_sex": F.lit(True)}
+    segment = F.col("kind") == SEGMENT
+    asked = asked_drugs(keys.filter(F.col("kind").isin(TOP, SEVERE, SEGMENT)), F.col("kind")).select(
+        "kind", "drug", *[F.when(segment, F.col(c)).otherwise(open_or.get(c, F.lit(None))).alias(c) for c in question[2:]]
+    )
+    rows, wanted = reduce(DataFrame.unionByName, found).alias("f"), broadcast_if_small(asked.distinct()).alias("w")
+    same = [F.col(f"f.{c}").eqNullSafe(F.col(f"w.{c}")) for c in question]
+    best = rows.join(wanted, same, "left_semi").drop("rank")
+    return top_k_per_key(best, question, k, best_first("report_count", "side_effect", "outcome_code"))
 
 
 def answer_table(
     drug: DataFrame, reac: DataFrame, outcome: DataFrame, demographics: DataFrame, requests: DataFrame, k: int = 10
 ) -> DataFrame:
-    """The answers to all different requests of a table, keyed as `ANSWER_COLUMNS`, from one job per kind."""
+    """The answers to all different requests of a table, keyed as `ANSWER_COLUMNS`; written, to be looked up often.
+
+    The case tables are written once as the reports read them, then one join counts all that is asked about single drugs
+    and another what is asked about pairs. Segments that no request names have no rows.
+    """
     # Each different question once; written, as every kind reads it and counts it first.
     keys = cut_lineage(request_keys(requests).drop("request_id").distinct())
-    hot = hot_cases(drug, reac, outcome, demographics)
-    top = top_side_effects_by_drug(drug, reac, k, asked_drugs(keys, TOP).select("drug"), hot=hot)
-    severe = severe_side_effects_by_drug(drug, reac, outcome, k, asked_drugs(keys, SEVERE).select("drug"), hot=hot)
-    segment = segment_answers(drug, reac, demographics, k, asked_drugs(keys, SEGMENT).select("drug"), hot)
+    t = stored_cases(drug, reac, outcome, demographics, "age_grp", "sex")
+    hot = hot_cases(t.drug, t.reac, demographics=t.demographics)
+    named = keys.filter(F.col("kind").isin(TOP, SEVERE, SEGMENT)).select("drug")
+    # Written: the counts are read once for each width.
+    counted = cut_lineage(report_counts(t.drug, t.reac, t.outcome, _asked_values(t.demographics, keys), named, hot), "counts")
     asked_pairs = asked_drugs(keys, PAIR).select(F.col("drug").alias("drug1"), F.col("drug2").alias("drug2"))
-    pair = pair_interactions_for(drug, reac, asked_pairs, k, hot).select(
+    pair = pair_interactions_for(t.drug, t.reac, asked_pairs, k, hot).select(
         F.col("drug1").alias("drug"),
         "drug2",
         "rank",
         F.col("shared_side_effect").alias("side_effect"),
         F.col("shared_report_count").alias("report_count"),
     )
-    segment = segment.withColumnRenamed("age_grp", "age_group")
-    return (
-        answer_rows(top, TOP)
-        .unionByName(answer_rows(severe, SEVERE, "outcome_code"))
-        .unionByName(answer_rows(segment, SEGMENT, "any_age", "age_group", "any_sex", "sex"))
-        .unionByName(answer_rows(pair, PAIR, "drug2"))
-    )
+    single = _ranked_questions(counted, keys, k).select(*ANSWER_COLUMNS)
+    return cut_lineage(single.unionByName(answer_rows(pair, PAIR, "drug2")), "answers")
 
 
 def request_key(kind: str | Column = "kind") -> Column:

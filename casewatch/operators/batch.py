@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from casewatch.functions.columns import drug_key, name_key
@@ -16,13 +16,15 @@ from casewatch.operators.counts import (
     outcome_side,
     reaction_side,
     segment_side,
+    segments,
+    severe_counts,
     suspect_drugs,
 )
 from casewatch.plans.lineage import cut_lineage
 from casewatch.plans.ranking import best_first, top_k_per_key
 from casewatch.plans.sizing import broadcast_if_small, dealt, is_small
-from casewatch.plans.skew import HotKeys, Side, cool_join, dealt_groups, hot_join, hot_keys, product_join
-from casewatch.schemas import CASE
+from casewatch.plans.skew import HotKeys, Side, cool_join, dealt_groups, hot_join, hot_keys, product_join, task_parts
+from casewatch.schemas import CASE, SEVERE_OUTCOMES
 
 PAIR = ["drug1", "drug2"]
 # A part of a hot case pairs with every other part: keep parts short.
@@ -87,6 +89,45 @@ def segment_effect_counts(
     return asked.cut(effect_counts(sides, ["drug", "age_grp", "sex", "side_effect"], distinct_cases, hot, together, levels))
 
 
+def report_counts(
+    drug: DataFrame, reac: DataFrame, outcome: DataFrame, demographics: DataFrame, drugs: DataFrame, hot: HotKeys
+) -> DataFrame:
+    """(drug, age_grp, sex, side_effect, report_count, in_segment, a column per severe outcome) for the asked drugs.
+
+    One join serves three reports, as a case's outcomes and segments are counted before it. Added up over age_grp and
+    sex, `report_count` has all reports and the outcome columns those of the severe report; `in_segment` has the reports
+    of the segment, none where a case has no demographics.
+    """
+    asked = only_drugs(drug, drugs)
+    parts = task_parts(drug.sparkSession, hot.rows([drug_side(drug), reaction_side(reac)]))
+
+    def together(rows: DataFrame) -> DataFrame:
+        return rows.repartition(CASE) if parts is None else rows.repartition(parts, CASE)
+
+    suspects = together(suspect_drugs(asked.rows).filter(F.col(CASE).isNotNull()))
+    suspects = suspects.groupBy(CASE, "drug").agg(F.count(F.lit(1)).alias("drug_n"))
+    people = together(segments(demographics).filter(F.col(CASE).isNotNull()))
+    people = people.groupBy(CASE, "age_grp", "sex").agg(F.count(F.lit(1)).alias("in_segment"))
+    # What a case has but once goes to one of its segments.
+    place = F.row_number().over(Window.partitionBy(CASE).orderBy(F.asc("age_grp"), F.asc("sex")))
+    people = people.withColumn("once", F.when(place == 1, 1).otherwise(0).cast("bigint"))
+    severe = together(severe_counts(outcome))
+    persons = Side(people, ("age_grp", "sex"), optional=True)
+    cases = product_join([Side(suspects, ("drug",), weight="drug_n"), persons], CASE, hot=hot)
+    cases = cases.withColumn("once", F.coalesce("once", F.lit(1).cast("bigint")))
+    cases = cases.withColumn("in_segment", F.coalesce("in_segment", F.lit(0).cast("bigint")))
+    cases = cases.join(severe, CASE, "left").withColumnRenamed("n", "case_n")
+    sides = [Side(cases, ("drug", "age_grp", "sex"), weight="case_n"), reaction_side(reac)]
+    joined = dealt_groups(product_join(sides, CASE, hot=hot), sides, hot, ["drug", "side_effect"], 4)
+    n, once = F.col("n"), F.col("once")
+    counted = joined.groupBy("drug", "age_grp", "sex", "side_effect").agg(
+        F.sum(n * once).alias("report_count"),
+        F.sum(n * F.col("in_segment")).alias("in_segment"),
+        *[F.sum(n * once * F.coalesce(code, F.lit(0))).alias(code) for code in SEVERE_OUTCOMES],
+    )
+    return asked.cut(counted)
+
+
 def side_effects_by_segment(
     drug: DataFrame,
     reac: DataFrame,

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casewatch.functions.columns import drug_key, is_severe, is_suspect
+from casewatch.functions.columns import NAME_KEY, drug_key, is_severe, is_suspect
+from casewatch.plans.lineage import cut_lineage
 from casewatch.plans.sizing import dealt
 from casewatch.plans.skew import HotKeys, Side, dealt_groups, hot_keys, product_join
-from casewatch.schemas import CASE
+from casewatch.schemas import CASE, SEVERE_OUTCOMES
+from casewatch.sources.star_schema import CaseTables
 
 
 def suspect_drugs(drug: DataFrame) -> DataFrame:
@@ -51,6 +53,31 @@ def outcome_side(outcome: DataFrame) -> Side:
     return Side(severe_outcomes(outcome), ("outcome_code",))
 
 
+def severe_counts(outcome: DataFrame) -> DataFrame:
+    """(case, a column per severe outcome): how often each case has it; cases without any are left out."""
+    codes = [F.count_if(F.col("outc_cod") == code).alias(code) for code in SEVERE_OUTCOMES]
+    return outcome.filter(is_severe() & F.col(CASE).isNotNull()).groupBy(CASE).agg(*codes)
+
+
+def by_outcome(counted: DataFrame) -> DataFrame:
+    """Rows with a count per severe outcome as one row for each outcome that occurs, its count as report_count."""
+    each = F.array(*[F.struct(F.lit(code).alias("outcome_code"), F.col(code).alias("report_count")) for code in SEVERE_OUTCOMES])
+    kept = [c for c in counted.columns if c not in (*SEVERE_OUTCOMES, "report_count")]
+    return counted.select(*kept, F.inline(each)).filter("report_count > 0")
+
+
+def stored_cases(drug: DataFrame, reac: DataFrame, outcome: DataFrame, demographics: DataFrame, *person: str) -> CaseTables:
+    """The columns and rows that reports read, written once for several reports; `person` are those of demographics."""
+    known = F.col(CASE).isNotNull()
+    named = drug.select(CASE, "role_cod", drug_key(drug).alias(NAME_KEY)).filter(known & F.col(NAME_KEY).isNotNull())
+    return CaseTables(
+        cut_lineage(named, "drug"),
+        cut_lineage(reac.select(CASE, "pt").filter(known), "reac"),
+        cut_lineage(outcome.select(CASE, "outc_cod").filter(known & is_severe()), "outcome"),
+        cut_lineage(demographics.select(CASE, *person).filter(known), "demographics"),
+    )
+
+
 def hot_cases(
     drug: DataFrame, reac: DataFrame, outcome: DataFrame | None = None, demographics: DataFrame | None = None
 ) -> HotKeys:
