@@ -7,16 +7,16 @@ decide between the kinds of report. Every question gets rows or a status that sa
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from casewatch.functions.columns import name_key
 from casewatch.operators.answers import ANSWERED, NO_DRUG, NO_REPORTS, PAIR, SEGMENT, SEVERE, TOP, UNKNOWN_KIND
-from casewatch.operators.batch import pair_interactions_for, top_side_effects_by_drug
-from casewatch.operators.counts import hot_cases
+from casewatch.operators.counts import hot_cases, stored_cases
 from casewatch.operators.names import extract_mentions, normalize_names_fuzzy, phrases, words
-from casewatch.operators.severity import effects_by_segments, severe_pairs_by_segments, severity_summary
+from casewatch.operators.severity import asked_of, asked_segment_counts, best_of_segments, pair_segment_counts, severity_summary
 from casewatch.plans.lineage import cut_lineage
 
 # Kinds beyond those of request tables.
@@ -135,12 +135,14 @@ def _rows(df: DataFrame, **columns: Column) -> DataFrame:
 def answer_slots(drug: DataFrame, reac: DataFrame, outcome: DataFrame, demographics: DataFrame, slots: DataFrame) -> DataFrame:
     """(request_id, kind, rank, drug, drug2, side_effect, outcome_code, share, report_count) for rows of `question_slots`.
 
-    Each kind is one report over the different things asked for, whatever the number of questions. A comparison ranks its
+    All kinds about one drug are counted in one join over the different things asked for, those about pairs in another,
+    whatever the number of questions; the case tables and the answers are written once. A comparison ranks its
     drugs by cases with a severe outcome (`report_count`); a profile gives the rank of its reaction among all of the
     drug, and its share of the drug's reports. Each request has its own `k`.
     """
     slots = cut_lineage(slots, "slots")
-    hot = hot_cases(drug, reac, outcome, demographics)
+    t = stored_cases(drug, reac, outcome, demographics, "age", "age_cod", "sex")
+    hot = hot_cases(t.drug, t.reac)
     most = slots.agg(F.max("k")).first()[0] or 0
     first, second = F.get("drugs", F.lit(0)), F.get("drugs", F.lit(1))
 
@@ -153,37 +155,41 @@ def answer_slots(drug: DataFrame, reac: DataFrame, outcome: DataFrame, demograph
         return pairs.select("a.request_id", "a.kind", "f.*")
 
     effect, code = F.col("side_effect"), F.col("outcome_code")
-    plain = of(TOP, SEGMENT)
-    top = effects_by_segments(drug, reac, demographics, plain, most, hot=hot)
+    plain, severe, asked = of(TOP, SEGMENT), of(SEVERE), of(PROFILE)
+    # A profile is about all reports of its drug.
+    whole = asked.withColumns({"age_over": F.lit(None).cast("double"), "sex": F.lit(None).cast("string")})
+    single = reduce(DataFrame.unionByName, [df.select("drug", F.col("age_over").cast("double"), "sex") for df in (plain, severe, whole)])
+    # Written: three reports read the counts.
+    counted = cut_lineage(asked_segment_counts(t.drug, t.reac, t.demographics, single, t.outcome, hot), "counts")
+    top = best_of_segments(asked_of(counted, plain, "drug"), ["drug"], most, False)
     parts = [_rows(joined(plain, top, "drug", "age_over", "sex"), drug=F.col("drug"), side_effect=effect)]
-    severe = of(SEVERE)
-    found = effects_by_segments(drug, reac, demographics, severe, most, outcome, hot)
+    found = best_of_segments(asked_of(counted, severe, "drug"), ["drug"], most, True)
     parts.append(_rows(joined(severe, found, "drug", "age_over", "sex"), drug=F.col("drug"), side_effect=effect, outcome_code=code))
 
+    # A plain pair is about all of its cases.
     pair = of(PAIR).withColumnsRenamed({"drug": "drug1"})
-    found = pair_interactions_for(drug, reac, pair, most, hot).withColumnsRenamed({"shared_side_effect": "side_effect", "shared_report_count": "report_count"})
+    all_cases = pair.withColumns({"age_over": F.lit(None).cast("double"), "sex": F.lit(None).cast("string")})
+    severe_pair = of(SEVERE_PAIR).withColumnsRenamed({"drug": "drug1"})
+    pairs = reduce(DataFrame.unionByName, [df.select("drug1", "drug2", F.col("age_over").cast("double"), "sex") for df in (all_cases, severe_pair)])
+    counted_pairs = cut_lineage(pair_segment_counts(t.drug, t.reac, t.outcome, t.demographics, pairs, hot), "pairs")
+    found = best_of_segments(asked_of(counted_pairs, all_cases, "drug1", "drug2"), ["drug1", "drug2"], most, False)
     both = {"drug": F.col("drug1"), "drug2": F.col("drug2"), "side_effect": effect}
     parts.append(_rows(joined(pair, found, "drug1", "drug2"), **both))
-    pair = of(SEVERE_PAIR).withColumnsRenamed({"drug": "drug1"})
-    found = severe_pairs_by_segments(drug, reac, outcome, demographics, pair, most, hot)
-    parts.append(_rows(joined(pair, found, "drug1", "drug2", "age_over", "sex"), **both, outcome_code=code))
+    found = best_of_segments(asked_of(counted_pairs, severe_pair, "drug1", "drug2"), ["drug1", "drug2"], most, True)
+    parts.append(_rows(joined(severe_pair, found, "drug1", "drug2", "age_over", "sex"), **both, outcome_code=code))
 
     each = of(COMPARE).select("request_id", "kind", "k", F.explode("drugs").alias("drug"))
-    summary = severity_summary(drug, outcome, each.select("drug")).select("drug", F.col("serious_cases").alias("report_count"))
+    summary = severity_summary(t.drug, t.outcome, each.select("drug")).select("drug", F.col("serious_cases").alias("report_count"))
     order = Window.partitionBy("request_id").orderBy(F.desc("report_count"), "drug")
     compared = each.join(summary, "drug").withColumn("rank", F.row_number().over(order)).where("rank <= k")
     parts.append(_rows(compared, drug=F.col("drug")))
 
-    asked = of(PROFILE)
-    counted = top_side_effects_by_drug(drug, reac, None, asked.select("drug"), hot=hot)
+    counted = asked_of(counted, whole, "drug").select("drug", "side_effect", "report_count")
     place = F.rank().over(Window.partitionBy("drug").orderBy(F.desc("report_count")))
     counted = counted.withColumn("share", F.col("report_count") / F.sum("report_count").over(Window.partitionBy("drug"))).withColumn("rank", place)
     profile = asked.select("request_id", "kind", "drug", F.col("effect").alias("side_effect")).join(counted, ["drug", "side_effect"])
     parts.append(_rows(profile, drug=F.col("drug"), side_effect=effect, share=F.col("share")))
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result
+    return cut_lineage(reduce(DataFrame.unionByName, parts), "answers")
 
 
 def question_status(slots: DataFrame, answers: DataFrame) -> DataFrame:

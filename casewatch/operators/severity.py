@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 
 from casewatch.functions.columns import AGE_UNITS, age_status, age_years, is_death, is_severe, name_key
 from casewatch.operators.batch import only_drugs
-from casewatch.operators.counts import all_drugs, cases_with_both, drug_side, effect_counts, outcome_side, reaction_side, suspect_drugs
+from casewatch.operators.counts import all_drugs, by_outcome, cases_with_both, drug_side, effect_counts, reaction_side, severe_counts, suspect_drugs
 from casewatch.operators.reports import older_than, pair_cases, suspect_cases, top_severe, with_severe
 from casewatch.plans.lineage import cut_lineage
 from casewatch.plans.ranking import best_first, rank_by, top_k_per_key
 from casewatch.plans.sizing import broadcast_if_small, dealt, is_small
-from casewatch.plans.skew import HotKeys, Side, product_join
+from casewatch.plans.skew import HotKeys, Side, dealt_groups, hot_keys, product_join
 from casewatch.schemas import CASE, SEVERE_OUTCOMES
 
 # Weight of each severe outcome in the score, one unless the caller gives others.
@@ -141,62 +141,113 @@ def _in_segment(cases: DataFrame, demographics: DataFrame) -> DataFrame:
     return cases.where(~limited).unionByName(inside).withColumnRenamed("asked_sex", "sex")
 
 
-def effects_by_segments(
+def _segment_counts(
+    cases: DataFrame, reac: DataFrame, outcome: DataFrame | None, names: list[str], distinct_cases: bool, hot: HotKeys | None
+) -> DataFrame:
+    """(names, age_over, sex, side_effect, report_count) of cases in asked segments, with `outcome` also a column per
+    severe outcome: joined rows (a case counts `case_n` times), or distinct cases. Outcomes are counted before the join."""
+    codes = [] if outcome is None else list(SEVERE_OUTCOMES)
+    if outcome is not None:
+        cases = cases.join(severe_counts(outcome), CASE, "left")
+    weight = "case_n" if "case_n" in cases.columns else None
+    sides = [Side(cases, (*names, *SEGMENT), weight=weight), reaction_side(reac)]
+    hot = hot or hot_keys(sides, CASE)
+    by = [*names, *SEGMENT, "side_effect"]
+    joined = dealt_groups(product_join(sides, CASE, distinct_cases, hot), sides, hot, by)
+    times = {code: F.coalesce(F.col(code), F.lit(0)) for code in codes}
+    if distinct_cases:
+        times = {code: F.least(n, F.lit(1)) for code, n in times.items()}
+    return joined.groupBy(*by).agg(F.sum("n").alias("report_count"), *[F.sum(F.col("n") * n).alias(c) for c, n in times.items()])
+
+
+def asked_of(counted: DataFrame, requests: DataFrame, *names: str) -> DataFrame:
+    """The counts of the segments that the requests name."""
+    keys = [*names, *SEGMENT]
+    asked = broadcast_if_small(_asked_segments(requests, *names).withColumnRenamed("asked_sex", "sex")).alias("w")
+    return counted.alias("f").join(asked, [F.col(f"f.{c}").eqNullSafe(F.col(f"w.{c}")) for c in keys], "left_semi")
+
+
+def best_of_segments(counted: DataFrame, names: list[str], k: int | None, severe: bool) -> DataFrame:
+    """(names, age_over, sex, rank, side_effect, outcome_code, report_count): the top reactions, or the severe ones."""
+    keys = [*names, *SEGMENT]
+    rows = by_outcome(counted) if severe else counted.withColumn("outcome_code", F.lit(None).cast("string"))
+    ranked = top_k_per_key(rows, keys, k, best_first("report_count", "side_effect", *(["outcome_code"] if severe else [])))
+    return ranked.select(*keys, "rank", "side_effect", "outcome_code", "report_count")
+
+
+def asked_segment_counts(
     drug: DataFrame,
     reac: DataFrame,
     demographics: DataFrame,
     requests: DataFrame,
-    k: int | None = 10,
     outcome: DataFrame | None = None,
     hot: HotKeys | None = None,
 ) -> DataFrame:
-    """(drug, age_over, sex, rank, side_effect, outcome_code, report_count) for every (drug, age_over, sex) of a request
-    table, in one job: the top reactions, or with `outcome` the severe ones, of patients older than that and of that
-    sex. NULL means any. One request gives what `severe_by_segment` does."""
+    """Uncut counts for every (drug, age_over, sex) of a request table: all reports, with `outcome` also a column per
+    severe outcome."""
     asked = broadcast_if_small(_asked_segments(requests, "drug"))
     suspects = suspect_drugs(drug).filter(F.col(CASE).isNotNull())
     if hot is not None:
         suspects = dealt(suspects, hot.rows([drug_side(suspects)]), CASE)  # brought together before the requests multiply them
     cases = suspects.join(asked, "drug").groupBy(CASE, "drug", "age_over", "asked_sex").agg(F.count(F.lit(1)).alias("n"))
     inside = _in_segment(cases, demographics).withColumnRenamed("n", "case_n")
-    sides = [Side(inside, ("drug", *SEGMENT), weight="case_n"), reaction_side(reac)]
-    ties = ["side_effect"]
-    if outcome is not None:
-        sides.append(outcome_side(outcome))
-        ties.append("outcome_code")
-    counted = effect_counts(sides, ["drug", *SEGMENT, *ties], hot=hot)
-    if outcome is None:
-        counted = counted.withColumn("outcome_code", F.lit(None).cast("string"))
-    ranked = top_k_per_key(counted, ["drug", *SEGMENT], k, best_first("report_count", *ties))
-    return ranked.select("drug", *SEGMENT, "rank", "side_effect", "outcome_code", "report_count")
+    return _segment_counts(inside, reac, outcome, ["drug"], False, hot)
 
 
-def severe_pairs_by_segments(
+def effects_by_segments(
     drug: DataFrame,
     reac: DataFrame,
-    outcome: DataFrame,
     demographics: DataFrame,
     requests: DataFrame,
     k: int | None = 10,
+    outcome: DataFrame | None = None,
     hot: HotKeys | None = None,
 ) -> DataFrame:
-    """(drug1, drug2, age_over, sex, rank, side_effect, outcome_code, report_count) for every request, as
-    `severe_pair_by_segment` gives for one."""
+    """(drug, age_over, sex, rank, side_effect, outcome_code, report_count) for every (drug, age_over, sex) of a request
+    table, in one job: the top reactions, or with `outcome` the severe ones, of patients older than that and of that
+    sex. NULL means any. One request gives what `severe_by_segment` does."""
+    counted = asked_segment_counts(drug, reac, demographics, requests, outcome, hot)
+    return best_of_segments(counted, ["drug"], k, outcome is not None)
+
+
+def pair_segment_counts(
+    drug: DataFrame,
+    reac: DataFrame,
+    outcome: DataFrame,
+    demographics: DataFrame,
+    requests: DataFrame,
+    hot: HotKeys | None = None,
+) -> DataFrame:
+    """Uncut counts of distinct cases for every (drug1, drug2, age_over, sex) of a request table: all cases with both
+    drugs, and a column per severe outcome."""
     asked = _asked_segments(requests, "drug1", "drug2")
-    keys = ["drug1", "drug2", "age_over", "asked_sex"]
+    pair = ["drug1", "drug2"]
     places = F.array(F.struct(F.col("drug1").alias("drug"), F.lit(1).alias("place")), F.struct(F.col("drug2").alias("drug"), F.lit(2).alias("place")))
-    named = asked.select("*", F.inline(places))
+    named = asked.select(*pair).distinct().select("*", F.inline(places))
     if is_small(named):
-        both = cases_with_both(drug, named, keys, hot)
+        both = cases_with_both(drug, named, pair, hot)
     else:
-        hits = all_drugs(drug).join(named, "drug").groupBy(CASE, *keys).agg(_flag(F.col("place") == 1).alias("has1"), _flag(F.col("place") == 2).alias("has2"))
-        both = hits.where("has1 = 1 AND has2 = 1").select(CASE, *keys)
-    both = both.withColumn("n", F.lit(1).cast("bigint"))
+        hits = all_drugs(drug).join(named, "drug").groupBy(CASE, *pair).agg(_flag(F.col("place") == 1).alias("has1"), _flag(F.col("place") == 2).alias("has2"))
+        both = hits.where("has1 = 1 AND has2 = 1").select(CASE, *pair)
+    # A pair's segments multiply only the cases that have both drugs.
+    both = both.join(broadcast_if_small(asked), pair).withColumn("n", F.lit(1).cast("bigint"))
     inside = _in_segment(both, demographics).drop("n")
-    sides = [Side(inside, ("drug1", "drug2", *SEGMENT)), reaction_side(reac), outcome_side(outcome)]
-    counted = effect_counts(sides, ["drug1", "drug2", *SEGMENT, "side_effect", "outcome_code"], True, hot)
-    ranked = top_k_per_key(counted, ["drug1", "drug2", *SEGMENT], k, best_first("report_count", "side_effect", "outcome_code"))
-    return ranked.select("drug1", "drug2", *SEGMENT, "rank", "side_effect", "outcome_code", "report_count")
+    return _segment_counts(inside, reac, outcome, ["drug1", "drug2"], True, hot)
+
+
+def severe_pairs_by_segments(
+    drug: DataFrame,
+    reac: DataFrame,
+    outcome: DataFrame,
+    demographics: DataFrame,
+    requests: DataFrame,
+    k: int | None = 10,
+    hot: HotKeys | None = None,
+) -> DataFrame:
+    """(drug1, drug2, age_over, sex, rank, side_effect, outcome_code, report_count) for every request, as
+    `severe_pair_by_segment` gives for one."""
+    counted = pair_segment_counts(drug, reac, outcome, demographics, requests, hot)
+    return best_of_segments(counted, ["drug1", "drug2"], k, True)
 
 
 def age_summary(demographics: DataFrame, units: Mapping[str, float] = AGE_UNITS) -> DataFrame:
