@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from casewatch.llm.batches import by_value, slices
+from casewatch.llm.batches import bounded, by_value, slices
 from casewatch.llm.range_coder import BLOCK, LANES, decode, encode
 from casewatch.llm.tokens import END, encoder
 from casewatch.plans.lineage import new_dir
@@ -27,6 +27,8 @@ by_value(__name__)
 
 # Ids of a segment: as many blocks as are coded at a time. A document is never split over segments.
 SEGMENT = BLOCK * LANES
+# Texts tokenised at a time, and their bytes, at most (a longer text goes alone).
+TEXTS, TEXT_BYTES = 256, 1 << 20
 
 _LONG = T.LongType()
 
@@ -65,7 +67,7 @@ def _writing(tokenizer: str, key: str, segment: int):
                 names=["part", "segment", "before", "n_ids", "keys", "lengths", "stream"],
             )
 
-        for batch in slices(batches, 32):
+        for batch in bounded(batches, "text", TEXTS, TEXT_BYTES):
             for found in ids_of.encode(batch.column("text").to_pylist()):
                 held.append(np.append(found.astype(np.uint32), np.uint32(END)))
                 lengths.append(len(held[-1]))

@@ -8,10 +8,13 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import sys
 import types
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from casewatch.llm.batches import by_value
 
@@ -26,6 +29,11 @@ JOINED = 64
 END = 1
 # Signs that may follow a word and are a word of the tokenizer by themselves (an apostrophe is not always one).
 _TAIL = ".,!?;:*#$%&|()[]{}<>/\\=+-_~^@\""
+# Byte-level tokenizers write bytes as signs: those of Latin-1 that can be seen as themselves, the others from U+0100 on.
+_SEEN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_SIGNS = {byte: chr(0x100 + n) for n, byte in enumerate(sorted(set(range(0x100)).difference(_SEEN))) if byte != 0x20}
+# A sign at the end of a stretch, after a letter: always a word of its own. Cut off, it leaves a stretch met more often.
+_SIGN = re.compile(r"[.,;:!?](?= |\Z)(?<=[a-z].)")
 # Lives as long as the worker process; task code itself is loaded anew for every task.
 _STATE = "casewatch_worker_state"
 
@@ -50,10 +58,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        # For lower-case words of letters the tokenizer's own normalising and splitting change nothing.
+        # For lower-case words of letters the tokenizer's own normalising and splitting change nothing, and its signs for
+        # bytes are put in beforehand.
         plain = json.loads(self.tokenizer.to_str())
-        parts = [{"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]
-        self.plain = Tokenizer.from_str(json.dumps({**plain, "normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": parts}}))
+        self.plain = Tokenizer.from_str(json.dumps({**plain, "normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}}))
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids do not fit 16 bits")
         vocabulary = self.tokenizer.get_vocab()
@@ -66,6 +74,7 @@ class Encoder:
     def _letters(self, words: list[str]) -> list[bytes] | None:
         """Ids of lower-case words of letters, which end in an id of the word end: many take one call."""
         joined = [" ".join(words[start : start + JOINED]) for start in range(0, len(words), JOINED)]
+        joined = [j if j.isascii() else j.encode().decode("latin-1").translate(_SIGNS) for j in joined]
         found = [np.array(f.ids, "<u2") for f in self.plain.encode_batch_fast(joined, add_special_tokens=False)]
         ids = np.concatenate(found) if found else np.empty(0, "<u2")
         stops = (2 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
@@ -92,10 +101,12 @@ class Encoder:
             else:
                 tailed.append((word, body))
         if tailed:
-            parts = {body for _, body in tailed}.difference(letters, young)
+            parts = {body for _, body in tailed}.difference(letters)
             parts.update([word[len(body) :] for word, body in tailed])
-            parts.difference_update(young)
+            # Taking all of `young` from the parts would go through it as a whole.
             for part in parts:
+                if part in young:
+                    continue
                 if (known := recall(part)) is not None:
                     young[part] = known
                 elif part.isalpha():
@@ -122,14 +133,24 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text as 16-bit numbers; a null text has none. Many short texts at a time are faster."""
-        split = [_lowered(t).replace("\n", " ").split(" ") if t else [] for t in texts]
+        lowered = [_SIGN.sub(r" \g<0>", _lowered(t).replace("\n", " ")) if t else "" for t in texts]
+        split = pc.split_pattern(pa.array(lowered, pa.large_string()), " ")
+        words = split.flatten().dictionary_encode()
+        distinct = words.dictionary.to_numpy(zero_copy_only=False).tolist()  # much faster than to_pylist
         if self.characters > KEPT:
             self.old, self.young, self.characters = self.young, {"": b""}, 0
-        missing = set().union(*split).difference(self.young)
+        missing = set(distinct).difference(self.young)
         self._learn(missing)
-        found = [np.frombuffer(b"".join(map(self.young.__getitem__, words)), "<u2") for words in split]
+        found = list(map(self.young.__getitem__, distinct))
         self._forget(missing)
-        return found
+        # Each word's ids are taken from those of the distinct words.
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 2
+        starts, which = np.cumsum(sizes) - sizes, words.indices.to_numpy()
+        size = sizes.take(which)
+        ends = np.append(0, np.cumsum(size))
+        ids = np.frombuffer(b"".join(found), "<u2").take(np.arange(ends[-1]) + np.repeat(starts.take(which) - ends[:-1], size))
+        cuts = ends.take(split.offsets.to_numpy()).tolist()
+        return [ids[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
 def encoder(path: str) -> Encoder:

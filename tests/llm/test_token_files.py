@@ -7,6 +7,7 @@ from tokenizers import Tokenizer
 
 from casewatch.llm import range_coder as rc
 from casewatch.llm import token_files as tf
+from casewatch.llm.tokens import Encoder
 from casewatch.plans.lineage import new_dir
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -34,6 +35,54 @@ def test_text_is_smaller_and_damage_is_seen():
         rc.encode(np.array([1 << 16]))
 
 
+def test_shared_model_needs_fewer_bits_than_single_ids():
+    rng = np.random.default_rng(2)
+    words = [rng.zipf(1.3, rng.integers(1, 4)) % 3_000 for _ in range(2_000)]
+    ids = np.concatenate([words[w] for w in rng.zipf(1.2, 60_000) % 2_000]).astype(np.uint32)
+    chance = np.bincount(ids) / len(ids)
+    chance = chance[chance > 0]
+    stream = rc.encode(ids)
+    assert rc.decode(stream).tolist() == ids.tolist()
+    assert 8 * len(stream) < -(chance * np.log2(chance)).sum() * len(ids)
+
+
+def test_all_ids_are_equally_frequent():
+    ids = np.random.default_rng(3).permutation(np.tile(np.arange(1 << 16), 3)).astype(np.uint32)
+    stream = rc.encode(ids)
+    assert (rc.decode(stream) == ids).all() and len(stream) < 2.5 * len(ids)
+
+
+def test_lanes_and_blocks_that_are_not_full(monkeypatch):
+    rng = np.random.default_rng(4)
+    for block, lanes, short in ((5, 7, 3), (300, 2, 256), (1, 1, 1)):
+        monkeypatch.setattr(rc, "BLOCK", block)
+        monkeypatch.setattr(rc, "LANES", lanes)
+        monkeypatch.setattr(rc, "SHORT", short)
+        for count in (1, 2, block, block * lanes - 1, block * lanes, block * lanes + 1, 2 * block * lanes + 5):
+            ids = rng.integers(0, 40, count).astype(np.uint32)
+            assert rc.decode(rc.encode(ids)).tolist() == ids.tolist()
+
+
+def test_learning_words_does_not_go_through_all_kept_ones():
+    class Kept(dict):
+        def __iter__(self):
+            raise AssertionError("went through all kept words")
+
+    ids_of, whole = Encoder(PATH), Tokenizer.from_file(PATH)
+    ids_of.young = Kept(ids_of.young)
+    ids_of._learn({"first", "words,", "more..."})
+    for word in ("first", "words,", "more..."):
+        assert np.frombuffer(ids_of.young[word], "<u2").tolist() == whole.encode(word, add_special_tokens=False).ids
+
+
+def test_ids_are_the_tokenizers():
+    rng, whole, ids_of = np.random.default_rng(5), Tokenizer.from_file(PATH), Encoder(PATH)
+    signs = [*"abcßéàñşħABÉ.,;!?'|<> \n\t0", "'s", "'re", ",,", ".,", ", ", ". ", " ,", "é", "\u0301", "\u00a0", "日", "İ", "<|endoftext|>"]
+    texts = [None, "", *("".join(rng.choice(signs, rng.integers(1, 50))) for _ in range(2_000))]
+    for text, ids in zip(texts, ids_of.encode(texts)):
+        assert ids.tolist() == whole.encode(text or "", add_special_tokens=False).ids
+
+
 def test_documents(spark):
     texts = ["first words", None, "", "same", "same", "a longer text, " * 40, "ünï"]
     ids = [4, 9, None, 1, 1, 7, 3]
