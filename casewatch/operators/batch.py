@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,15 +15,33 @@ from casewatch.operators.counts import (
     effect_counts,
     outcome_side,
     reaction_side,
+    reactions,
     segment_side,
     segments,
     severe_counts,
     suspect_drugs,
 )
 from casewatch.plans.lineage import cut_lineage
-from casewatch.plans.ranking import best_first, top_k_per_key
+from casewatch.plans.ranking import best_first, coded, decoded, name_codes, top_k_per_key
 from casewatch.plans.sizing import broadcast_if_small, dealt, is_small
-from casewatch.plans.skew import HotKeys, Side, cool_join, dealt_groups, hot_join, hot_keys, product_join, task_parts
+from casewatch.plans import skew
+from casewatch.plans.skew import (
+    CELL,
+    CELLS,
+    HotKeys,
+    Side,
+    by_value,
+    cool_join,
+    cool_rows,
+    dealt_groups,
+    heavy_values,
+    hot_join,
+    hot_keys,
+    in_cell,
+    joined_parts,
+    product_join,
+    task_parts,
+)
 from casewatch.schemas import CASE, SEVERE_OUTCOMES
 
 PAIR = ["drug1", "drug2"]
@@ -163,11 +181,15 @@ def pair_interactions_all(drug: DataFrame, reac: DataFrame, k: int | None = 10,
 
     Only pairs with at least `min_cases` distinct cases are kept. A drug with fewer cases is in no such
     pair; when the other drugs are few enough to broadcast, it leaves before the join. Pairs are counted
-    before they meet reactions, and where those kept are few enough the others do not. A case with very
-    many drugs is cut into a grid of parts, and its pairs do not meet its reactions one by one (see
-    `_with_hot_cases`).
+    before they meet reactions, and where those kept are few enough the others do not. Where the pairs of all
+    cases with their reactions are many, they are made where a reaction's rows are, and do not move (see
+    `_counted_by_reaction`). A case with very many drugs is cut into a grid of parts, and its pairs do not meet its
+    reactions one by one (see `_with_hot_cases`).
     """
-    in_case = all_drugs(drug)
+    # Written once, as they are checked, counted and joined.
+    known = F.col(CASE).isNotNull()
+    in_case = cut_lineage(all_drugs(drug).filter(known), "drugs")
+    effects = Side(cut_lineage(reactions(reac).filter(known), "reactions"), ("side_effect",))
     if min_cases > 1:
         once = dealt(in_case, in_case.count(), CASE).distinct()
         frequent = once.groupBy("drug").agg(F.count(CASE).alias("n")).filter(F.col("n") >= min_cases)
@@ -178,20 +200,24 @@ def pair_interactions_all(drug: DataFrame, reac: DataFrame, k: int | None = 10,
         Side(in_case.withColumnRenamed("drug", "drug1"), ("drug1",), rows_per_part=PAIR_PART_ROWS),
         Side(in_case.withColumnRenamed("drug", "drug2"), ("drug2",), rows_per_part=PAIR_PART_ROWS, twin=0),
     ]
-    sides = [*pair, reaction_side(reac)]
+    sides = [*pair, effects]
     hot = hot_keys(sides, CASE)
-    join = cool_join if k is not None else product_join
-    triples = join(sides, CASE, hot=hot, distinct=True).filter("drug1 < drug2")
+    few = None
     if min_cases > 1:
         pairs = product_join(pair, CASE, True, hot).filter("drug1 < drug2")
         enough = pairs.groupBy(*PAIR).agg(F.sum("n").alias("cases")).filter(F.col("cases") >= min_cases)
         enough = cut_lineage(enough.select(*PAIR))
-        if is_small(enough):
-            triples = triples.join(F.broadcast(enough), PAIR, "left_semi")
+        few = enough if is_small(enough) else None
     found = [*PAIR, "side_effect"]
-    counted = dealt_groups(triples, sides, hot, found).groupBy(*found).agg(F.sum("n").alias("n"))
+    parts = joined_parts(sides, hot)
+    if parts is not None and (hot.keys is None or k is not None):
+        counted = _counted_by_reaction(sides, hot, parts, few)
+    else:
+        join = cool_join if k is not None else product_join
+        triples = _of_pairs(join(sides, CASE, hot=hot, distinct=True).filter("drug1 < drug2"), few)
+        counted = dealt_groups(triples, sides, hot, found).groupBy(*found).agg(F.sum("n").alias("n"))
     if hot.keys is not None and k is not None:
-        counted = _with_hot_cases(counted, pair, sides[2], hot, k)
+        counted = _with_hot_cases(counted, pair, effects, hot, k)
     counted = counted.select(
         *PAIR, F.col("side_effect").alias("shared_side_effect"), F.col("n").alias("shared_report_count")
     )
@@ -202,6 +228,44 @@ def pair_interactions_all(drug: DataFrame, reac: DataFrame, k: int | None = 10,
     return ranked
 
 
+def _of_pairs(rows: DataFrame, pairs: DataFrame | None) -> DataFrame:
+    return rows if pairs is None else rows.join(F.broadcast(pairs), PAIR, "left_semi")
+
+
+def _counted_by_reaction(sides: list[Side], hot: HotKeys, parts: int, pairs: DataFrame | None) -> DataFrame:
+    """(drug1, drug2, side_effect, n) over the cases that are not hot, of all pairs or those of a small table.
+
+    A row for each case and reaction moves, with the drugs of the case. The pairs are made where the rows of a reaction
+    are, and are counted there: their number, and that of their groups, changes nothing of what is shuffled. A reaction
+    of very many rows is cut by the first drugs of its pairs.
+    """
+    drugs, _, effects = sides
+    # Names move as numbers in their order, where these are few enough to be sent to every task.
+    drug_codes = name_codes(drugs.df, "drug1")
+    effect_codes = name_codes(effects.df, "side_effect")
+    drugs = replace(drugs, df=coded(drugs.df, "drug1", drug_codes))
+    effects = replace(effects, df=coded(effects.df, "side_effect", effect_codes))
+    # About: as if the cases of all reactions were alike.
+    made = hot.rows(sides) / 2 / max(hot.rows([effects]), 1)
+    weights = effects.df.groupBy("side_effect").agg((F.count(F.lit(1)) * made).alias("weight"))
+    heavy = heavy_values(weights, "side_effect", skew.TASK_JOINED)
+
+    in_case = cool_rows(drugs, CASE, hot.keys, True, parts).groupBy(CASE)
+    in_case = in_case.agg(F.sort_array(F.collect_list("drug1")).alias("drugs")).filter(F.size("drugs") > 1)
+    met = cool_rows(effects, CASE, hot.keys, True, parts).join(in_case, CASE).select("side_effect", "drugs")
+    met = by_value(met, "side_effect", F.col("drugs"), heavy, parts)
+    first = met.select("side_effect", CELL, CELLS, "drugs", F.posexplode("drugs").alias("place", "drug1"))
+    first = first.filter((F.col("place") < F.size("drugs") - 1) & in_cell("drug1"))
+    later = F.slice("drugs", F.col("place") + 2, F.size("drugs"))
+    both = first.select("side_effect", CELL, "drug1", F.explode(later).alias("drug2"))
+    if pairs is not None:
+        for name in PAIR:
+            pairs = coded(pairs, name, drug_codes)
+    counted = _of_pairs(both, pairs).groupBy(*PAIR, "side_effect", CELL).agg(F.count(F.lit(1)).alias("n"))
+    counted = decoded(counted.select(*PAIR, "side_effect", "n"), "side_effect", effect_codes)
+    return decoded(decoded(counted, "drug1", drug_codes), "drug2", drug_codes)
+
+
 def _with_hot_cases(counted: DataFrame, pair: list[Side], reactions: Side, hot: HotKeys, k: int) -> DataFrame:
     """Counts per pair and reaction including hot cases, complete for the best `k` reactions of every pair.
 

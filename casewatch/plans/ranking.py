@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from casewatch.plans.lineage import cut_lineage
+from casewatch.plans.sizing import is_small
 
 
 def best_first(count: str, *ties: str) -> list[Column]:
@@ -48,6 +49,33 @@ def dense_ids(df: DataFrame, key: str, id_column: str = "id") -> DataFrame:
     )
 
 
+def name_codes(df: DataFrame, column: str) -> DataFrame | None:
+    """(_name, _code): whole numbers in the order of the names of a column, to be broadcast; None where these are too
+    many for that."""
+    names = cut_lineage(df.select(F.col(column).alias("_name")).filter("_name is not null").distinct(), "names")
+    if not is_small(names):
+        return None
+    numbered = dense_ids(names, "_name", "_code")
+    return cut_lineage(numbered.select("_name", F.col("_code").cast("int").alias("_code")), "codes")
+
+
+def coded(df: DataFrame, column: str, codes: DataFrame | None) -> DataFrame:
+    """The codes of names in place of them, where there are any; NULL stays."""
+    if codes is None:
+        return df
+    # Counted in `name_codes`.
+    met = df.join(F.broadcast(codes), F.col(column) == F.col("_name"), "left")
+    return met.withColumn(column, F.col("_code")).select(df.columns)
+
+
+def decoded(df: DataFrame, column: str, codes: DataFrame | None) -> DataFrame:
+    """The names again in place of their codes."""
+    if codes is None:
+        return df
+    met = df.join(F.broadcast(codes), F.col(column) == F.col("_code"), "left")
+    return met.withColumn(column, F.col("_name")).select(df.columns)
+
+
 def rank_by(df: DataFrame, column: str, rank_column: str) -> DataFrame:
     """SQL rank() of every row by `column` descending, over the whole of `df`.
 

@@ -5,6 +5,9 @@ owns the key. `product_join` first counts rows per key. Where no key makes much
 one. Hot keys are joined apart: their rows are reduced to distinct values with a count, and the key is
 cut into a grid (`spread`): every side is an axis, its rows are divided over that axis by the hash of
 their values and copied along the other axes. Each result row is made in exactly one grid cell.
+
+Where the joined rows are only to be counted by a value of one side, they need not move: `by_value` brings the rows of a
+value together with what they are to be joined with as an array, and the joined rows are made and counted there.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from math import prod
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CELL = "_cell"
+CELL, CELLS = "_cell", "_cells"
 # Joined rows one key may make in a single task.
 MAX_KEY_PRODUCT = 10_000_000
 # Keys treated apart. By the pigeonhole rule a key beyond them makes less than 1/MAX_HOT_KEYS of the work.
@@ -27,6 +30,8 @@ ROWS_PER_PART = 4_096
 MAX_PARTS = 64
 # Joined rows that a task makes or counts at a time, about.
 TASK_JOINED = 2_000_000
+# A value that makes the rows of more than so many tasks is cut.
+HEAVY_TASKS = 8
 
 
 @dataclass(frozen=True)
@@ -148,6 +153,40 @@ def dealt_groups(joined: DataFrame, sides: list[Side], hot: HotKeys, by: list[st
     return joined if parts is None or levels * hot.groups(sides) <= fitting else joined.repartition(parts, *by)
 
 
+def joined_parts(sides: list[Side], hot: HotKeys) -> int | None:
+    """`task_parts` of the rows that the join of the sides makes."""
+    return task_parts(sides[0].df.sparkSession, hot.rows(sides))
+
+
+def heavy_values(weights: DataFrame, value: str, task_rows: int) -> DataFrame | None:
+    """(value, _cells) of the values that make more than HEAVY_TASKS * task_rows rows, or None; few, as all other rows
+    make as many tasks. `weights` has the rows a value makes as (value, weight)."""
+    cells = F.least(F.ceil(F.col("weight") / task_rows), F.lit(MAX_PARTS)).cast("bigint")
+    found = weights.filter(F.col("weight") > HEAVY_TASKS * task_rows).select(value, cells.alias(CELLS))
+    rows = found.collect()
+    return weights.sparkSession.createDataFrame(rows, found.schema) if rows else None
+
+
+def by_value(rows: DataFrame, value: str, members: Column, heavy: DataFrame | None, parts: int) -> DataFrame:
+    """Rows by the hash of `value` in `parts` tasks, with `_cell` and `_cells`.
+
+    A row of a heavy value (see `heavy_values`) is copied to the cells of its `members`, an array; each cell makes the
+    joined rows of its own members only (`in_cell`). Grouped by the value, `_cell` and more, rows do not move again.
+    """
+    if heavy is None:
+        return rows.repartition(parts, value).withColumns({CELL: F.lit(0).cast("bigint"), CELLS: F.lit(None).cast("bigint")})
+    known = F.broadcast(heavy.withColumnRenamed(value, "_heavy"))  # few, see `heavy_values`
+    marked = rows.join(known, F.col(value).eqNullSafe(F.col("_heavy")), "left").drop("_heavy")
+    cells = F.array_distinct(F.transform(members, lambda member: F.pmod(F.xxhash64(member), F.col(CELLS))))
+    own = F.when(F.col(CELLS).isNull(), F.array(F.lit(0).cast("bigint"))).otherwise(cells)
+    return marked.withColumn(CELL, F.explode(own)).repartition(parts, value, CELL)
+
+
+def in_cell(member: str) -> Column:
+    """Whether a member of a row's array has its joined rows made in the row's cell."""
+    return F.col(CELLS).isNull() | (F.pmod(F.xxhash64(member), F.col(CELLS)) == F.col(CELL))
+
+
 def heavy_parts(sides: list[Side], key: str, max_keys: int = MAX_HOT_KEYS) -> DataFrame:
     """At most `max_keys` keys with their number of parts per axis; other keys stay in one cell."""
     axes = [i for i, side in enumerate(sides) if side.by]
@@ -236,7 +275,7 @@ def cool_join(sides: list[Side], key: str, hot: HotKeys, distinct: bool = False)
     """The part of `product_join` for the keys that are not hot: a plain join, in tasks that make a bounded number of
     rows where every side is divided."""
     parts = task_parts(sides[0].df.sparkSession, hot.rows(sides)) if all(side.by and not side.optional for side in sides) else None
-    tables = [_cool_rows(side, key, hot.keys, distinct, parts) for side in sides]
+    tables = [cool_rows(side, key, hot.keys, distinct, parts) for side in sides]
     return _weighed(_join_all(tables, sides, [key]), [None if distinct else side.weight for side in sides])
 
 
@@ -249,7 +288,8 @@ def hot_join(
     return _weighed(split, [f"_w{i}" for i in range(len(sides))])
 
 
-def _cool_rows(side: Side, key: str, hot: DataFrame | None, distinct: bool, parts: int | None) -> DataFrame:
+def cool_rows(side: Side, key: str, hot: DataFrame | None, distinct: bool, parts: int | None) -> DataFrame:
+    """The rows of a side whose key is not hot, by their key; with `distinct` each once."""
     rows = side.df
     if hot is not None:
         rows = rows.join(F.broadcast(hot), key, "left_anti")
