@@ -248,7 +248,7 @@ def _counted_by_reaction(sides: list[Side], hot: HotKeys, parts: int, pairs: Dat
     # About: as if the cases of all reactions were alike.
     made = hot.rows(sides) / 2 / max(hot.rows([effects]), 1)
     weights = effects.df.groupBy("side_effect").agg((F.count(F.lit(1)) * made).alias("weight"))
-    heavy = heavy_values(weights, "side_effect", skew.TASK_JOINED)
+    heavy = heavy_values(weights, ["side_effect"], skew.TASK_JOINED)
 
     in_case = cool_rows(drugs, CASE, hot.keys, True, parts).groupBy(CASE)
     in_case = in_case.agg(F.sort_array(F.collect_list("drug1")).alias("drugs")).filter(F.size("drugs") > 1)

@@ -18,8 +18,9 @@ from casewatch.operators.answers import PAIR, SEGMENT, SEVERE, TOP, answer_rows,
 from casewatch.operators.case_sets import pair_interactions_from_sets
 from casewatch.operators.counts import reactions, segments, severe_outcomes, suspect_drugs
 from casewatch.plans.lineage import cut_lineage
-from casewatch.plans.ranking import best_first, top_k_per_key
+from casewatch.plans.ranking import best_first, coded, decoded, name_codes, top_k_per_key
 from casewatch.plans.sizing import broadcast_if_small
+from casewatch.plans.skew import heavy_values
 from casewatch.schemas import CASE
 
 EFFECT, OUTCOME, BY_SEGMENT = "effect", "outcome", "segment"
@@ -41,8 +42,8 @@ def _of_kind(rows: DataFrame, kind: int, a: str, b: str | None = None) -> DataFr
 def case_rows(drug: DataFrame, reac: DataFrame, outcome: DataFrame, demographics: DataFrame) -> DataFrame:
     """One row per case with its different suspect drugs, reactions, severe outcomes and segments, each with its count.
 
-    All four tables meet in one aggregation by case, after equal values of a case have been counted apart, so a case
-    holds no more than its different values. Cases without suspect drug or reaction are left out.
+    All four tables move once, by case, and meet there. Equal values of a case are counted apart first, so a case holds
+    no more than its different values. Cases without suspect drug or reaction are left out.
     """
     rows = [
         _of_kind(suspect_drugs(drug), _DRUG, "drug"),
@@ -51,7 +52,9 @@ def case_rows(drug: DataFrame, reac: DataFrame, outcome: DataFrame, demographics
         _of_kind(segments(demographics), _SEGMENT, "age_grp", "sex"),
     ]
     together = reduce(DataFrame.union, rows).where(F.col(CASE).isNotNull())
-    counted = together.groupBy(CASE, "kind", "a", "b").agg(F.count(F.lit(1)).alias("n"))
+    # By number: joined to fewer by their stored size, tasks would hold very many rows.
+    by_case = together.repartition(int(together.sparkSession.conf.get("spark.sql.shuffle.partitions")), CASE)
+    counted = by_case.groupBy(CASE, "kind", "a", "b").agg(F.count(F.lit(1)).alias("n"))
 
     def held(kind: int, *names: tuple[str, str]) -> Column:
         value = F.struct(*[F.col(c).alias(name) for c, name in names], F.col("n"))
@@ -74,43 +77,86 @@ def _level(level: str, n: Column, **values: Column) -> Column:
     return F.struct(F.lit(level), *[values.get(c, none) for c in ("outcome_code", "age_grp", "sex")], n)
 
 
-def _counted(drugs: DataFrame) -> DataFrame:
-    """(drug, drug_n, effects, outcomes, segments) rows, one per case and drug, to rows of the cube."""
-    levels = F.concat(
+def _case_levels() -> Column:
+    """The levels that a case counts at, in one order whatever the order of its values."""
+    return F.concat(
         F.array(_level(EFFECT, F.lit(1).cast("bigint"))).cast(_LEVELS),
-        F.transform("outcomes", lambda o: _level(OUTCOME, o["n"], outcome_code=o["outcome_code"])).cast(_LEVELS),
-        F.transform("segments", lambda s: _level(BY_SEGMENT, s["n"], age_grp=s["age_grp"], sex=s["sex"])).cast(_LEVELS),
+        F.transform(F.sort_array("outcomes"), lambda o: _level(OUTCOME, o["n"], outcome_code=o["outcome_code"])).cast(_LEVELS),
+        F.transform(F.sort_array("segments"), lambda s: _level(BY_SEGMENT, s["n"], age_grp=s["age_grp"], sex=s["sex"])).cast(_LEVELS),
     )
-    effects = drugs.select("drug", "drug_n", levels.alias("levels"), F.inline("effects").alias("side_effect", "effect_n"))
-    each = effects.select("drug", "side_effect", (F.col("drug_n") * F.col("effect_n")).alias("n"), F.inline("levels"))
+
+
+def _pairs(cases: DataFrame, heavy: bool) -> DataFrame:
+    """(drug, side_effect, n, levels), a row for each drug and reaction of a case; `heavy` where cases may have very many:
+    their drugs are dealt over tasks."""
+    pairs = F.size("drugs").cast("bigint") * F.size("effects")
+    given = cases.select(CASE, pairs.alias("pairs"), "effects", "levels", F.inline("drugs").alias("drug", "drug_n"))
+    if heavy:
+        many = given.where(F.col("pairs") > MAX_CASE_PAIRS).repartition(CASE, "drug")
+        given = given.where(F.col("pairs") <= MAX_CASE_PAIRS).unionByName(many)
+    each = given.select("drug", "drug_n", F.inline("effects").alias("side_effect", "effect_n"), "levels")
+    return each.select("drug", "side_effect", (F.col("drug_n") * F.col("effect_n")).alias("n"), "levels")
+
+
+def _counted(pairs: DataFrame) -> DataFrame:
+    """Rows of `_pairs` to rows of the cube; rows that are dealt by drug and reaction do not move."""
+    each = pairs.select("drug", "side_effect", "n", F.inline("levels"))
     return each.groupBy("level", *KEYS).agg(
         F.sum(F.col("n") * F.col("times")).alias("report_count"), F.count(F.lit(1)).alias("case_count")
     )
 
 
+def _heavy_pairs(pairs: DataFrame) -> DataFrame | None:
+    """The drugs with a reaction that count the levels of very many tasks, or None; few."""
+    sizes = pairs.select("drug", "side_effect", F.size("levels").alias("weight"))
+    effects = heavy_values(sizes.groupBy("side_effect").agg(F.sum("weight").alias("weight")), ["side_effect"], TASK_LEVELS)
+    if effects is None:
+        return None
+    same = F.col("side_effect").eqNullSafe(F.col("_heavy"))
+    met = sizes.join(F.broadcast(effects.select(F.col("side_effect").alias("_heavy"))), same, "left_semi")
+    found = met.groupBy("drug", "side_effect").agg(F.sum("weight").alias("weight"))
+    heavy = heavy_values(found, ["drug", "side_effect"], TASK_LEVELS)
+    return None if heavy is None else heavy.select(F.col("drug").alias("_drug"), F.col("side_effect").alias("_effect"))
+
+
 def count_cube(drug: DataFrame, reac: DataFrame, outcome: DataFrame, demographics: DataFrame) -> DataFrame:
     """(level, drug, side_effect, outcome_code, age_grp, sex, report_count, case_count) over all cases.
 
-    `report_count` counts joined rows and `case_count` distinct cases, as the reports do.
+    `report_count` counts joined rows and `case_count` distinct cases, as the reports do. Where the rows of all levels
+    are many they do not move: a row for each drug and reaction of a case does, in numbers, and the levels are made and
+    counted where all rows of a drug and a reaction are. Those of very many rows are counted before their shuffle.
     """
-    cases = cut_lineage(case_rows(drug, reac, outcome, demographics), "cases")
+    rows = case_rows(drug, reac, outcome, demographics)
+    cases = cut_lineage(rows.select(CASE, "drugs", "effects", _case_levels().alias("levels")), "cases")
     pairs = F.size("drugs").cast("bigint") * F.size("effects")
-    given = [F.inline("drugs").alias("drug", "drug_n"), "effects", "outcomes", "segments"]
-    levels = pairs * (1 + F.size("outcomes") + F.size("segments"))
-    most, rows = cases.agg(F.coalesce(F.max(pairs), F.lit(0)), F.coalesce(F.sum(levels), F.lit(0))).first()
+    most, rows = cases.agg(F.coalesce(F.max(pairs), F.lit(0)), F.coalesce(F.sum(pairs * F.size("levels")), F.lit(0))).first()
+    each = _pairs(cases, most > MAX_CASE_PAIRS)
     # What a file split of cases makes grows with the file; the counts of a task must not.
     parts = -(-rows // TASK_LEVELS)
-    if parts > max(cases.sparkSession.sparkContext.defaultParallelism, 1):
-        cases = cases.repartition(parts, CASE)
-    if most <= MAX_CASE_PAIRS:
-        return _counted(cases.select(*given))
-    many = cases.where(pairs > MAX_CASE_PAIRS).select(CASE, *given).repartition(CASE, "drug").drop(CASE)
-    return _counted(cases.where(pairs <= MAX_CASE_PAIRS).select(*given).unionByName(many))
+    if parts <= max(cases.sparkSession.sparkContext.defaultParallelism, 1):
+        return _counted(each)
+    names = {"drug": F.inline("drugs").alias("drug", "n"), "side_effect": F.inline("effects").alias("side_effect", "n")}
+    codes = {c: name_codes(cases.select(values), c) for c, values in names.items()}
+    profiles = name_codes(cases, "levels")
+    heavy = _heavy_pairs(each)
+    light = _pairs(coded(cases, "levels", profiles), most > MAX_CASE_PAIRS)
+    if heavy is not None:
+        same = F.col("drug").eqNullSafe(F.col("_drug")) & F.col("side_effect").eqNullSafe(F.col("_effect"))
+        light = light.join(F.broadcast(heavy), same, "left_anti")
+    for name in codes:
+        light = coded(light, name, codes[name])
+    counted = _counted(decoded(light.repartition(parts, "drug", "side_effect"), "levels", profiles))
+    for name in codes:
+        counted = decoded(counted, name, codes[name])
+    return counted if heavy is None else counted.unionByName(_counted(each.join(F.broadcast(heavy), same, "left_semi")))
 
 
 def write_cube(cube: DataFrame, folder: str, part: str) -> None:
-    """Write the counts of one part; only the folders of that part are touched."""
-    rows = cube.withColumn("part", F.lit(part)).repartition("level", "drug")
+    """Write the counts of one part; only the folders of that part are touched.
+
+    Rows stay in the tasks that counted them, so a frequent drug fills no task; files are sorted by drug.
+    """
+    rows = cube.withColumn("part", F.lit(part))
     writer = rows.sortWithinPartitions("level", "drug").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
     writer.partitionBy("part", "level").parquet(folder)
 

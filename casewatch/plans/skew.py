@@ -158,11 +158,11 @@ def joined_parts(sides: list[Side], hot: HotKeys) -> int | None:
     return task_parts(sides[0].df.sparkSession, hot.rows(sides))
 
 
-def heavy_values(weights: DataFrame, value: str, task_rows: int) -> DataFrame | None:
-    """(value, _cells) of the values that make more than HEAVY_TASKS * task_rows rows, or None; few, as all other rows
-    make as many tasks. `weights` has the rows a value makes as (value, weight)."""
+def heavy_values(weights: DataFrame, value: list[str], task_rows: int) -> DataFrame | None:
+    """(*value, _cells) of the values that make more than HEAVY_TASKS * task_rows rows, or None; few, as each makes
+    several tasks of all. `weights` has the rows a value makes as (*value, weight)."""
     cells = F.least(F.ceil(F.col("weight") / task_rows), F.lit(MAX_PARTS)).cast("bigint")
-    found = weights.filter(F.col("weight") > HEAVY_TASKS * task_rows).select(value, cells.alias(CELLS))
+    found = weights.filter(F.col("weight") > HEAVY_TASKS * task_rows).select(*value, cells.alias(CELLS))
     rows = found.collect()
     return weights.sparkSession.createDataFrame(rows, found.schema) if rows else None
 

@@ -90,9 +90,9 @@ def test_pairs_are_those_of_a_plain_loop(t, tiny_tasks, cut, coded, hot, monkeyp
 
 def test_only_values_of_many_rows_are_cut(spark):
     weights = spark.createDataFrame([("a", 5.0), (None, 81.0), ("b", 80.0), ("c", 1e9)], "side_effect string, weight double")
-    heavy = skew.heavy_values(weights, "side_effect", 10)
+    heavy = skew.heavy_values(weights, ["side_effect"], 10)
     assert sorted(rows(heavy), key=repr) == [("c", skew.MAX_PARTS), (None, 9)]
-    assert skew.heavy_values(weights.filter("weight < 50"), "side_effect", 10) is None
+    assert skew.heavy_values(weights.filter("weight < 50"), ["side_effect"], 10) is None
     given = spark.createDataFrame([(None, ["x", "y", "z"]), ("a", ["x", "y"])], "side_effect string, drugs array<string>")
     dealt = skew.by_value(given, "side_effect", given["drugs"], heavy, 3)
     met = dealt.selectExpr("side_effect", "_cell", "_cells", "explode(drugs) drug").filter(skew.in_cell("drug"))

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from casewatch.operators import case_sets, cube
-from casewatch.plans import sizing
+from casewatch.plans import sizing, skew
 from tests import small_cases
 from tests.conftest import rows
 from tests.small_cases import best, joined_counts, pair_counts, skewed, tables
@@ -151,3 +151,31 @@ def test_tasks_that_count_the_cube_are_bounded(spark, monkeypatch):
     plans = [df._jdf.queryExecution().executedPlan().toString() for df in (plain, dealt)]
     assert ["REPARTITION_BY_NUM" in p for p in plans] == [False, True]
     assert pairs_of(dealt) == pairs_of(plain)
+
+
+@pytest.mark.parametrize("heavy_tasks, broadcast", [(1, 500_000), (10**9, 0)])
+def test_levels_of_the_cube_are_counted_where_they_are_made(spark, monkeypatch, heavy_tasks, broadcast):
+    given = tables(spark, *skewed(7))
+    plain = cube.count_cube(given.drug, given.reac, given.outcome, given.demographics)
+    monkeypatch.setattr(cube, "TASK_LEVELS", 20)
+    monkeypatch.setattr(skew, "HEAVY_TASKS", heavy_tasks)
+    monkeypatch.setattr(sizing, "BROADCAST_ROWS", broadcast)
+    dealt = cube.count_cube(given.drug, given.reac, given.outcome, given.demographics)
+    text = dealt._jdf.queryExecution().executedPlan().toString()
+    # Only what is counted before its shuffle moves by level.
+    assert text.count("hashpartitioning(level") == (1 if heavy_tasks == 1 else 0)
+    assert pairs_of(dealt) == pairs_of(plain)
+
+
+def test_case_tables_move_once(spark):
+    given = tables(spark)
+    text = cube.case_rows(given.drug, given.reac, given.outcome, given.demographics)._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange hashpartitioning") == 1
+
+
+def test_a_frequent_drug_is_written_by_several_tasks(spark, monkeypatch, tmp_path):
+    given = tables(spark, *skewed(7))
+    monkeypatch.setattr(cube, "TASK_LEVELS", 200)
+    cube.write_cube(cube.count_cube(given.drug, given.reac, given.outcome, given.demographics), str(tmp_path / "cube"), "q1")
+    frequent = cube.read_cube(spark, str(tmp_path / "cube")).where("drug = 'd0' AND level = 'effect'")
+    assert frequent.selectExpr("input_file_name() file").distinct().count() > 1
